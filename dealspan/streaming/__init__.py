@@ -1,0 +1 @@
+"""Empty on purpose: every report is a batch query, no operator keeps streaming state."""
