@@ -25,20 +25,19 @@ deals AS MATERIALIZED (
     CAST((l_orderkey * 7 + l_partkey) % 1101 AS INTEGER) AS days_on_market,
     p_type || '' AS property_class, p_brand || '' AS style, c_mktsegment || '' AS building_type,
     r_name || '' AS area_city, n_name || '' AS community, ls.s_name || '' AS listing_firm,
-    CASE WHEN l_quantity = 50 THEN NULL
-      WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN ls.s_name || ''
-      ELSE bs.s_name || '' END AS buyer_firm,
+    CASE WHEN l_quantity <> 50 THEN bs.s_name || '' END AS buyer_firm,
     'agent-' || CAST(l_suppkey * 10 + l_partkey % 10 AS VARCHAR) AS listing_agent,
     CASE WHEN l_quantity <> 50
-      THEN 'agent-' || CAST(bs.s_suppkey * 10 + l_partkey % 7 AS VARCHAR) END AS buyer_agent
-  FROM lineitem
-  JOIN orders ON o_orderkey = l_orderkey
+      THEN 'agent-' || CAST(buyer_suppkey * 10 + l_partkey % 7 AS VARCHAR) END AS buyer_agent
+  FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) AS buyer_suppkey
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
   JOIN part ON p_partkey = l_partkey
   JOIN customer ON c_custkey = o_custkey
   JOIN nation ON n_nationkey = c_nationkey
   JOIN region ON r_regionkey = n_regionkey
   JOIN supplier ls ON ls.s_suppkey = l_suppkey
-  JOIN supplier bs ON bs.s_suppkey = o_custkey % (SELECT count(*) FROM supplier)
+  JOIN supplier bs ON bs.s_suppkey =
+    CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN l_suppkey ELSE buyer_suppkey END
   OFFSET 0
 )"""
 

@@ -42,7 +42,6 @@ def _expressions() -> dict[str, Column]:
     discount = F.col("l_discount").cast("decimal(4,2)")
     sold_price = (list_price * (F.lit(1).cast("decimal(1,0)") - discount)).cast("decimal(18,4)")
     no_buyer = F.col("l_quantity") == 50
-    dual = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
     return {
         "listing_id": (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"),
         "sold_date": F.col("l_shipdate").cast("date"),
@@ -62,9 +61,7 @@ def _expressions() -> dict[str, Column]:
         "area_city": F.col("r_name"),
         "community": F.col("n_name"),
         "listing_firm": F.col("listing_name"),
-        "buyer_firm": F.when(no_buyer, None)
-        .when(dual, F.col("listing_name"))
-        .otherwise(F.col("buyer_name")),
+        "buyer_firm": F.when(~no_buyer, F.col("buyer_name")),
         "listing_agent": F.concat(
             F.lit("agent-"), (F.col("l_suppkey") * 10 + F.col("l_partkey") % 10).cast("string")
         ),
@@ -82,7 +79,7 @@ def deals(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     asked = columns or COLUMNS
     need = set(asked)
     found = read(spark, sf_dir, "lineitem")
-    if need & {"listing_firm", "buyer_firm"}:
+    if "listing_firm" in need:
         firm = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("listing_name"))
         found = found.join(firm, F.col("l_suppkey") == F.col("s_suppkey")).drop("s_suppkey")
     if need & _PART:
@@ -105,7 +102,9 @@ def deals(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         found = found.withColumn("buyer_suppkey", F.col("o_custkey") % firms)
     if "buyer_firm" in need:
         firm = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("buyer_name"))
-        found = found.join(firm, F.col("buyer_suppkey") == F.col("s_suppkey")).drop("s_suppkey")
+        dual = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
+        key = F.when(dual, F.col("l_suppkey")).otherwise(F.col("buyer_suppkey"))
+        found = found.join(firm, key == F.col("s_suppkey")).drop("s_suppkey")
     made = _expressions()
     return found.select(*[made[c].alias(c) for c in asked])
 
