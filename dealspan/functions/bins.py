@@ -40,15 +40,16 @@ def dom_range(c: Column) -> Column:
     return cut(c, DOM_EDGES, DOM_LABELS)
 
 
-def age_category(sold_date: Column, year_built: Column) -> Column:
-    """Age at sale: up to 2 (also negative), 3 to 5, 6 and over, or unknown."""
+def age_no(sold_date: Column, year_built: Column) -> Column:
+    """1-based number of the age label: up to 2 (also negative), 3 to 5, 6 and over, unknown."""
     age = F.year(sold_date) - year_built
-    return (
-        F.when(age.isNull(), AGE_LABELS[3])
-        .when(age <= 2, AGE_LABELS[0])
-        .when(age <= 5, AGE_LABELS[1])
-        .otherwise(AGE_LABELS[2])
-    )
+    return F.when(age.isNull(), 4).when(age <= 2, 1).when(age <= 5, 2).otherwise(3)
+
+
+def age_category(sold_date: Column, year_built: Column) -> Column:
+    """Label of the age at sale."""
+    labels = F.array(*[F.lit(x) for x in AGE_LABELS])
+    return F.get(labels, age_no(sold_date, year_built) - 1)
 
 
 def equal_width(c: Column, low: Column, high: Column, n: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dealspan.functions.bins import cut_no, equal_width
 from dealspan.functions.dates import month_start
 from dealspan.functions.numbers import percent
+from dealspan.operators.ranking import top_n
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "deals") -> DataFrame:
@@ -42,21 +43,25 @@ def complete_months(keys: DataFrame, months: Sequence[date]) -> DataFrame:
     return keys.withColumn("month", F.explode(listed))
 
 
-def zero_filled_bins(
-    df: DataFrame, key: str, column: str, edges: Sequence[float], labels: Sequence[str],
-    bin_name: str, name: str = "deals",
+def binned_counts(
+    df: DataFrame, key: str, number: Column, labels: Sequence[str], bin_name: str,
+    name: str = "deals", top: int | None = None,
 ) -> DataFrame:
-    """Rows per key and range, with 0 for a key's empty ranges; out-of-range values count nowhere.
+    """Rows per key and labelled bin, with 0 for a key's empty bins.
 
-    One conditional count per range in a single pass, unfolded afterwards.
+    ``number`` is the 1-based bin of a row, null outside all bins. One conditional count per
+    bin in a single grouped pass, unfolded afterwards; ``top`` keeps the keys with most rows
+    (in or out of the bins) before unfolding, so no join is needed.
     """
-    no = cut_no(F.col(column), edges)
+    counts = [F.count_if(F.col("_no") == i).alias(f"_b{i}") for i in range(1, len(labels) + 1)]
     wide = (
         df.dropna(subset=[key])
-        .select(key, no.alias("_no"))
+        .select(key, number.alias("_no"))
         .groupBy(key)
-        .agg(*[F.count_if(F.col("_no") == i).alias(f"_b{i}") for i in range(1, len(labels) + 1)])
+        .agg(F.count(F.lit(1)).alias("_rows"), *counts)
     )
+    if top is not None:
+        wide = top_n(wide, "_rows", key, n=top)
     cells = [
         F.struct(F.lit(i).alias("bin_no"), F.lit(text).alias(bin_name), F.col(f"_b{i}").alias(name))
         for i, text in enumerate(labels, 1)
@@ -64,6 +69,14 @@ def zero_filled_bins(
     return wide.select(key, F.inline(F.array(*cells)))
 
 
+def zero_filled_bins(
+    df: DataFrame, key: str, column: str, edges: Sequence[float], labels: Sequence[str],
+    bin_name: str, top: int | None = None,
+) -> DataFrame:
+    """:func:`binned_counts` over the left-closed ranges of a numeric column."""
+    return binned_counts(df, key, cut_no(F.col(column), edges), labels, bin_name, top=top)
+
+
 def pivot_sum(
     df: DataFrame, index: str, column: str, values: Sequence, labels: Sequence[str], metric: str
 ) -> DataFrame:

@@ -22,10 +22,11 @@ def period_totals(deals: DataFrame, flt: DealFilter) -> DataFrame:
 
 def market_share(
     deals: DataFrame, flt: DealFilter, focus_firm: str | None = None, n: int = 10,
-    share_base: str = "deals",
+    share_base: str = "deals", market: DataFrame | None = None,
 ) -> DataFrame:
     """Monthly market share of the top firms plus the pinned focus firm."""
-    return top_share(firm_month_share(flt.apply(deals), share_base), n, focus_firm)
+    totals = None if market is None else flt.apply(market)
+    return top_share(firm_month_share(flt.apply(deals), share_base, totals), n, focus_firm)
 
 
 def top_brokerages(

@@ -147,22 +147,25 @@ def deals_per_agent(
     )
 
 
-def firm_month_share(deals: DataFrame, share_base: str = "deals") -> DataFrame:
+def firm_month_share(
+    deals: DataFrame, share_base: str = "deals", market: DataFrame | None = None
+) -> DataFrame:
     """Each firm's two-sided deals per month as a percentage of that month's market.
 
     ``share_base='deals'`` divides by the deals of the month, so a month adds up to 200 %;
-    ``'sides'`` divides by the sides with a firm, so a month adds up to 100 %.
+    ``'sides'`` divides by the sides with a firm, so a month adds up to 100 %. ``market`` may
+    give the same deals without their firms, to count the months without deriving the firms.
     """
     sides = with_month(deal_sides(deals, "sold_date"))
     firm_months = side_counts(sides, "firm", "month").select(
         "firm", "month", any_side_total().alias("deals")
     )
     if share_base == "sides":
-        market = count_by(sides.dropna(subset=["firm"]), "month", name="total_deals")
+        totals = firm_months.groupBy("month").agg(F.sum("deals").alias("total_deals"))
     else:
-        market = count_by(with_month(deals), "month", name="total_deals")
+        totals = count_by(with_month(deals if market is None else market), "month", name="total_deals")
     # One row per calendar month: a date column holds at most 120,000 of them.
-    joined = firm_months.join(F.broadcast(market), "month")
+    joined = firm_months.join(F.broadcast(totals), "month")
     return joined.withColumn("share_pct", percent(F.col("deals"), F.col("total_deals")))
 
 
@@ -177,9 +180,13 @@ def top_share(shares: DataFrame, n: int = 10, pin: str | None = None) -> DataFra
     )
 
 
-def market_share(deals: DataFrame, flt: DealFilter, n: int = 10, share_base: str = "deals") -> DataFrame:
+def market_share(
+    deals: DataFrame, flt: DealFilter, n: int = 10, share_base: str = "deals",
+    market: DataFrame | None = None,
+) -> DataFrame:
     """Monthly market share of the top firms; no firm is pinned."""
-    return top_share(firm_month_share(normalized(deals, flt), share_base), n)
+    totals = None if market is None else flt.apply(market)
+    return top_share(firm_month_share(normalized(deals, flt), share_base, totals), n)
 
 
 def active_agents(deals: DataFrame, brokerage: DataFrame, flt: DealFilter) -> DataFrame:

@@ -144,18 +144,22 @@ def role_shares(deals: DataFrame, flt: DealFilter, focus_firm: str) -> DataFrame
 def competitor_roles(deals: DataFrame, flt: DealFilter, focus_firm: str, n: int = 10) -> DataFrame:
     """Mean deals of the top listing competitors per role, with percentages.
 
-    Buyer groups count only deals a top competitor listed.
+    Buyer groups count only deals a top competitor listed. Both roles read the same counts per
+    firm pair, so the deals are read once. The focus firm and deals without a listing firm take
+    at most two places, hence the two spare rows of the first top list.
     """
-    found = flt.apply(deals)
-    others = found.filter(differs("listing_firm", focus_firm))
-    top = top_n(count_by(others, "listing_firm"), "deals", "listing_firm", n=n)
-    listed = top.agg(F.avg("deals").alias("avg_deals")).select(
-        F.lit("Listing Firm").alias("role"), "avg_deals"
-    )
-    bought = keep_keys(found, top, "listing_firm")
+    pairs = flt.apply(deals).groupBy("listing_firm", "buyer_firm").agg(F.count(F.lit(1)).alias("_n"))
+    listings = pairs.groupBy("listing_firm").agg(F.sum("_n").alias("deals"))
+    spare = top_n(listings, "deals", "listing_firm", n=n + 2)
+    others = F.col("listing_firm").isNotNull() & differs("listing_firm", F.lit(focus_firm))
+    top = top_n(spare.filter(others), "deals", "listing_firm", n=n)
+    listed = top.agg(F.avg("deals").alias("avg_deals"))
+    bought = keep_keys(pairs, top, "listing_firm")
     bought = keep_keys(bought, top.withColumnRenamed("listing_firm", "buyer_firm"), "buyer_firm")
-    buyers = count_by(bought, "buyer_firm").agg(F.avg("deals").alias("avg_deals"))
-    rows = listed.unionByName(buyers.select(F.lit("Buyer Firm").alias("role"), "avg_deals"))
+    buyers = bought.groupBy("buyer_firm").agg(F.sum("_n").alias("_n")).agg(F.avg("_n").alias("avg_deals"))
+    rows = listed.select(F.lit("Listing Firm").alias("role"), "avg_deals").unionByName(
+        buyers.select(F.lit("Buyer Firm").alias("role"), "avg_deals")
+    )
     return with_share(rows, "avg_deals")
 
 

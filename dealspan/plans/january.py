@@ -7,11 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealspan.functions.bins import AREA_EDGES, AREA_LABELS, DOM_EDGES, DOM_LABELS, age_category
+from dealspan.functions.bins import (
+    AGE_LABELS,
+    AREA_EDGES,
+    AREA_LABELS,
+    DOM_EDGES,
+    DOM_LABELS,
+    age_category,
+    age_no,
+)
 from dealspan.functions.numbers import mean
 from dealspan.operators.filters import DealFilter
-from dealspan.operators.grouping import count_by, histogram, with_share, zero_filled_bins
-from dealspan.operators.ranking import keep_keys, top_keys
+from dealspan.operators.grouping import (
+    binned_counts,
+    count_by,
+    histogram,
+    with_share,
+    zero_filled_bins,
+)
+from dealspan.operators.ranking import keep_keys, top_n
 
 
 def month_filter(
@@ -31,10 +45,6 @@ def _found(deals: DataFrame, flt: DealFilter) -> DataFrame:
     return flt.apply(deals).withColumn("year", F.year("sold_date"))
 
 
-def _aged(found: DataFrame) -> DataFrame:
-    return found.withColumn("age_category", age_category(F.col("sold_date"), F.col("year_built")))
-
-
 def sales_by_year(deals: DataFrame, flt: DealFilter) -> DataFrame:
     return count_by(_found(deals, flt), "year", name="properties_sold")
 
@@ -66,33 +76,44 @@ def property_class_share(deals: DataFrame, flt: DealFilter) -> DataFrame:
 
 
 def age_by_year(deals: DataFrame, flt: DealFilter) -> DataFrame:
-    return count_by(_aged(_found(deals, flt)), "year", "age_category")
-
-
-def _top_communities(deals: DataFrame, flt: DealFilter, n: int) -> DataFrame:
-    found = _found(deals, flt)
-    top = top_keys(count_by(found, "community"), "deals", "community", n)
-    return keep_keys(found, top, "community")
+    age = age_category(F.col("sold_date"), F.col("year_built"))
+    return count_by(_found(deals, flt).withColumn("age_category", age), "year", "age_category")
 
 
 def community_age(deals: DataFrame, flt: DealFilter, n: int = 10) -> DataFrame:
-    return count_by(_aged(_top_communities(deals, flt, n)), "community", "age_category")
+    """Deals per age category for the communities with most deals."""
+    number = age_no(F.col("sold_date"), F.col("year_built"))
+    found = binned_counts(flt.apply(deals), "community", number, AGE_LABELS, "age_category", top=n)
+    return found.filter(F.col("deals") > 0).drop("bin_no")
 
 
 def community_frequency(deals: DataFrame, flt: DealFilter, column: str, n: int = 10) -> DataFrame:
-    """Deals per value of a column for the communities with most deals."""
-    return count_by(_top_communities(deals, flt, n), "community", column)
+    """Deals per value of a column for the communities with most deals.
+
+    Both branches read the same grouped counts, whose shuffle Spark then writes once. Deals
+    without a value count for the choice of communities but give no row.
+    """
+    counts = (
+        flt.apply(deals)
+        .groupBy("community", column)
+        .agg(F.count(F.lit(1)).alias("deals"), F.count(column).alias("_known"))
+    )
+    sums = counts.groupBy("community").agg(
+        F.sum("deals").alias("_deals"), F.sum("_known").alias("_some")
+    )
+    top = top_n(sums, "_deals", "community", n=n).filter(F.col("_some") > 0)
+    return keep_keys(counts.filter(F.col("_known") > 0), top, "community").drop("_known")
 
 
 def community_area_ranges(deals: DataFrame, flt: DealFilter, n: int = 10) -> DataFrame:
     """Deals per floor-area range, empty ranges included."""
-    found = _top_communities(deals, flt, n)
     return zero_filled_bins(
-        found, "community", "total_flr_area_sf", AREA_EDGES, AREA_LABELS, "size_range"
+        flt.apply(deals), "community", "total_flr_area_sf", AREA_EDGES, AREA_LABELS, "size_range", n
     )
 
 
 def community_dom_ranges(deals: DataFrame, flt: DealFilter, n: int = 10) -> DataFrame:
     """Deals per days-on-market range, empty ranges included."""
-    found = _top_communities(deals, flt, n)
-    return zero_filled_bins(found, "community", "days_on_market", DOM_EDGES, DOM_LABELS, "dom_range")
+    return zero_filled_bins(
+        flt.apply(deals), "community", "days_on_market", DOM_EDGES, DOM_LABELS, "dom_range", n
+    )

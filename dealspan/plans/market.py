@@ -9,7 +9,7 @@ from dealspan.functions.numbers import mean, ratio, total
 from dealspan.functions.text import currency_text, days_text
 from dealspan.operators.filters import DealFilter
 from dealspan.operators.grouping import histogram_2d, with_month
-from dealspan.operators.ranking import most_frequent, top_n
+from dealspan.operators.ranking import top_n
 
 DETAIL_COLUMNS = (
     "listing_id",
@@ -73,20 +73,34 @@ def dom_price_heatmap(deals: DataFrame, flt: DealFilter, nx: int = 50, ny: int =
 
 
 def community_metrics(deals: DataFrame, flt: DealFilter) -> DataFrame:
-    """Per community: sales, volume, means and the firm with most listings."""
-    found = flt.apply(deals)
-    metrics = (
-        found.dropna(subset=["community"])
-        .groupBy("community")
+    """Per community: sales, volume, means and the firm with most listings.
+
+    One pass: sums and counts per community and firm, then per community. The second step
+    reads one row per pair, and picks the winner with a mergeable ``min`` over a struct.
+    """
+    price, dom = F.col("sold_price"), F.col("days_on_market")
+    pairs = (
+        flt.apply(deals)
+        .dropna(subset=["community"])
+        .groupBy("community", "listing_firm")
         .agg(
-            F.count("sold_price").alias("number_of_sales"),
-            mean(F.col("sold_price")).alias("average_price"),
-            total(F.col("sold_price")).alias("total_volume"),
-            mean(F.col("days_on_market")).alias("average_dom"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.count(price).alias("_sales"),
+            F.sum(price).alias("_volume"),
+            F.count(dom).alias("_doms"),
+            F.sum(dom).alias("_dom"),
         )
     )
-    winners = most_frequent(found, "community", "listing_firm", "top_selling_firm")
-    return metrics.join(winners, "community", "left")
+    candidate = F.when(
+        F.col("listing_firm").isNotNull(), F.struct((-F.col("_rows")).alias("n"), "listing_firm")
+    )
+    return pairs.groupBy("community").agg(
+        F.sum("_sales").alias("number_of_sales"),
+        ratio(F.sum("_volume"), F.sum("_sales")).alias("average_price"),
+        total(F.col("_volume")).cast("decimal(28,4)").alias("total_volume"),
+        ratio(F.sum("_dom"), F.sum("_doms")).alias("average_dom"),
+        F.min(candidate)["listing_firm"].alias("top_selling_firm"),
+    )
 
 
 def community_table(deals: DataFrame, flt: DealFilter) -> DataFrame:
