@@ -129,7 +129,8 @@ def write_parallel(df: DataFrame, path: str, tasks: int | None = None) -> None:
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header. ``single_file`` is for results of a known small size."""
-    (df.coalesce(1) if single_file else df).write.mode("overwrite").csv(path, header=True)
+    writer = (df.coalesce(1) if single_file else df).write.mode("overwrite")
+    writer.csv(path, header=True, escape='"')
 
 
 def cached(df: DataFrame) -> DataFrame:
