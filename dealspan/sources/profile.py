@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,7 @@ def _variant_code(value: Column) -> Column:
 
 
 def _sampled(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first rows as stored, which reads a few rows only; a given order reads the table."""
     return (df.orderBy(*order) if order else df).limit(n)
 
 
@@ -78,12 +79,11 @@ def table_profile(
 
 
 def item_profile(
-    df: DataFrame, json_column: str, order: Sequence[str], sample: int = SAMPLE_ROWS
+    df: DataFrame, json_column: str, order: Sequence[str] = (), sample: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """Attributes inside a JSON text column of the first rows, with the first observed type."""
+    """Attributes inside a JSON text column of the sampled rows, with the first observed type."""
     numbered = _sampled(df.select(*order, json_column), order, sample).select(
-        F.row_number().over(Window.orderBy(*order)).alias("_row"),  # at most ``sample`` rows
-        F.parse_json(json_column).alias("_item"),
+        F.monotonically_increasing_id().alias("_row"), F.parse_json(json_column).alias("_item")
     )
     fields = numbered.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_item").outer()))
     return fields.groupBy(F.col("key").alias("attribute")).agg(

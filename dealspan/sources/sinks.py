@@ -19,13 +19,14 @@ def upsert(
 ) -> DataFrame:
     """Current rows without the incoming keys, plus the latest incoming row of each key.
 
-    The current table is filtered with an anti join and not regrouped, so a small load does
-    not shuffle a large table.
+    Rows without a key drop out. The current table is filtered with an anti join on the distinct
+    incoming keys and not regrouped, so a small load does not shuffle a large table.
     """
-    newest = best_per_key(incoming, keys, latest)
+    keyed = incoming.dropna(subset=list(keys))
+    newest = best_per_key(keyed, keys, latest)
     if current is None:
         return newest
-    kept = current.join(newest.select(*keys), list(keys), "left_anti")
+    kept = current.join(keyed.select(*keys).distinct(), list(keys), "left_anti")
     return kept.unionByName(newest)
 
 

@@ -171,7 +171,7 @@ def schema_profile(tables) -> str:
             else:
                 parts.append(
                     f"SELECT DISTINCT '{table}', '{column}', '{code}', FALSE FROM (SELECT {column} "
-                    f"FROM {table} ORDER BY {', '.join(keys)} LIMIT 10) WHERE {column} IS NOT NULL"
+                    f"FROM {table} LIMIT 10) WHERE {column} IS NOT NULL"
                 )
     return "\nUNION ALL ".join(parts)
 

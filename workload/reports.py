@@ -71,7 +71,7 @@ def _share(plan: Callable[..., DataFrame], *args) -> Query:
 
 def _schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {name: views.read(spark, sf_dir, name) for name in PROFILE_TABLES}
-    return profile.profile_tables(tables, PROFILE_KEYS, order=PROFILE_KEYS)
+    return profile.profile_tables(tables, PROFILE_KEYS)
 
 
 FIRMS = "sold_date listing_firm buyer_firm"

@@ -175,15 +175,15 @@ def _batched_append(spark, sf):
 
 
 def _chunks(spark, sf):
-    """Chunks of 25, written by 10 parallel tasks."""
+    """Chunks of 25, written in parallel by as many tasks as there are partitions."""
     path = scratch(spark, "chunks")
-    sinks.write_parallel(sinks.with_batches(_lines(spark, sf), ORDER, 25), path, 10)
+    sinks.write_parallel(sinks.with_batches(_lines(spark, sf), ORDER, 25), path)
     sizes = count_by(spark.read.parquet(path), "batch_id")
     return sizes.groupBy(F.col("deals").alias("chunk_size")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def _item_schema(spark, sf):
-    return profile.item_profile(views.read(spark, sf, "events"), "props", ["event_id"])
+    return profile.item_profile(views.read(spark, sf, "events"), "props")
 
 
 def _catalog_schema(spark, sf):
@@ -193,7 +193,7 @@ def _catalog_schema(spark, sf):
         name.removeprefix("dealspan_"): df
         for name, df in profile.catalog_tables(spark, "dealspan_*").items()
     }
-    return profile.profile_tables(tables, PROFILE_KEYS, order=PROFILE_KEYS)
+    return profile.profile_tables(tables, PROFILE_KEYS)
 
 
 def _cached(spark, sf):
@@ -315,7 +315,7 @@ def entries() -> dict[str, Entry]:
                   WHEN 'NULL' THEN 'NULL' WHEN 'BOOLEAN' THEN 'BOOL' WHEN 'ARRAY' THEN 'L'
                   WHEN 'OBJECT' THEN 'M' WHEN 'VARCHAR' THEN 'S' ELSE 'N' END, event_id) AS type
                 FROM (SELECT event_id, props, unnest(json_keys(props)) AS key
-                  FROM (SELECT * FROM events ORDER BY event_id LIMIT 10)) GROUP BY 1""",
+                  FROM (SELECT * FROM events LIMIT 10)) GROUP BY 1""",
         ),
         "s14_catalog_schema": (_catalog_schema, schema_profile(("customer", "events"))),
         "s15_cached_table": (
