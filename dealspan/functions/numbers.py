@@ -11,12 +11,12 @@ from dealspan.schema import MONEY, PRICE
 
 def parse_currency(c: Column, to: str = MONEY) -> Column:
     """``$1,234.50`` to a decimal. Bad text raises (ANSI cast)."""
-    return F.regexp_replace(c, r"[$,]", "").cast(to)
+    return F.translate(c, "$,", "").cast(to)
 
 
 def parse_grouped(c: Column) -> Column:
     """``1,234`` to a double. Bad text raises (ANSI cast)."""
-    return F.regexp_replace(c, ",", "").cast("double")
+    return F.translate(c, ",", "").cast("double")
 
 
 def lenient_number(c: Column, to: str = PRICE) -> Column:
@@ -26,7 +26,7 @@ def lenient_number(c: Column, to: str = PRICE) -> Column:
 
 def safe_decimal(c: Column, to: str = PRICE) -> Column:
     """Number after stripping ``$`` and ``,``; null, empty or bad text is 0."""
-    return F.coalesce(F.regexp_replace(c, r"[$,]", "").try_cast(to), F.lit(0).cast(to))
+    return F.coalesce(F.translate(c, "$,", "").try_cast(to), F.lit(0).cast(to))
 
 
 def finite_or_null(c: Column) -> Column:

@@ -86,5 +86,5 @@ def with_columns_present(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def require_column(df: DataFrame, name: str) -> DataFrame:
     if name not in df.columns:
-        raise ValueError(f"The required '{name}' column is missing from the dataset!")
+        raise ValueError(f"no column {name!r} in the table")
     return df

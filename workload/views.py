@@ -7,12 +7,14 @@ shuffled join, whose hot keys adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealspan.functions.dates import month_start
+from dealspan.functions.numbers import ratio
 
 FOCUS = "Supplier#000000001"
 START, END = date(1998, 1, 1), date(1998, 12, 31)
@@ -33,45 +35,75 @@ COLUMNS = (
 )
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table under its declared schema, so no job looks at file footers first."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _column(name: str) -> Column:
+    """Expression of one deals column over the joined tables."""
+    return _EXPRESSIONS[name]().alias(name)
+
+
+def _list_price() -> Column:
+    return F.col("l_extendedprice").cast("decimal(18,2)")
 
 
-def _expressions() -> dict[str, Column]:
-    list_price = F.col("l_extendedprice").cast("decimal(18,2)")
+def _sold_price() -> Column:
     discount = F.col("l_discount").cast("decimal(4,2)")
-    sold_price = (list_price * (F.lit(1).cast("decimal(1,0)") - discount)).cast("decimal(18,4)")
-    no_buyer = F.col("l_quantity") == 50
-    return {
-        "listing_id": (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"),
-        "sold_date": F.col("l_shipdate").cast("date"),
-        "list_price": list_price,
-        "sold_price": sold_price,
-        "sold_list_ratio": F.try_divide(sold_price.cast("double"), list_price.cast("double")) * 100,
-        "total_flr_area_sf": F.col("p_size") * 100 + F.col("l_quantity"),
-        "total_bedrooms": F.col("p_size") % 6,
-        "total_baths": F.col("l_linenumber") % 4,
-        "year_built": F.when(
-            F.col("p_size") % 13 != 0, F.year("o_orderdate") - F.col("p_size") % 12
-        ),
-        "days_on_market": ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % 1101).cast("int"),
-        "property_class": F.col("p_type"),
-        "style": F.col("p_brand"),
-        "building_type": F.col("c_mktsegment"),
-        "area_city": F.col("r_name"),
-        "community": F.col("n_name"),
-        "listing_firm": F.col("listing_name"),
-        "buyer_firm": F.when(~no_buyer, F.col("buyer_name")),
-        "listing_agent": F.concat(
-            F.lit("agent-"), (F.col("l_suppkey") * 10 + F.col("l_partkey") % 10).cast("string")
-        ),
-        "buyer_agent": F.when(
-            ~no_buyer,
-            F.concat(
-                F.lit("agent-"), (F.col("buyer_suppkey") * 10 + F.col("l_partkey") % 7).cast("string")
-            ),
-        ),
-    }
+    return (_list_price() * (F.lit(1).cast("decimal(1,0)") - discount)).cast("decimal(18,4)")
+
+
+def _agent(firm_key: str, modulus: int) -> Column:
+    number = F.col(firm_key) * 10 + F.col("l_partkey") % modulus
+    return F.concat(F.lit("agent-"), number.cast("string"))
+
+
+def _with_buyer(c: Column) -> Column:
+    return F.when(F.col("l_quantity") != 50, c)
+
+
+_EXPRESSIONS: dict[str, Callable[[], Column]] = {
+    "listing_id": lambda: (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"),
+    "sold_date": lambda: F.col("l_shipdate").cast("date"),
+    "list_price": _list_price,
+    "sold_price": _sold_price,
+    "sold_list_ratio": lambda: ratio(_sold_price(), _list_price()) * 100,
+    "total_flr_area_sf": lambda: F.col("p_size") * 100 + F.col("l_quantity"),
+    "total_bedrooms": lambda: F.col("p_size") % 6,
+    "total_baths": lambda: F.col("l_linenumber") % 4,
+    "year_built": lambda: F.when(
+        F.col("p_size") % 13 != 0, F.year("o_orderdate") - F.col("p_size") % 12
+    ),
+    "days_on_market": lambda: ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % 1101).cast("int"),
+    "property_class": lambda: F.col("p_type"),
+    "style": lambda: F.col("p_brand"),
+    "building_type": lambda: F.col("c_mktsegment"),
+    "area_city": lambda: F.col("r_name"),
+    "community": lambda: F.col("n_name"),
+    "listing_firm": lambda: F.col("listing_name"),
+    "buyer_firm": lambda: _with_buyer(F.col("buyer_name")),
+    "listing_agent": lambda: _agent("l_suppkey", 10),
+    "buyer_agent": lambda: _with_buyer(_agent("buyer_suppkey", 7)),
+}
 
 
 def deals(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -105,8 +137,7 @@ def deals(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
         dual = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)
         key = F.when(dual, F.col("l_suppkey")).otherwise(F.col("buyer_suppkey"))
         found = found.join(firm, key == F.col("s_suppkey")).drop("s_suppkey")
-    made = _expressions()
-    return found.select(*[made[c].alias(c) for c in asked])
+    return found.select(*[_column(c) for c in asked])
 
 
 def brokerage(spark: SparkSession, sf_dir: str) -> DataFrame:
