@@ -26,7 +26,7 @@ def top_keys(
     if pin is None:
         return top
     pinned = totals.sparkSession.range(1).select(F.lit(pin).alias(key))
-    return top.union(pinned).distinct()
+    return top.filter(F.col(key) != pin).union(pinned)
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -25,6 +25,7 @@ from workload.views import AGENT, END, FOCUS, START, YEARS
 Entry = tuple[Query, str]
 
 MONTHS = months_between(START, END)
+LAST_MONTH = MONTHS[-1]
 CITIES = ("ASIA", "EUROPE")
 FIRMS = (FOCUS, "Supplier#000000002")
 FULL = DealFilter(
@@ -202,18 +203,14 @@ def join_entries() -> dict[str, Entry]:
 
     def winners(d):
         found = count_by(d, "community")
-        best = ranking.most_frequent(
-            d.filter(F.col("style") == "Brand#1"), "community", "building_type", "top_type"
-        )
+        best = ranking.most_frequent(d, "community", "building_type", "top_type")
         return found.join(best, "community", "left")
 
     def reindexed(d):
         top = ranking.top_n(count_by(d, "listing_firm"), "deals", "listing_firm")
-        bought = count_by(
-            d.filter(F.col("total_baths") == 3).select(F.col("buyer_firm").alias("listing_firm")),
-            "listing_firm", name="purchases",
-        )
-        return top.join(bought, "listing_firm", "left").fillna(0, ["purchases"])
+        dual = DealFilter(transaction=filters.DUAL).apply(d)
+        both = count_by(dual, "listing_firm", name="dual_deals")
+        return top.join(both, "listing_firm", "left").fillna(0, ["dual_deals"])
 
     def grid(d):
         found = count_by(with_month(d), "listing_agent", "month")
@@ -227,7 +224,8 @@ def join_entries() -> dict[str, Entry]:
 
     def unknown(d):
         agents = count_by(d.select(F.col("buyer_agent").alias("agent")), "agent")
-        listed = d.filter(F.col("total_baths") == 3).select(
+        recent = DealFilter(start=LAST_MONTH, end=END).apply(d)
+        listed = recent.select(
             F.col("listing_agent").alias("agent"), "sold_date", "listing_id",
             F.col("listing_firm").alias("firm"),
         )
@@ -250,11 +248,11 @@ def join_entries() -> dict[str, Entry]:
                 SELECT listing_agent, month, deals, total_deals FROM a JOIN m USING (month)"""),
         ),
         "j03_left_join_winner": (
-            _over("community style building_type", winners),
+            _over("community building_type", winners),
             sql(""",
                 w AS (SELECT community, building_type AS top_type, row_number() OVER (
                     PARTITION BY community ORDER BY count(*) DESC, building_type) AS rn
-                  FROM deals WHERE style = 'Brand#1' GROUP BY 1, 2)
+                  FROM deals WHERE building_type IS NOT NULL GROUP BY 1, 2)
                 SELECT d.community, d.deals, w.top_type
                 FROM (SELECT community, count(*) AS deals FROM deals GROUP BY 1) d
                 LEFT JOIN w ON w.community = d.community AND w.rn = 1"""),
@@ -292,14 +290,14 @@ def join_entries() -> dict[str, Entry]:
             sql(f"{firm_months} SELECT firm, month, n_listing + n_buyer AS deals FROM c"),
         ),
         "j08_reindex_to_top": (
-            _over(f"{two} total_baths", reindexed),
+            _over(two, reindexed),
             sql(""",
                 top AS (SELECT listing_firm, count(*) AS deals FROM deals GROUP BY 1
                   ORDER BY deals DESC, listing_firm LIMIT 10),
-                b AS (SELECT buyer_firm, count(*) AS purchases FROM deals
-                  WHERE total_baths = 3 GROUP BY 1)
-                SELECT listing_firm, deals, coalesce(purchases, 0) AS purchases
-                FROM top LEFT JOIN b ON buyer_firm = listing_firm"""),
+                b AS (SELECT listing_firm, count(*) AS dual_deals FROM deals
+                  WHERE listing_firm = buyer_firm GROUP BY 1)
+                SELECT listing_firm, deals, coalesce(dual_deals, 0) AS dual_deals
+                FROM top LEFT JOIN b USING (listing_firm)"""),
         ),
         "j09_complete_grid": (
             _over("sold_date listing_agent", grid),
@@ -318,11 +316,11 @@ def join_entries() -> dict[str, Entry]:
                 GROUP BY 1, 2"""),
         ),
         "j11_lookup_with_default": (
-            _over("sold_date listing_id total_baths listing_firm listing_agent buyer_agent", unknown),
-            sql(""",
+            _over("sold_date listing_id listing_firm listing_agent buyer_agent", unknown),
+            sql(f""",
                 m AS (SELECT listing_agent, listing_firm, row_number() OVER (PARTITION BY listing_agent
                     ORDER BY sold_date, listing_id, listing_firm) AS rn
-                  FROM deals WHERE total_baths = 3)
+                  FROM deals WHERE sold_date BETWEEN DATE '{LAST_MONTH}' AND DATE '{END}')
                 SELECT agent, deals, coalesce(listing_firm, 'Unknown Firm') AS firm
                 FROM (SELECT buyer_agent AS agent, count(*) AS deals FROM deals
                   WHERE buyer_agent IS NOT NULL GROUP BY 1)
