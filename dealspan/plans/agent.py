@@ -12,13 +12,12 @@ from dealspan.functions.text import joined_distinct
 from dealspan.operators.filters import DealFilter
 from dealspan.operators.grouping import count_by, with_month
 from dealspan.operators.ranking import dense_rank_counts
-from dealspan.operators.sides import any_side_total, deal_sides, side_counts
+from dealspan.operators.sides import deal_sides
 
 
 def ranking(deals: DataFrame) -> DataFrame:
     """All agents by deals on either side, dense rank, over the unfiltered table."""
-    counts = side_counts(deal_sides(deals, firm=False, agent=True), "agent")
-    totals = counts.select("agent", any_side_total().alias("total_deals"))
+    totals = count_by(deal_sides(deals, firm=False, agent=True), "agent", name="total_deals")
     return dense_rank_counts(totals, "total_deals").select("agent", "total_deals", "ranking")
 
 

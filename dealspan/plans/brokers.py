@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealspan.functions.dates import month_label, month_start, months_between, months_touched
 from dealspan.functions.numbers import mean, percent, ratio_or_zero, total
 from dealspan.functions.text import currency_text, normalize_name, title_case
 from dealspan.operators.filters import DealFilter
-from dealspan.operators.grouping import complete_months, count_by, lookup, pivot_sum, with_month
+from dealspan.operators.grouping import complete_months, count_by, pivot_sum, with_month
 from dealspan.operators.ranking import first_value_per_key, keep_keys, top_keys, top_n
 from dealspan.operators.sides import (
     any_side_total,
@@ -157,9 +157,7 @@ def firm_month_share(
     give the same deals without their firms, to count the months without deriving the firms.
     """
     sides = with_month(deal_sides(deals, "sold_date"))
-    firm_months = side_counts(sides, "firm", "month").select(
-        "firm", "month", any_side_total().alias("deals")
-    )
+    firm_months = count_by(sides, "firm", "month")
     if share_base == "sides":
         totals = firm_months.groupBy("month").agg(F.sum("deals").alias("total_deals"))
     else:
@@ -190,15 +188,22 @@ def market_share(
 
 
 def active_agents(deals: DataFrame, brokerage: DataFrame, flt: DealFilter) -> DataFrame:
-    """Distinct agents per firm and month, for firms that have monthly headcount data."""
-    staffed = _staffed_deals(deals, brokerage, flt).select("firm").distinct()
+    """Distinct agents per firm and month, for firms that have monthly headcount data.
+
+    A firm qualifies with one month found in both tables. The window that spreads this over the
+    firm's months holds at most one row per calendar month.
+    """
     sides = with_month(deal_sides(normalized(deals, flt), "sold_date", agent=True))
     counts = (
         sides.dropna(subset=["firm", "month"])
         .groupBy("firm", "month")
         .agg(F.count_distinct("agent").alias("active_agents"))
     )
-    return keep_keys(counts, staffed, "firm")
+    heads = average_headcount(brokerage, flt).select("firm", "month", F.lit(True).alias("_staffed"))
+    marked = counts.join(heads, ["firm", "month"], "left").withColumn(
+        "_qualifies", F.bool_or("_staffed").over(Window.partitionBy("firm"))
+    )
+    return marked.filter("_qualifies").select("firm", "month", "active_agents")
 
 
 def active_agents_table(deals: DataFrame, brokerage: DataFrame, flt: DealFilter) -> DataFrame:
@@ -230,26 +235,41 @@ def _first_firms(sides: DataFrame) -> DataFrame:
     return first_value_per_key(sides, "agent", "firm", order)
 
 
-def _agent_league(counts: DataFrame, deals: DataFrame, n: int) -> DataFrame:
-    """Top agents with their firm; firms are looked up for the top agents only."""
-    top = top_n(counts, "deals", "agent", n=n).select("agent", "deals")
-    firms = _first_firms(keep_keys(_agent_sides(deals), top, "agent"))
-    return lookup(top, firms, "agent", "firm", UNKNOWN_FIRM).select(
-        "agent", title_case(F.col("agent")).alias("agent_label"), "deals", "firm"
+def _agent_league(deals: DataFrame, counted: Column, n: int) -> DataFrame:
+    """Top agents with their firm.
+
+    Counts and first firm come from one grouped pass over the sides; a second pass for the firms
+    of the top agents would read and join the deals again.
+    """
+    first = F.min(
+        F.when(
+            F.col("firm").isNotNull(), F.struct("is_listing", "sold_date", "listing_id", "firm")
+        )
+    )
+    agents = (
+        _agent_sides(deals)
+        .dropna(subset=["agent"])
+        .groupBy("agent")
+        .agg(
+            F.count_if("is_listing").alias("n_listing"),
+            F.count_if(~F.col("is_listing")).alias("n_buyer"),
+            first["firm"].alias("firm"),
+        )
+    )
+    found = agents.withColumn("deals", counted).filter(F.col("deals") > 0)
+    return top_n(found, "deals", "agent", n=n).select(
+        "agent",
+        title_case(F.col("agent")).alias("agent_label"),
+        "deals",
+        F.coalesce("firm", F.lit(UNKNOWN_FIRM)).alias("firm"),
     )
 
 
 def top_agents(deals: DataFrame, flt: DealFilter, side: str, n: int = 10) -> DataFrame:
     """Agents with most deals on one side. ``side``: listing or buyer."""
-    found = normalized(deals, flt)
-    return _agent_league(
-        count_by(found.select(F.col(f"{side}_agent").alias("agent")), "agent"), found, n
-    )
+    return _agent_league(normalized(deals, flt), F.col(f"n_{side}"), n)
 
 
 def top_combined_agents(deals: DataFrame, flt: DealFilter, n: int = 10) -> DataFrame:
     """Agents with most deals among those seen on both sides."""
-    found = normalized(deals, flt)
-    counts = side_counts(deal_sides(found, firm=False, agent=True), "agent")
-    both = counts.filter(on_both_sides()).withColumn("deals", any_side_total())
-    return _agent_league(both, found, n)
+    return _agent_league(normalized(deals, flt), both_sides_total(), n)

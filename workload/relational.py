@@ -193,8 +193,8 @@ def join_entries() -> dict[str, Entry]:
         heads = views.brokerage(spark, sf).select(
             F.col("broker").alias("firm"), F.col("date").alias("month"), "value"
         )
-        total_deals = _firm_months(deals).select("firm", "month", sides.any_side_total().alias("deals"))
-        return rounded(total_deals.join(heads, ["firm", "month"]))
+        totals = count_by(with_month(_sides(deals, "sold_date")), "firm", "month")
+        return rounded(totals.join(heads, ["firm", "month"]))
 
     def with_market(d):
         months = with_month(d)
@@ -285,7 +285,7 @@ def join_entries() -> dict[str, Entry]:
         "j07_any_side_total": (
             _over(
                 f"sold_date {two}",
-                lambda d: _firm_months(d).select("firm", "month", sides.any_side_total().alias("deals")),
+                lambda d: count_by(with_month(_sides(d, "sold_date")), "firm", "month"),
             ),
             sql(f"{firm_months} SELECT firm, month, n_listing + n_buyer AS deals FROM c"),
         ),
@@ -628,11 +628,10 @@ def ranking_entries() -> dict[str, Entry]:
         return ranking.best_per_key(d, ["listing_agent"], order)
 
     def ranked(d):
-        counts = _firm_counts(d).select("firm", sides.any_side_total().alias("deals"))
-        return ranking.dense_rank_counts(counts, "deals")
+        return ranking.dense_rank_counts(count_by(_sides(d), "firm"), "deals")
 
     def pinned(d):
-        counts = _firm_counts(d).select("firm", sides.any_side_total().alias("deals"))
+        counts = count_by(_sides(d), "firm")
         keys = ranking.top_keys(counts, "deals", "firm", 10, FOCUS)
         return ranking.keep_keys(counts, keys, "firm").withColumn(
             "is_focus", brokers.is_focus("firm", FOCUS)
