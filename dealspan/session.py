@@ -34,10 +34,15 @@ def local_session(cores: int | str = 8, app: str = "dealspan") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else one of our own."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Without that setting a local session gets a folder of its own; a cluster must name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if not configured and not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="dealspan-")
     if not current:
         spark.sparkContext.setCheckpointDir(configured)

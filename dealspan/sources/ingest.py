@@ -16,6 +16,7 @@ from dealspan.functions.numbers import (
 )
 from dealspan.functions.text import known_text, text_or_na
 from dealspan.schema import (
+    BROKERAGE,
     BROKERAGE_DISPLAY_NAMES,
     DEALS,
     DISPLAY_NAMES,
@@ -25,7 +26,6 @@ from dealspan.schema import (
 from dealspan.sources.readers import require_column, to_canonical_names
 
 TEXT_COLUMNS = tuple(f.name for f in DEALS if f.dataType.typeName() == "string")
-INTEGER_COLUMNS = ("total_bedrooms", "total_baths", "year_built", "days_on_market")
 
 # Attributes of a stored listing: text first, then numbers.
 ITEM_TEXT = (
@@ -65,15 +65,18 @@ def clean_deals(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def clean_brokerage(raw: DataFrame) -> DataFrame:
-    """Exported headcounts (all text) to the typed brokerage table."""
+    """Exported headcounts (all text) to the typed brokerage table; rows need a broker."""
     shown = {v: k for k, v in BROKERAGE_DISPLAY_NAMES.items()}
     named = raw.withColumnsRenamed({k: v for k, v in shown.items() if k in raw.columns})
     require_column(named, "broker")
-    return named.select(
-        known_text(F.col("broker")).alias("broker"),
-        lenient_date(F.col("date"), KNOWN_FORMATS).alias("date"),
-        F.col("value").try_cast("double").alias("value"),
-    ).dropna(subset=["broker"])
+    values = {
+        "broker": known_text(F.col("broker")),
+        "date": lenient_date(F.col("date"), KNOWN_FORMATS),
+        "value": F.col("value").try_cast("double"),
+        "firm": known_text(F.col("firm")),
+    }
+    found = [values[f.name].alias(f.name) for f in BROKERAGE if f.name in named.columns]
+    return named.select(*found).dropna(subset=["broker"])
 
 
 def listing_items(raw: DataFrame) -> DataFrame:

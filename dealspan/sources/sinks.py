@@ -53,7 +53,7 @@ def write_deals(deals: DataFrame, path: str) -> None:
     (
         deals.withColumn("sold_year", F.year("sold_date"))
         .repartitionByRange("sold_date", "listing_id")
-        .sortWithinPartitions("sold_date")
+        .sortWithinPartitions("sold_year", "sold_date")  # the order the writer asks for
         .write.mode("overwrite")
         .partitionBy("sold_year")
         .parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealspan.schema import DEALS, DISPLAY_NAMES
+from dealspan.schema import DEALS, DISPLAY_NAMES, raw_listings_schema
 from dealspan.sources import ingest, profile, readers, sinks
 
 
@@ -77,6 +77,34 @@ def test_clean_brokerage(spark):
     assert [tuple(r) for r in ingest.clean_brokerage(raw).collect()] == [("A", date(2024, 1, 1), 5.0)]
 
 
+def test_raw_schema_reads_an_export(spark, tmp_path):
+    path = str(tmp_path / "listings")
+    headers = list(DISPLAY_NAMES.values())
+    row = spark.createDataFrame([tuple("N/A" for _ in headers)], raw_listings_schema())
+    sinks.export_csv(row, path)
+    cleaned = ingest.clean_deals(readers.read_csv(spark, path, raw_listings_schema()))
+    assert cleaned.schema == DEALS
+    assert list(cleaned.first()) == [None] * len(headers)
+
+
+def test_written_files_are_sorted_by_date(spark, tmp_path):
+    path = str(tmp_path / "deals")
+    rows = [(str(i), date(2020 + i % 3, 1 + i % 12, 1 + i * 7 % 28)) for i in range(500)]
+    sinks.write_deals(spark.createDataFrame(rows, "listing_id string, sold_date date"), path)
+    stored = spark.read.parquet(path).select("sold_date", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    by_file = {}
+    for r in stored.orderBy("at").collect():
+        by_file.setdefault(r.file, []).append(r.sold_date)
+    assert all(days == sorted(days) for days in by_file.values())
+
+
+def test_shared_dir_is_the_configured_one(spark):
+    from dealspan.session import shared_dir
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert named is None or shared_dir(spark) == named
+
+
 def test_upsert_twice_is_once(spark, tmp_path):
     load = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("m", 1, "c")], "key string, seq int, v string")
     latest = [F.desc("seq")]
