@@ -95,23 +95,28 @@ def histogram(df: DataFrame, column: str, n: int, *by: str, name: str = "deals")
     The range is a scalar subquery over the same rows; nulls drop out.
     """
     known = df.dropna(subset=[column, *by])
-    binned = known.select(*by, _binned(known, column, n).alias(f"{column}_bin"))
-    return binned.groupBy(f"{column}_bin", *by).agg(F.count(F.lit(1)).alias(name))
+    bins = _bins(known, {column: n})
+    return known.select(*by, *bins).groupBy(f"{column}_bin", *by).agg(F.count(F.lit(1)).alias(name))
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, nx: int, ny: int, name: str = "deals") -> DataFrame:
     """Counts per cell of an equal-width grid over two columns; empty cells are left out."""
     known = df.dropna(subset=[x, y])
-    cells = known.select(
-        _binned(known, x, nx).alias(f"{x}_bin"), _binned(known, y, ny).alias(f"{y}_bin")
-    )
+    cells = known.select(*_bins(known, {x: nx, y: ny}))
     return cells.groupBy(f"{x}_bin", f"{y}_bin").agg(F.count(F.lit(1)).alias(name))
 
 
-def _binned(df: DataFrame, column: str, n: int) -> Column:
-    low = df.agg(F.min(F.col(column).cast("double"))).scalar()
-    high = df.agg(F.max(F.col(column).cast("double"))).scalar()
-    return equal_width(F.col(column), low, high, n)
+def _bins(df: DataFrame, columns: dict[str, int]) -> list[Column]:
+    """Bin columns over each column's range; all ranges come from one subquery."""
+    ranges = []
+    for c in columns:
+        value = F.col(c).cast("double")
+        ranges += [F.min(value).alias(f"low_{c}"), F.max(value).alias(f"high_{c}")]
+    found = df.agg(F.struct(*ranges)).scalar()
+    return [
+        equal_width(F.col(c), found[f"low_{c}"], found[f"high_{c}"], n).alias(f"{c}_bin")
+        for c, n in columns.items()
+    ]
 
 
 def lookup(df: DataFrame, mapping: DataFrame, key: str, value: str, default: str) -> DataFrame:
