@@ -22,7 +22,7 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text")).filter(F.col("own_text").isNotNull())
     own = own.select("own_id", F.xxhash64("own_text").alias("text_key"), lines.alias("lines")).filter(F.size("lines") >= width)
     # two hashes of each line, so that a window's key has 128 bits
-    lows, highs = (F.transform("lines", lambda x, s=s: F.xxhash64(x, F.lit(s))) for s in (0, 1))
+    lows, highs = F.transform("lines", lambda x: F.xxhash64(x)), F.transform("lines", lambda x: F.xxhash64(x, F.lit(1)))
     blank = F.transform("lines", lambda x: F.trim(F.translate(x, "\t\r ", "   ")) == "")
     own = own.select("own_id", "text_key", lows.alias("low"), highs.alias("high"), blank.alias("blank"))
     parts = lambda c, i: [F.get(F.col(c), i + j) for j in range(width)]
