@@ -19,11 +19,14 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORDS), "")
 
 
-def shingle_hashes(words: Column, n: int) -> Column:
-    """The distinct hashes of all runs of ``n`` words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(n))))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def shingle_hashes(df: DataFrame, n: int) -> DataFrame:
+    """``df`` with ``hashes``, the distinct hashes of all runs of ``n`` of its ``words``, in their place."""
+    # the words' hashes are a column of their own, as a lambda would work out an expression for each of its calls
+    each = df.withColumn("each", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    runs = F.transform(F.sequence(F.lit(0), F.size("each") - n), lambda i: F.xxhash64(*(F.get(F.col("each"), i + j) for j in range(n))))
+    hashes = F.when(F.size("each") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    # to be exploded as outer: a plain explode filters by size first, below this column, where it is worked out in the lambda
+    return each.withColumn("hashes", hashes).drop("each")
 
 
 def shingles(words: Column, n: int) -> Column:
@@ -40,10 +43,10 @@ def item_sketches(items: DataFrame, n: int, contained: float) -> DataFrame:
     class has that number for its largest size, or all shingles of an item that has fewer. So no item is missed, and
     the sketch of the whole document is all its shingles that some item's sketch asks for.
     """
-    own = items.select("item_key", F.array_sort(shingle_hashes(F.col("words"), n)).alias("hashes")).filter(F.size("hashes") > 0)
+    own = shingle_hashes(items.select("item_key", "words"), n).filter(F.size("hashes") > 0)
     size = F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes"))))
     wanted = (size - F.ceil(size * contained - 1e-9) + 1).cast("int")
-    return own.select("item_key", F.explode(F.slice("hashes", F.lit(1), wanted)).alias("hash"))
+    return own.select("item_key", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), wanted)).alias("hash"))
 
 
 def contained_items(
@@ -75,15 +78,15 @@ def contained_items(
         mine = scratch.keep(mine.withColumn("item_key", F.monotonically_increasing_id()))
         sketch = scratch.keep(item_sketches(mine, n, contained))
         sent = F.broadcast if sketch.count() <= sent_rows else lambda df: df
-        hashes = own.select("own_id", "text_key", F.explode(shingle_hashes(F.col("words"), n)).alias("hash"))
+        hashes = shingle_hashes(own, n).select("own_id", "text_key", F.explode_outer("hashes").alias("hash"))
         pairs = hashes.join(sent(sketch), "hash").select("own_id", "text_key", "item_key").distinct()
         pairs = scratch.keep(pairs)
 
         near = pairs.select("own_id", "text_key").distinct().withColumnRenamed("own_id", "near_id")
         same = own["own_id"].eqNullSafe(near["near_id"]) & (own["text_key"] == near["text_key"])
         texts = own.join(near, same, "left_semi").dropDuplicates(["own_id", "text_key"])
-        has = texts.select("own_id", "text_key", F.explode(shingles(F.col("words"), n)).alias("shingle"))
-        asked = mine.select("item_key", F.explode(shingles(F.col("words"), n)).alias("shingle"))
+        has = texts.select("own_id", "text_key", F.explode_outer(shingles(F.col("words"), n)).alias("shingle"))
+        asked = mine.select("item_key", F.explode_outer(shingles(F.col("words"), n)).alias("shingle")).filter("shingle is not null")
         sizes = asked.groupBy("item_key").agg(F.count("*").alias("n_item"))
         found = has.join(sent(asked.select("shingle").distinct()), "shingle", "left_semi")
         wanted = pairs.withColumnRenamed("own_id", "pair_id").withColumnRenamed("text_key", "pair_key")

@@ -32,7 +32,8 @@ def repeated_lines(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         F.forall(F.slice("blank", i + 1, width), lambda b: b).alias("blank"),
     )
     windows = F.transform(F.sequence(F.lit(0), F.size("low") - width), window)
-    own = own.select("own_id", "text_key", F.posexplode(windows).alias("place", "w")).filter("not w.blank")
+    # as outer: a plain explode filters by size first, below these columns, where lambdas work them out for each call
+    own = own.select("own_id", "text_key", F.posexplode_outer(windows).alias("place", "w")).filter("not w.blank")
     own = own.select("own_id", "text_key", "place", "w.low", "w.high")
     place = F.struct(F.col("own_id").isNull().alias("late"), "own_id", "text_key", "place")
     first = own.groupBy("low", "high").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
