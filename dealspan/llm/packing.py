@@ -134,7 +134,62 @@ def _meet(left: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple], i
     return docs, gaps, number
 
 
-def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int = 50_000) -> DataFrame:
+def _opened(n_docs: int, need: int, room: int, halves: int, first: bool, any_met: bool, capacity: int) -> int:
+    """How many of the documents that met no gap open a sequence: what their length needs beyond all gaps' room."""
+    more = max(0, -((room - need) // capacity))
+    if first:
+        more = max(more, halves)
+    elif not any_met:
+        more = max(more, 1, -(-need // capacity))
+    return min(more, n_docs)
+
+
+def _rounds(capacity: int, first: bool):
+    """All remaining rounds for a bounded number of documents and gaps, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[tuple[int, int]] = []
+        gaps: list[tuple[int, int]] = []
+        for batch in batches:
+            for kind, key, size in zip(*(batch.column(n).to_pylist() for n in ("kind", "id", "size")), strict=True):
+                (docs if kind == DOC else gaps).append((size, key))
+        out, start = [], first
+        while docs:
+            docs.sort()
+            gaps.sort()
+            free: list[tuple[int, int]] = []
+            after: list[tuple[int, int]] = []
+            at = met = 0
+            for size, gap in gaps:
+                while at < len(docs) and docs[at][0] <= size:
+                    free.append(docs[at])
+                    at += 1
+                if free:
+                    length, key = free.pop()
+                    out.append((key, gap, capacity - size))
+                    met += 1
+                    size -= length
+                if size:
+                    after.append((size, gap))
+            docs = free + docs[at:]
+            need, room = sum(d[0] for d in docs), sum(g[0] for g in after)
+            halves = sum(2 * d[0] > capacity for d in docs)
+            n = _opened(len(docs), need, room, halves, start, met > 0, capacity)
+            for length, key in docs[len(docs) - n :]:
+                out.append((key, key, 0))
+                if length < capacity:
+                    after.append((capacity - length, key))
+            docs, start = docs[: len(docs) - n], False
+            least = min(docs)[0] if docs else 0
+            gaps = [g for g in after if g[0] >= least]
+        if out:
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "sequence_id", "offset"])
+
+    return run
+
+
+def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int = 100_000) -> DataFrame:
     """Places units (``unit_id``, ``length`` up to ``capacity``) in sequences: ``sequence_id``, ``offset``.
 
     Bulk-synchronous best fit. A first set of sequences is opened by the largest units: as many as their
@@ -143,7 +198,8 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int =
     that fits and that no smaller gap has taken. What is left over in a range meets over the ranges by its
     rank, for which the driver sees two counts per range. Gaps shrink, and the round is repeated. Where the
     documents left need more room than all gaps have, or none fits, the largest of them open sequences.
-    Units below a 32nd of the capacity are put together first, so that there are few rounds.
+    Units below a 32nd of the capacity are put together first, so that there are few rounds, and gaps below all
+    documents are left out. Once at most ``task_rows`` documents and gaps are left, one task does the other rounds.
     """
     spark, small = units.sparkSession, max(1, capacity // 32)
     n = max(1, units.count() // task_rows)
@@ -152,10 +208,14 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int =
     docs = units.filter(F.col("length") >= small).select(F.col("unit_id").alias("id"), F.col("length").alias("size"))
     docs = docs.union(grouped.groupBy("bundle_id").agg(F.sum("length")))
     state = docs.select(F.lit(DOC).alias("kind"), "id", "size", F.lit(None).cast("long").alias("gap_id"), F.lit(None).cast("long").alias("gap_size"))
-    placed, first = [], True
-    while True:
+    placed, first, rows = [], True, docs.count()
+    while rows:
         # Below an equal gap, so that a document that fits exactly is met first.
         both = state.select("kind", F.coalesce(F.when(F.col("kind") == GAP, F.col("gap_id")), "id").alias("id"), F.coalesce("gap_size", "size").alias("size"))
+        if rows <= task_rows:
+            placed.append(scratch.keep(both.repartition(1).mapInArrow(_rounds(capacity, first), "id long, sequence_id long, offset long")))
+            break
+        n = max(2, rows // task_rows)
         ranges = both.repartitionByRange(n, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
         swept = scratch.keep(ranges.mapInArrow(_sweep, STATE + ", rank long").withColumn("part", F.spark_partition_id()))
         is_doc, is_gap, is_pair = (F.col("kind") == k for k in (DOC, GAP, PAIR))
@@ -164,17 +224,11 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int =
             F.sum(F.when(is_gap, F.col("gap_size")).when(is_pair, F.col("gap_size") - F.col("size"))),
             F.count_if(is_doc & (F.col("size") * 2 > capacity)),
         ).orderBy("part").collect()
-        if not left:
-            break
         doc_runs, gap_runs, met = _meet([(r[0], r[1], r[2]) for r in left])
         n_docs, need, room = sum(r[1] for r in left), sum(r[4] or 0 for r in left), sum(r[5] or 0 for r in left)
         # Documents that met over the ranges go from both sums alike, so the difference is right.
-        opened = max(0, -((room - need) // capacity))
-        if first:
-            opened = max(opened, sum(r[6] for r in left))
-        elif not met and not any(r[3] for r in left):
-            opened = max(opened, 1, -(-need // capacity))
-        opened = min(opened, n_docs - met)
+        any_met = bool(met) or any(r[3] for r in left)
+        opened = _opened(n_docs - met, need, room, sum(r[6] for r in left), first, any_met, capacity)
         # The largest documents that met no gap.
         taken = {part: at for part, at, *_ in sorted(doc_runs, reverse=True)}
         new_runs, wanted = [], opened
@@ -210,11 +264,12 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int =
         step = scratch.keep(step)
         put = step.filter(is_pair)
         placed.append(put.select("id", F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap_size")).alias("offset")))
-        if n_docs - met - opened <= 0:
-            break
         shrunk = put.select(F.lit(GAP).alias("kind"), none.alias("id"), none.alias("size"), "gap_id", (F.col("gap_size") - F.col("size")).alias("gap_size"))
-        state = step.filter(is_doc).union(step.filter(is_gap)).union(shrunk.filter("gap_size > 0"))
-        first = False
+        waiting = step.filter(is_doc)
+        if (least := waiting.agg(F.min("size")).first()[0]) is None:
+            break
+        state = waiting.union(step.filter(is_gap).union(shrunk).filter(F.col("gap_size") >= least))
+        rows, first = state.count(), False
     empty = spark.createDataFrame([], "id long, sequence_id long, offset long")
     for x in placed:
         empty = empty.union(x)
