@@ -1,0 +1,262 @@
+"""Each operator against brute force on a small table, and on odd and empty ones."""
+
+import hashlib
+import math
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from dealspan.llm import annforest, decontam, hmm, langid, linededup, packing, phrases, simhash, toxicity, urlfilter
+from dealspan.llm.common import Scratch
+from dealspan.llm.tokens import TokenCoder
+from dealspan.llm.workload import TOKENIZER
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path(TOKENIZER)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_token_coder_equals_the_tokenizer(odd_documents):
+    whole, own = Tokenizer.from_file(PATH), TokenCoder(PATH, most=50)
+    texts = [r.text or "" for r in odd_documents.collect()]
+    texts += ["It's we'll 12½ ŉ Ǆ e\u0301 a\u0085b x\x0by <|startoftext|>", "ﬁ ΣΑΣ ÀÉß ſ", "a--b...c 'tis"]
+    for text in texts:
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own(text), "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("task_rows", [100_000, 20])
+def test_packing_is_whole_and_tight(spark, docs, odd_documents, task_rows):
+    columns = ["doc_id", "text"]
+    both = docs.select(columns).union(odd_documents.select(columns))
+    with Scratch(spark) as scratch:
+        pieces = packing.token_pieces(both, PATH).withColumn("unit_id", F.monotonically_increasing_id())
+        pieces = scratch.keep(pieces)
+        units = pieces.filter("length < 2048").select("unit_id", "length")
+        placed = packing.best_fit(units, 2048, scratch, task_rows).join(units, "unit_id").toPandas()
+        assert len(placed) == units.count()
+        total = int(pieces.agg(F.sum("length")).first()[0])
+        full = pieces.filter("length = 2048").count()
+    placed = placed.sort_values(["sequence_id", "offset"])
+    assert (placed.offset == placed.groupby("sequence_id").length.cumsum() - placed.length).all()
+    assert placed.groupby("sequence_id").length.sum().max() <= 2048
+    assert placed.sequence_id.nunique() + full <= 1.02 * math.ceil(total / 2048) + 1
+
+
+def test_packed_ids_are_the_texts(odd_documents):
+    rows = packing.pack_documents(odd_documents, PATH).toPandas()
+    whole = Tokenizer.from_file(PATH)
+    want = sorted(str(whole.encode(r.text or "", add_special_tokens=False).ids + [0]) for r in odd_documents.collect())
+    firsts = rows[rows.piece == 0]
+    assert len(firsts) == len(want)
+    by_start = rows[rows.doc_id.isin([5])].sort_values("start")
+    ids = np.frombuffer(b"".join(by_start.ids), "<u4").tolist()
+    assert str(ids) in want
+    short = [str(np.frombuffer(x, "<u4").tolist()) for x in firsts[firsts.length < 2048].ids]
+    assert set(short) <= set(want)
+
+
+def test_near_duplicates_against_all_pairs(spark, docs, odd_documents):
+    both = docs.select("doc_id", "text").union(odd_documents.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    rows = simhash.near_duplicates(both).toPandas()
+    fps = {int(x) & (2**64 - 1) for x in rows.fp}
+    parent = {x: x for x in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4:
+                parent[root(a)] = root(b)
+    rows["root"] = [root(int(x) & (2**64 - 1)) for x in rows.fp]
+    want = rows.groupby("root").doc_id.transform("min")
+    assert len(rows) == both.count()
+    assert ((rows.component_id == want) | (rows.component_id.isna() & want.isna())).all()
+
+
+def test_fingerprint_of_short_texts():
+    assert simhash.fingerprint(None, 4) == simhash.fingerprint(" \n", 4) == 0
+    assert simhash.fingerprint("A b", 4) == xxhash.xxh64_intdigest(b"a b", 42)
+
+
+def test_ball_plan_reaches_all_distances():
+    rng = np.random.default_rng(0)
+    for segments in (2, 3, 4):
+        plan = simhash.ball_plan(4, segments)
+        for _ in range(200):
+            change = sum(1 << int(i) for i in rng.choice(64, 4, replace=False))
+            assert any(change & mask in changes for _, mask, changes in plan)
+
+
+def test_languages_of_held_out_texts(docs, odd_documents):
+    held = "pmod(crc32(coalesce(cast(doc_id as string), '')), 4) = 2"
+    rows = langid.predict_languages(docs, held).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    assert (rows.lang == rows.lang_pred).mean() > 0.9
+    odd = langid.predict_languages(odd_documents, held).toPandas()
+    assert len(odd) == odd_documents.count() and odd.score.between(0, 1).all()
+    assert set(odd[odd.doc_id.isin([2, 3, 4, 8])].lang_pred) == {"und"}
+
+
+def _brute_score(p, symbols):
+    a, total = p.start * p.emits[symbols[0]], 0.0
+    for s in symbols[1:]:
+        total += math.log10(a.sum())
+        a = (a / a.sum()) @ p.moves * p.emits[s]
+    return total + math.log10(a.sum())
+
+
+def test_forward_and_expected_counts():
+    rng = np.random.default_rng(3)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    p = hmm.Parameters(norm(rng.random(3)), norm(rng.random((3, 3))), np.ascontiguousarray(norm(rng.random((3, 5))).T))
+    sequences = [rng.integers(0, 5, n) for n in (1, 4, 2, 6, 4)]
+    ragged = hmm.Ragged(sequences)
+    assert np.allclose(ragged.forward(p), [_brute_score(p, s) for s in sequences])
+    start, moves, counts = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
+    for s in sequences:  # all paths
+        paths = [()]
+        for _ in s:
+            paths = [(*x, k) for x in paths for k in range(3)]
+        weights = [p.start[x[0]] * np.prod([p.emits[y, k] for y, k in zip(s, x)]) * np.prod([p.moves[i, j] for i, j in zip(x, x[1:])]) for x in paths]
+        for x, w in zip(paths, np.array(weights) / sum(weights)):
+            start[x[0]] += w
+            for i, j in zip(x, x[1:]):
+                moves[i, j] += w
+            for y, k in zip(s, x):
+                counts[k, y] += w
+    for have, want in zip(ragged.expected(p), (start, moves, counts)):
+        assert np.allclose(have, want)
+
+
+def test_scores_of_texts(docs, odd_documents):
+    both = docs.select("doc_id", "text").union(odd_documents.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    held = "pmod(crc32(coalesce(cast(doc_id as string), '')), 10) = 0"
+    rows = hmm.score_texts(both, held, states=3, frequent=500, classes=50, sample_texts=50).toPandas()
+    texts = both.withColumn("held", F.expr(held)).collect()
+    counts = Counter(w for r in texts if not r.held for w in [*hmm.tokens(r.text), None])
+    total, kinds = sum(counts.values()), len(counts)
+    assert len(rows) == len(texts) and set(rows.train_tokens) == {total}
+    base = lambda ws: sum(math.log10((counts.get(w, 0) + 0.1) / (total + 0.1 * (kinds + 1))) for w in ws)
+    key = lambda i, s: (i is None or i != i, -1 if i is None or i != i else int(i), round(s, 6))
+    want = sorted((key(r.doc_id, base(ws)), len(ws), sum(w in counts for w in ws)) for r in texts for ws in [[*hmm.tokens(r.text), None]])
+    have = sorted((key(r.doc_id, r.base_score), r.n_tokens, r.n_known) for r in rows.itertuples())
+    assert have == want
+    new = rows[rows.held_out]
+    assert new.score.sum() > new.base_score.sum()
+
+
+def test_recurring_passages_against_brute_force(docs, odd_documents):
+    both = docs.select("doc_id", "text").union(odd_documents.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    rows = phrases.remove_recurring(both, shard_words=20_000).toPandas()
+    texts = [(r.text or "").encode().split() for r in both.collect()]
+    seen = Counter(tuple(w[i : i + 35]) for w in texts for i in range(len(w) - 34))
+    want = []
+    for w in texts:
+        keep = np.ones(len(w), bool)
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                keep[i : i + 35] = False
+        want.append((len(w), len(w) - int(keep.sum()), b" ".join(x for x, k in zip(w, keep) if k).decode()))
+    assert sorted(rows[["n_words", "n_removed", "text"]].itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_line_windows(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd\ny"), (3, "q\nq\nq\nq\nq"), (4, "\n\n\n\n"), (5, None), (6, ""), (7, "a\nb"), (8, "a\nb\nc\nd"), (8, "a\nb\nc\nd")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_lines string")
+    found = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(df).collect() if r.doc_id != 5)
+    assert found == [
+        (1, "a\nb\nc\nd", 4, 0), (2, "x\ny", 5, 3), (3, "q\nq\nq", 5, 2), (4, "\n\n\n\n", 5, 0), (6, "", 1, 0), (7, "a\nb", 2, 0),
+        (8, "", 4, 4), (8, "", 4, 4),
+    ]
+    null = linededup.dedup_lines(df).filter("doc_id = 5").first()
+    assert null.text is None and null.n_lines == 0
+
+
+@pytest.mark.parametrize("sent_rows", [0, 1000])
+def test_items_in_long_documents(spark, sent_rows):
+    item = "one two three four five six seven eight nine ten"
+    changed = item.replace("ten", "11")
+    rows = [(1, "x " * 5000 + item.upper() + " y" * 5000), (2, changed + "!"), (3, item[:24]), (4, None), (5, ""), (None, item), (6, item), (6, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (7, item), (None, "a b c d e")], "item_id long, text string")
+    found = decontam.contained_items(docs, items, sent_rows=sent_rows).collect()
+    have = sorted((r.doc_id or 0, r.item_id, r.n_shared, r.n_item) for r in found)
+    assert have == [(0, 7, 6, 6), (1, 7, 6, 6), (2, 7, 5, 6), (6, 7, 6, 6)]
+
+
+def test_toxic_documents(spark, docs, odd_documents):
+    rows = [(i, f"some quiet words number {i}" + (" vile" if i % 3 == 0 else ""), 0) for i in range(300)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, rejected int")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0), int(i % 3 == 0)) for i in range(150)], "doc_id long, low_quality int, toxic int")
+    found = toxicity.toxic_documents(own, labels).toPandas()
+    assert (found.rejected == (found.doc_id % 3 == 0)).all()
+    odd = toxicity.toxic_documents(odd_documents, labels)
+    assert odd.count() == odd_documents.count()
+    assert odd.filter("doc_id in (2, 3, 4, 8) and rejected").count() == 0
+    assert toxicity.toxic_documents(own, labels.limit(0)).filter("rejected").count() == 0
+
+
+def test_urls(spark):
+    urls = [None, "", "nothing", "http://A.com/x", "https://www.Example.com/en/1?q", "http://b.example.com/en/2", "ftp://c.net/es/3#f", "http://d.net/es", "http://com", "http://e.org/x://y.com/"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    found = {r.page_id: r for r in urlfilter.judge_urls(pages).collect()}
+    assert [found[i].host for i in range(10)] == ["", "", "", "a.com", "www.example.com", "b.example.com", "c.net", "d.net", "com", "e.org"]
+    assert [found[i].path for i in (2, 3, 4, 6, 7, 9)] == ["", "/x", "/en/1", "/es/3", "/es", "/x://y.com/"]
+    assert [found[i].rule for i in range(10)] == [None, None, None, "com/", "www.example.com/en/", "example.com/en/", "net/es/", None, None, None]
+    assert found[4].verdict == "allow" and found[5].verdict == "block"
+    assert all(r.verdict in ("allow", "block") for r in found.values())
+
+
+def test_nearest_vectors(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.standard_normal(8).tolist()) for i in range(400)]
+    vectors += [(1000 + i, vectors[100][1]) for i in range(30)]
+    odd = [(500, None), (600, []), (700, [0.0] * 8), (800, [float("nan")] * 8), (None, [1.0] * 8), (900, [1.0, None] * 4), (901, [1.0] * 3), (200, vectors[200][1])]
+    df = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>")
+    for least, recall in ((2000, 1.0), (40, 0.5)):
+        found = annforest.nearest(df, "vec_id % 100 = 0", least=least).toPandas()
+        sound = {i: np.array(v, np.float32).astype(float) for i, v in vectors}
+        hits = 0
+        assert sorted(set(found.query_id)) == [i for i in sorted(sound) if i % 100 == 0]
+        for q, rows in found.groupby("query_id"):
+            want = sorted((math.sqrt(((v - sound[q]) ** 2).sum()), i) for i, v in sound.items() if i != q)[:10]
+            rows = rows.sort_values("rank")
+            hits += len({i for _, i in want} & set(rows.vec_id))
+            if recall == 1.0:
+                assert rows.vec_id.tolist() == [i for _, i in want] and rows["rank"].tolist() == list(range(1, 11))
+                assert np.allclose(rows.score, [s for s, _ in want])
+        assert hits >= recall * len(found)
+
+
+def test_empty_tables(spark, odd_documents):
+    none = odd_documents.limit(0)
+    pages = spark.createDataFrame([], "page_id long, url string")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    items = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, low_quality int, toxic int")
+    results = [
+        packing.pack_documents(none, PATH), simhash.near_duplicates(none), langid.predict_languages(none, "true"), urlfilter.judge_urls(pages),
+        hmm.score_texts(none, "doc_id = 0"), phrases.remove_recurring(none), linededup.dedup_lines(none), decontam.contained_items(none, items),
+        toxicity.toxic_documents(none, labels), annforest.nearest(vectors, "vec_id % 100 = 0"),
+    ]
+    assert [r.count() for r in results] == [0] * 10
+
+
+def test_odd_rows_keep_every_row(odd_documents):
+    n = odd_documents.count()
+    assert simhash.near_duplicates(odd_documents).count() == n
+    out = phrases.remove_recurring(odd_documents, carry={"h": F.sha2("text", 256)})
+    assert out.count() == n and out.filter(F.col("h") == hashlib.sha256(b"").hexdigest()).count() >= 3
+    assert linededup.without_repeated_lines(odd_documents).columns == odd_documents.columns
