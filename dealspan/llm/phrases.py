@@ -21,6 +21,8 @@ WINDOW = 35
 GRAM = 8
 SHARD_WORDS = 1_000_000
 UNIFORM, MIXED = 1, 2
+#: The bits of a gram's hash that go with a text to its shard, to tell texts without any recurring gram.
+SHORT = 0x7FFFFFFF
 #: Odd multipliers of the two polynomial hashes, and their inverses modulo 2 ** 64.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSE = tuple(pow(f, -1, 1 << 64) for f in FACTORS)
@@ -132,7 +134,7 @@ def _known(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
-    """The lists of a column of longs, one by one."""
+    """The lists of a column of integers, one by one."""
     for chunk in column.chunks:
         values, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
         yield from (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
@@ -149,11 +151,13 @@ def _open_windows(window: int, gram: int) -> Callable:
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         mixed = np.sort(_column(found, "anchor")[_column(found, "state") == MIXED])
         ones, twos = [], []
-        for i, own in enumerate(_lists(docs.column("anchors"))):
-            if not (hit := _known(own, mixed)).any():
+        short = np.unique(mixed & SHORT).astype(np.int32)
+        for i, own in enumerate(_lists(docs.column("short"))):
+            if not _known(own, short).any():
                 continue
             hashes = WordHashes(_words(docs.column("body")[i].as_py()))
-            places, _ = anchors(hashes, window, gram)
+            places, grams = anchors(hashes, window, gram)
+            hit = _known(grams.view(np.int64), mixed)
             starts = np.flatnonzero(_covered(*_around(places[hit], hashes.n, window, gram), hashes.n))
             ones.append(hashes.spans(starts, starts + window, 0))
             twos.append(hashes.spans(starts, starts + window, 1))
@@ -172,10 +176,10 @@ def _open_windows(window: int, gram: int) -> Callable:
 def _locate(window: int, gram: int, schema: pa.Schema, id_col: str) -> Callable:
     """Puts a shard's recurring passages in one automaton and streams all its documents through it."""
 
-    def passages(words: list[bytes], own: np.ndarray, uniform: np.ndarray, repeated: np.ndarray, same: int) -> list[tuple[int, int]]:
+    def passages(words: list[bytes], uniform: np.ndarray, repeated: np.ndarray, same: int) -> list[tuple[int, int]]:
         hashes = WordHashes(words)
-        places, _ = anchors(hashes, window, gram)
-        starts = _covered(*_around(places[_known(own, uniform)], hashes.n, window, gram), hashes.n)
+        places, grams = anchors(hashes, window, gram)
+        starts = _covered(*_around(places[_known(grams.view(np.int64), uniform)], hashes.n, window, gram), hashes.n)
         if len(repeated):
             at = np.arange(hashes.n - window + 1)
             one, two = hashes.spans(at, at + window, 0).view(np.int64), hashes.spans(at, at + window, 1).view(np.int64)
@@ -190,7 +194,7 @@ def _locate(window: int, gram: int, schema: pa.Schema, id_col: str) -> Callable:
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         state = _column(found, "state")
         uniform = np.sort(_column(found, "anchor")[state == UNIFORM])
-        recurring = np.sort(_column(found, "anchor")[state > 0])
+        short = np.unique(_column(found, "anchor")[state > 0] & SHORT).astype(np.int32)
         repeated = np.empty(int((state == 0).sum()), [("w1", np.int64), ("w2", np.int64)])
         repeated["w1"], repeated["w2"] = _column(found, "anchor")[state == 0], _column(found, "second")[state == 0]
         repeated.sort()
@@ -198,10 +202,10 @@ def _locate(window: int, gram: int, schema: pa.Schema, id_col: str) -> Callable:
         numbers: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
         bodies, counts = docs.column("body"), docs.column("n_words")
-        for i, own in enumerate(_lists(docs.column("anchors"))):
-            if _known(own, recurring).any():
+        for i, own in enumerate(_lists(docs.column("short"))):
+            if _known(own, short).any():
                 words = _words(bodies[i].as_py())
-                for a, b in passages(words, own, uniform, repeated, same):
+                for a, b in passages(words, uniform, repeated, same):
                     automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words[a:b]))
         if len(automaton):
             automaton.make_automaton()
@@ -257,6 +261,7 @@ def remove_recurring(
         total = texts.agg(F.sum("n_words")).first()[0] or 0
         shards = max(-(-total // shard_words), int(spark.conf.get("spark.sql.shuffle.partitions")))
         texts = texts.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)))
+        texts = texts.withColumn("short", F.transform("anchors", lambda x: x.bitwiseAND(F.lit(SHORT)).cast("int")))
 
         each = texts.select("shard", F.explode(F.arrays_zip("anchors", "blocks")).alias("x")).select("shard", "x.*")
         seen = each.groupBy(F.col("anchors").alias("anchor")).agg(
@@ -268,7 +273,7 @@ def remove_recurring(
         found = scratch.keep(places.join(recur, "anchor").select("shard", "anchor", "state"))
 
         by_shard = lambda df: df.groupBy("shard")
-        bodies = texts.select("shard", "body", "anchors")
+        bodies = texts.select("shard", "body", "short")
         windows = by_shard(bodies).cogroup(by_shard(found)).applyInArrow(_open_windows(window, gram), "shard long, w1 long, w2 long, n long")
         windows = scratch.keep(windows)
         twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter("`all` > 1").drop("all")
@@ -281,6 +286,6 @@ def remove_recurring(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         run = _locate(window, gram, to_arrow_schema(out), "own_id")
-        left = by_shard(texts.select("shard", "own_id", "body", "n_words", "anchors")).cogroup(by_shard(known)).applyInArrow(run, out)
+        left = by_shard(texts.select("shard", "own_id", "body", "n_words", "short")).cogroup(by_shard(known)).applyInArrow(run, out)
         columns = [c.alias(n) for n, c in carry.items()]
         return scratch.result(left.select(F.col("own_id").alias(id_col), "n_words", "n_removed", *columns))
