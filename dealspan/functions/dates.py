@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 # Date layouts found in the exports; M/d accepts padded and unpadded text.
 EXPORT_FORMAT = "M/d/yyyy"
-KNOWN_FORMATS = (EXPORT_FORMAT, "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+KNOWN_FORMATS = (
+    EXPORT_FORMAT, "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]",
+    "yyyy-MM-dd HH:mm", "M/d/yyyy H:mm", "yyyy/MM/dd",
+)
 
 # Calendar order of month names.
 MONTH_NAMES = (

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from dealspan.schema import MISSING_TEXT
 
 
+#: White space of any kind: controls, the no-break space and the wide spaces.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space at either end."""
+    return F.trim(c, F.lit(SPACES))
+
+
 def known_text(c: Column) -> Column:
     """Blank text and the stand-ins for "missing" become null."""
-    return F.when(~F.trim(c).isin(*MISSING_TEXT), c)
+    return F.when(~stripped(c).isin(*MISSING_TEXT), c)
 
 
 def text_or_na(c: Column) -> Column:
@@ -19,8 +28,8 @@ def text_or_na(c: Column) -> Column:
 
 
 def normalize_name(c: Column) -> Column:
-    """Lower case without outer blanks; null stays null."""
-    return F.trim(F.lower(c))
+    """Lower case without outer white space; null stays null."""
+    return stripped(F.lower(c))
 
 
 def title_case(c: Column) -> Column:

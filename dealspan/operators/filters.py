@@ -120,3 +120,9 @@ def communities_of(df: DataFrame, cities: Sequence[str] = ()) -> DataFrame:
     """Community options inside the chosen cities; no choice means every known city."""
     inside = F.col("area_city").isin(*cities) if cities else F.col("area_city").isNotNull()
     return options(df.filter(inside), "community")
+
+
+def require_dates(flt: DealFilter, what: str) -> None:
+    """Reports on a grid of the filter's months or years need both dates."""
+    if flt.start is None or flt.end is None:
+        raise ValueError(f"{what} needs the filter's start and end")

@@ -39,11 +39,11 @@ def dense_rank_counts(totals: DataFrame, metric: str, name: str = "ranking") ->
 
     Only the distinct counts go through the ordered window. ``k`` distinct positive counts add
     up to at least ``k(k+1)/2`` input rows, so ``k`` is below ``sqrt(2 * rows)``: a million
-    values for a trillion deal sides. That bound also covers the broadcast of the ranks.
+    values for a trillion deal sides. How the ranks are joined is left to their size.
     """
     distinct = totals.select(metric).distinct()
     ranks = distinct.withColumn(name, F.dense_rank().over(Window.orderBy(F.desc(metric))))
-    return totals.join(F.broadcast(ranks), metric)
+    return totals.join(ranks, metric)
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dealspan.functions.dates import month_label, month_start, months_between, months_touched
 from dealspan.functions.numbers import mean, percent, ratio_or_zero, total
 from dealspan.functions.text import currency_text, normalize_name, title_case
-from dealspan.operators.filters import DealFilter
+from dealspan.operators.filters import DealFilter, require_dates
 from dealspan.operators.grouping import complete_months, count_by, pivot_sum, with_month
 from dealspan.operators.ranking import first_value_per_key, keep_keys, top_keys, top_n
 from dealspan.operators.sides import (
@@ -95,8 +95,9 @@ def top_combined_firms(
 
 
 def average_headcount(brokerage: DataFrame, flt: DealFilter) -> DataFrame:
-    """Mean headcount per broker and month inside the filter's dates."""
-    found = brokerage.filter(F.col("date").between(F.lit(flt.start), F.lit(flt.end)))
+    """Mean headcount per broker and month inside the filter's dates, as far as they are set."""
+    found = brokerage if flt.start is None else brokerage.filter(F.col("date") >= F.lit(flt.start))
+    found = found if flt.end is None else found.filter(F.col("date") <= F.lit(flt.end))
     return (
         found.select(
             normalize_name(F.col("broker")).alias("firm"),
@@ -130,6 +131,7 @@ def deals_per_agent(
     The grid is unfolded for the chosen brokers only. Missing months, one-sided months and
     months without headcount all give 0.
     """
+    require_dates(flt, "the month grid")
     staffed = _staffed_deals(deals, brokerage, flt)
     months = months_between(flt.start, flt.end)
     in_grid = F.col("month").isin(months) if months else F.lit(False)
@@ -162,8 +164,7 @@ def firm_month_share(
         totals = firm_months.groupBy("month").agg(F.sum("deals").alias("total_deals"))
     else:
         totals = count_by(with_month(deals if market is None else market), "month", name="total_deals")
-    # One row per calendar month: a date column holds at most 120,000 of them.
-    joined = firm_months.join(F.broadcast(totals), "month")
+    joined = firm_months.join(totals, "month")
     return joined.withColumn("share_pct", percent(F.col("deals"), F.col("total_deals")))
 
 
@@ -208,6 +209,7 @@ def active_agents(deals: DataFrame, brokerage: DataFrame, flt: DealFilter) -> Da
 
 def active_agents_table(deals: DataFrame, brokerage: DataFrame, flt: DealFilter) -> DataFrame:
     """:func:`active_agents` with one column per month of the filter, such as ``Jan-2024``."""
+    require_dates(flt, "the month columns")
     months = months_touched(flt.start, flt.end)
     labels = [m.strftime("%b-%Y") for m in months]
     counts = active_agents(deals, brokerage, flt)

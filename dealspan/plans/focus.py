@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dealspan.functions.dates import MONTH_NAMES
 from dealspan.functions.numbers import mean, one_place, ratio, total, whole
-from dealspan.operators.filters import DealFilter, differs, either_is
+from dealspan.operators.filters import DealFilter, differs, either_is, require_dates
 from dealspan.operators.grouping import count_by, with_month, with_share
 from dealspan.operators.ranking import bottom_n, keep_keys, top_n
 from dealspan.operators.sides import deal_sides, with_dual
@@ -107,6 +107,7 @@ def seasonal_dom(deals: DataFrame, flt: DealFilter, focus_firm: str) -> DataFram
     Years come from the filter dates, so no extra job looks for them. Months without deals
     keep their row.
     """
+    require_dates(flt, "the year columns")
     years = list(range(flt.start.year, flt.end.year + 1))
     found = focus_deals(deals, flt, focus_firm).select(
         F.month("sold_date").alias("month_no"), F.year("sold_date").alias("_year"), "days_on_market"

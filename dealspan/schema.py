@@ -79,7 +79,10 @@ TABLE_ALIASES = {
 }
 
 # Text that stands for a missing value.
-MISSING_TEXT = ("", "N/A", "nan", "None")
+MISSING_TEXT = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "NaT", "None", "n/a", "nan", "none", "null",
+)
 
 
 def raw_listings_schema() -> T.StructType:

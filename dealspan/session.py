@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,8 +11,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Re-running one load replaces that load's partition only.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -36,14 +32,12 @@ def local_session(cores: int | str = 8, app: str = "dealspan") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Without that setting a local session gets a folder of its own; a cluster must name one.
+    Without that setting a folder in the warehouse, which a cluster shares as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if not configured and not current:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="dealspan-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not current:
         spark.sparkContext.setCheckpointDir(configured)
     return configured or current

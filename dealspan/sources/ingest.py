@@ -14,7 +14,7 @@ from dealspan.functions.numbers import (
     parse_grouped,
     safe_decimal,
 )
-from dealspan.functions.text import known_text, text_or_na
+from dealspan.functions.text import known_text, stripped, text_or_na
 from dealspan.schema import (
     BROKERAGE,
     BROKERAGE_DISPLAY_NAMES,
@@ -55,11 +55,11 @@ def clean_deals(raw: DataFrame, strict: bool = True) -> DataFrame:
             value = strict_date(text) if strict else lenient_date(text, KNOWN_FORMATS)
         elif field.name in ("list_price", "sold_price", "price_per_sqft"):
             to = field.dataType.simpleString()
-            value = parse_currency(text, to) if strict else lenient_number(text, to)
+            value = parse_currency(text, to) if strict else lenient_number(F.translate(stripped(text), "$,", ""), to)
         elif field.name == "total_flr_area_sf":
-            value = parse_grouped(text) if strict else text.try_cast("double")
+            value = parse_grouped(text) if strict else F.translate(stripped(text), ",", "").try_cast("double")
         else:
-            value = text.try_cast("double").try_cast(field.dataType)
+            value = F.translate(stripped(text), ",", "").try_cast("double").try_cast(field.dataType)
         found.append(value.alias(field.name))
     return named.select(*found)
 
@@ -93,7 +93,7 @@ def listing_items(raw: DataFrame) -> DataFrame:
 def brokerage_items(raw: DataFrame, key: str = "broker") -> DataFrame:
     """Headcounts as stored items: key required, null keys dropped, floats as decimals."""
     require_column(raw, key)
-    known = raw.filter(F.col(key).isNotNull() & ~F.trim(F.col(key)).isin(*MISSING_TEXT))
+    known = raw.filter(F.col(key).isNotNull() & ~stripped(F.col(key)).isin(*MISSING_TEXT))
     text = [c for c in (key, "firm") if c in raw.columns]
     return decimal_items(finite_columns(known.withColumns({c: F.col(c).cast("string") for c in text})))
 

@@ -83,7 +83,7 @@ def item_profile(
 ) -> DataFrame:
     """Attributes inside a JSON text column of the sampled rows, with the first observed type."""
     numbered = _sampled(df.select(*order, json_column), order, sample).select(
-        F.monotonically_increasing_id().alias("_row"), F.parse_json(json_column).alias("_item")
+        F.monotonically_increasing_id().alias("_row"), F.try_parse_json(json_column).alias("_item")
     )
     fields = numbered.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_item").outer()))
     return fields.groupBy(F.col("key").alias("attribute")).agg(

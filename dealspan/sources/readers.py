@@ -25,17 +25,20 @@ def scan_table(
     fmt: str = "parquet",
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Whole table, or its deals sold between two dates (both included).
+    """Whole table, or its deals sold from one date to another (both included); either may be unset.
 
     The dates reach the file scan; on a table written by :func:`dealspan.sources.sinks.write_deals`
     they also skip whole years.
     """
     reader = spark.read.format(fmt)
     df = (reader.schema(schema) if schema is not None else reader).load(path)
-    if start and end:
-        df = df.filter(F.col("sold_date").between(F.lit(start), F.lit(end)))
-        if "sold_year" in df.columns:
-            df = df.filter(F.col("sold_year").between(start.year, end.year))
+    by_year = "sold_year" in df.columns
+    if start:
+        df = df.filter(F.col("sold_date") >= F.lit(start))
+        df = df.filter(F.col("sold_year") >= start.year) if by_year else df
+    if end:
+        df = df.filter(F.col("sold_date") <= F.lit(end))
+        df = df.filter(F.col("sold_year") <= end.year) if by_year else df
     return df
 
 

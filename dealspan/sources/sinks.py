@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ def upsert(
     newest = best_per_key(keyed, keys, latest)
     if current is None:
         return newest
-    kept = current.join(keyed.select(*keys).distinct(), list(keys), "left_anti")
+    kept = current.join(newest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(newest)
 
 
@@ -48,13 +49,15 @@ def append(df: DataFrame, path: str) -> None:
 def write_deals(deals: DataFrame, path: str) -> None:
     """Deals by sold year, range-partitioned by date so that files cover narrow date ranges.
 
-    ``listing_id`` splits a date that holds a large part of the rows over several tasks.
+    ``listing_id`` splits a date that holds a large part of the rows over several tasks. Years of an
+    earlier table at ``path`` go, whatever the session's overwrite mode is.
     """
     (
         deals.withColumn("sold_year", F.year("sold_date"))
         .repartitionByRange("sold_date", "listing_id")
         .sortWithinPartitions("sold_year", "sold_date")  # the order the writer asks for
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
         .partitionBy("sold_year")
         .parquet(path)
     )
@@ -114,13 +117,9 @@ def write_load(
 
 
 def _write_partition(df: DataFrame, path: str, load_id: str) -> None:
-    (
-        df.withColumn("load_id", F.lit(load_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("load_id")
-        .parquet(path)
-    )
+    # A directory for each load, so that a load without rows also replaces what was there.
+    folder = f"{path.rstrip('/')}/load_id={quote(load_id, safe='-_. ')}"
+    df.write.mode("overwrite").parquet(folder)
 
 
 def write_parallel(df: DataFrame, path: str, tasks: int | None = None) -> None:
