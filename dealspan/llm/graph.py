@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from dealspan.llm.common import Scratch
 
-#: So many links, each in both directions, are few enough for one task.
-TASK_LINKS = 200_000
+#: So many links, each in both directions, are left to one task: a tail too short for jobs of its own.
+TASK_LINKS = 5_000
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

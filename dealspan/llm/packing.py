@@ -14,6 +14,8 @@ from dealspan.llm.common import Scratch, fields, slices
 from dealspan.llm.tokens import coder
 
 CAPACITY = 2048
+#: A sweep has at least so many ranges; with fewer documents and gaps left than the other, one task ends the rounds.
+RANGES, TAIL = 8, 2_000
 DOC, GAP, PAIR = 0, 1, 2
 STATE = "kind int, id long, size long, gap_id long, gap_size long"
 
@@ -145,7 +147,7 @@ def _opened(n_docs: int, need: int, room: int, halves: int, first: bool, any_met
 
 
 def _rounds(capacity: int, first: bool):
-    """All remaining rounds for a bounded number of documents and gaps, in one task."""
+    """The last rounds, for a few documents and gaps, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[tuple[int, int]] = []
@@ -189,7 +191,7 @@ def _rounds(capacity: int, first: bool):
     return run
 
 
-def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int = 100_000) -> DataFrame:
+def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int = 100_000, tail: int = TAIL) -> DataFrame:
     """Places units (``unit_id``, ``length`` up to ``capacity``) in sequences: ``sequence_id``, ``offset``.
 
     Bulk-synchronous best fit. A first set of sequences is opened by the largest units: as many as their
@@ -199,10 +201,11 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int =
     rank, for which the driver sees two counts per range. Gaps shrink, and the round is repeated. Where the
     documents left need more room than all gaps have, or none fits, the largest of them open sequences.
     Units below a 32nd of the capacity are put together first, so that there are few rounds, and gaps below all
-    documents are left out. Once at most ``task_rows`` documents and gaps are left, one task does the other rounds.
+    documents are left out. A range has about ``range_rows`` of them. Once at most ``tail`` documents and gaps are
+    left, one task does the last rounds, so that a job for a handful of documents does not follow another.
     """
     spark, small = units.sparkSession, max(1, capacity // 32)
-    n = max(1, units.count() // task_rows)
+    n = max(RANGES, units.count() // range_rows)
     tiny = units.filter(F.col("length") < small)
     grouped = scratch.keep(tiny.repartition(n, "unit_id").mapInArrow(_bundles(small), "unit_id long, length long, bundle_id long, place long"))
     docs = units.filter(F.col("length") >= small).select(F.col("unit_id").alias("id"), F.col("length").alias("size"))
@@ -212,10 +215,10 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, task_rows: int =
     while rows:
         # Below an equal gap, so that a document that fits exactly is met first.
         both = state.select("kind", F.coalesce(F.when(F.col("kind") == GAP, F.col("gap_id")), "id").alias("id"), F.coalesce("gap_size", "size").alias("size"))
-        if rows <= task_rows:
+        if rows <= tail:
             placed.append(scratch.keep(both.repartition(1).mapInArrow(_rounds(capacity, first), "id long, sequence_id long, offset long")))
             break
-        n = max(2, rows // task_rows)
+        n = max(RANGES, rows // range_rows)
         ranges = both.repartitionByRange(n, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
         swept = scratch.keep(ranges.mapInArrow(_sweep, STATE + ", rank long").withColumn("part", F.spark_partition_id()))
         is_doc, is_gap, is_pair = (F.col("kind") == k for k in (DOC, GAP, PAIR))

@@ -34,15 +34,15 @@ def test_token_coder_equals_the_tokenizer(odd_documents):
         assert np.frombuffer(own(text), "<u4").tolist() == want
 
 
-@pytest.mark.parametrize("task_rows", [100_000, 20])
-def test_packing_is_whole_and_tight(spark, docs, odd_documents, task_rows):
+@pytest.mark.parametrize("range_rows, tail", [(100_000, 0), (20, 50), (100_000, 100_000)])
+def test_packing_is_whole_and_tight(spark, docs, odd_documents, range_rows, tail):
     columns = ["doc_id", "text"]
     both = docs.select(columns).union(odd_documents.select(columns))
     with Scratch(spark) as scratch:
         pieces = packing.token_pieces(both, PATH).withColumn("unit_id", F.monotonically_increasing_id())
         pieces = scratch.keep(pieces)
         units = pieces.filter("length < 2048").select("unit_id", "length")
-        placed = packing.best_fit(units, 2048, scratch, task_rows).join(units, "unit_id").toPandas()
+        placed = packing.best_fit(units, 2048, scratch, range_rows, tail).join(units, "unit_id").toPandas()
         assert len(placed) == units.count()
         total = int(pieces.agg(F.sum("length")).first()[0])
         full = pieces.filter("length = 2048").count()
