@@ -40,12 +40,12 @@ class _Memo(dict):
 class TokenCoder:
     """Ids of texts as little-endian unsigned 32-bit integers, without special tokens added.
 
-    In a file with the rules above no token reaches over a blank, so the ids of a text are those of its
-    words in turn, and a word's ids are kept once known, for ``most`` words. Other files, and texts with
-    other characters or with a special token's own string, go through the tokenizer as a whole.
+    In a file with the rules above no token reaches over a piece of the split, so the ids of a text are those
+    of its pieces in turn, and a piece's ids are kept once known, for about ``most`` pieces. Other files, and
+    texts with other characters or with a special token's own string, go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         self._whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
@@ -60,22 +60,17 @@ class TokenCoder:
         self._letters = _byte_letters()
         self._most = most
         self._pieces = _Memo(self._piece)
-        self._words = _Memo(self._word)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
         return np.array([t.id for t in self._whole.model.tokenize(shown)], "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, _PIECES.findall(word)))
-
     def __call__(self, text: str) -> bytes:
         if not self._by_word or not _PLAIN.fullmatch(text) or any(s in text for s in self._special):
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self._words) > self._most:
-            self._words.clear()
+        if len(self._pieces) > self._most:
             self._pieces.clear()
-        return b"".join(map(self._words.__getitem__, text.lower().split()))
+        return b"".join(map(self._pieces.__getitem__, _PIECES.findall(text.lower())))
 
 
 @cache
