@@ -97,7 +97,7 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 def _prepare(window: int, gram: int, id_col: str, text_col: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=7).compress
         for batch in batches:
             for part, texts in slices(batch, text_col):
                 bodies, counts, grams, blocks = [], [], [], []
