@@ -22,6 +22,8 @@ SHARE = 0.25
 BLOCK = 8192
 QUERY_CHUNK = 1024
 SAMPLE = 20_000
+#: Keys are measured in batches of two to this power.
+BATCH_BITS = 13
 
 
 def _rotations(width: int, trees: int, digits: int, seed: int) -> np.ndarray:
@@ -69,33 +71,46 @@ def _depths(a: np.ndarray, b: int, bits: int, digits: int) -> np.ndarray:
     return out
 
 
+def _bitmaps(keys: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The batches that keys are in, and a bitmap of the keys of each."""
+    batches, at = np.unique(keys >> BATCH_BITS, return_inverse=True)
+    bits = np.zeros((len(batches), 1 << BATCH_BITS), bool)
+    bits[at, keys & ((1 << BATCH_BITS) - 1)] = True
+    return batches, [row.tobytes() for row in np.packbits(bits, axis=1, bitorder="little")]
+
+
+def _keys(batch: int, bitmap: bytes) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
+    return (batch << BATCH_BITS) + np.flatnonzero(bits)
+
+
 def _descend(reach: int, bits: int, digits: int, counts: bool):
     """A block of a tree's sorted array, with the queries whose place is in or near it.
 
     Puts out how many neighbours share how many digits with a query, or else those that share at least as many
-    as the query's ``lowest``.
+    as the query's ``lowest``: a bitmap for each batch of keys.
     """
+    names = ["query", "depth", "n"] if counts else ["query", "batch", "keys"]
+    kinds = [pa.int64(), pa.int64(), pa.int64() if counts else pa.binary()]
 
     def run(table: pa.Table) -> pa.Table:
         rows = {n: table.column(n).to_numpy() for n in ("hash", "key", "place", "lowest")}
         held = np.flatnonzero(rows["lowest"] < 0)
         held = held[np.argsort(rows["place"][held], kind="stable")]
         hashes, keys, places = rows["hash"][held], rows["key"][held], rows["place"][held]
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list] = [[], [], []]
         for i in np.flatnonzero(rows["lowest"] >= 0):
             own = rows["place"][i]
             near = slice(np.searchsorted(places, own - reach), np.searchsorted(places, own + reach, side="right"))
             depth = np.where(keys[near] == rows["key"][i], -1, _depths(hashes[near], rows["hash"][i], bits, digits))
             if counts:
-                some, n = np.unique(depth[depth >= 0], return_counts=True)
-                found = (some, n)
+                found = np.unique(depth[depth >= 0], return_counts=True)
             else:
-                found = (keys[near][depth >= rows["lowest"][i]],)
-            out[0].append(np.full(len(found[0]), rows["key"][i]))
-            for x, y in zip(out[1:], found, strict=False):
-                x.append(y)
-        names = ["query", "depth", "n"] if counts else ["query", "key"]
-        return pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in out[: len(names)]], names=names)
+                found = _bitmaps(keys[near][depth >= rows["lowest"][i]])
+            out[0].extend([rows["key"][i]] * len(found[0]))
+            for x, y in zip(out[1:], found, strict=True):
+                x.extend(y)
+        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
@@ -114,7 +129,7 @@ def _measure(k: int):
         vectors = np.array(held.column("vector").to_pylist(), np.float64)[order]
         out: list[list[np.ndarray]] = [[], [], []]
         for i in range(asked.num_rows):
-            at = np.searchsorted(keys, np.array(asked.column("keys")[i].as_py(), np.int64))
+            at = np.searchsorted(keys, _keys(asked.column("batch")[i].as_py(), asked.column("keys")[i].as_py()))
             gap = vectors[at] - np.array(asked.column("own")[i].as_py(), np.float64)
             score = np.sqrt((gap * gap).sum(axis=1))
             best = np.lexsort((firsts[at], score))[: k + 1]
@@ -214,14 +229,15 @@ def nearest(
         stop = by_depth.withColumn("so_far", F.sum("n").over(above)).filter(F.col("so_far") - F.col("n") < enough)
         stop = scratch.keep(stop.groupBy(F.col("query").alias("key")).agg(F.min("depth").alias("stop")))
         ready = rows(index.filter("is_query").join(stop, "key"), F.col("stop"), F.explode(blocks))
-        found = grouped(ready).applyInArrow(_descend(reach, bits, digits, False), "query long, key long")
-        itself = entries.filter("is_query").select(F.col("key").alias("query"), "key")  # for copies of the query
+        found = grouped(ready).applyInArrow(_descend(reach, bits, digits, False), "query long, batch long, keys binary")
+        batch = F.shiftright("key", BATCH_BITS).alias("batch")  # keys count up in each range of the written table
+        bit = F.bitmap_construct_agg(F.col("key").bitwiseAND(F.lit((1 << BATCH_BITS) - 1)))
+        itself = entries.filter("is_query").groupBy(F.col("key").alias("query"), batch).agg(bit.alias("keys"))  # for copies of the query
 
         asking = entries.filter("is_query").select(F.col("key").alias("query"), F.col("vector").alias("own"))
         chunks = max(1, -(-asking.count() // QUERY_CHUNK))
         chunk = F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("long").alias("chunk")
-        batch = F.shiftright("key", 13).alias("batch")  # keys count up in each range of the written table
-        pairs = found.union(itself).groupBy(batch, "query").agg(F.collect_set("key").alias("keys"))  # at most 8192
+        pairs = found.union(itself).groupBy("batch", "query").agg(F.bitmap_or_agg("keys").alias("keys"))
         pairs = pairs.join(asking, "query").select("batch", chunk, "query", "own", "keys")
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk")
         stored = entries.select(batch, "key", "vector", F.col("ids")[0].alias("first"), each)
