@@ -140,6 +140,18 @@ def _measure(k: int):
     return run
 
 
+def _numbered(written: DataFrame) -> DataFrame:
+    """A written table's rows numbered from 0 without gaps as ``key``, by the number of rows of each writing task."""
+    task = F.shiftright("at", 33)
+    counts = written.groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy("task").collect()
+    starts, before = [], 0
+    for r in counts:  # one per task
+        starts.append((r.task, before - r.first))
+        before += r.n
+    starts = written.sparkSession.createDataFrame(starts, "task long, shift long")
+    return written.join(F.broadcast(starts), task == starts["task"]).withColumn("key", F.col("at") + F.col("shift")).drop("at", "task", "shift")
+
+
 def nearest(
     vectors: DataFrame,
     queries: str,
@@ -194,7 +206,7 @@ def nearest(
         ids = ranked.groupBy("vector").agg(F.sort_array(F.collect_list("own_id")).alias("ids"))
         asked = own.filter("asks").groupBy("vector").agg(F.lit(True).alias("is_query"))
         entries = ids.join(asked, "vector", "left").withColumn("is_query", F.coalesce("is_query", F.lit(False)))
-        entries = scratch.keep(entries.withColumn("key", F.monotonically_increasing_id()))
+        entries = _numbered(scratch.keep(entries.withColumn("at", F.monotonically_increasing_id())))
 
         some = entries.select("vector").orderBy(F.xxhash64("vector"), "key").limit(sample)
         mean = some.select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).orderBy("at").collect()
@@ -230,7 +242,7 @@ def nearest(
         stop = scratch.keep(stop.groupBy(F.col("query").alias("key")).agg(F.min("depth").alias("stop")))
         ready = rows(index.filter("is_query").join(stop, "key"), F.col("stop"), F.explode(blocks))
         found = grouped(ready).applyInArrow(_descend(reach, bits, digits, False), "query long, batch long, keys binary")
-        batch = F.shiftright("key", BATCH_BITS).alias("batch")  # keys count up in each range of the written table
+        batch = F.shiftright("key", BATCH_BITS).alias("batch")
         bit = F.bitmap_construct_agg(F.col("key").bitwiseAND(F.lit((1 << BATCH_BITS) - 1)))
         itself = entries.filter("is_query").groupBy(F.col("key").alias("query"), batch).agg(bit.alias("keys"))  # for copies of the query
 
