@@ -29,6 +29,22 @@ def top_keys(
     return top.filter(F.col(key) != pin).union(pinned)
 
 
+def top_and_pinned(
+    totals: DataFrame, metric: str, key: str, n: int = 10, pin: str | None = None
+) -> DataFrame:
+    """Rows of the ``n`` largest totals, plus a pinned key's row, in one pass over the totals.
+
+    The pinned row sorts first, so it is among the ``n + 1`` rows that are taken; the rank runs over
+    those alone.
+    """
+    if pin is None:
+        return top_n(totals, metric, key, n=n)
+    pinned = F.coalesce(F.col(key) == F.lit(pin), F.lit(False))
+    few = totals.orderBy(F.desc(pinned), F.desc(metric), key).limit(n + 1)
+    place = F.row_number().over(Window.orderBy(F.desc(metric), key))
+    return few.withColumn("_place", place).filter((F.col("_place") <= n) | pinned).drop("_place")
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the key table."""
     return df.join(keys.select(key), key, "left_semi")

@@ -16,7 +16,7 @@ from dealspan.functions.numbers import mean, percent, ratio_or_zero, total
 from dealspan.functions.text import currency_text, normalize_name, title_case
 from dealspan.operators.filters import DealFilter, require_dates
 from dealspan.operators.grouping import complete_months, count_by, pivot_sum, with_month
-from dealspan.operators.ranking import first_value_per_key, keep_keys, top_keys, top_n
+from dealspan.operators.ranking import first_value_per_key, top_and_pinned, top_n
 from dealspan.operators.sides import (
     any_side_total,
     both_sides_total,
@@ -128,18 +128,23 @@ def deals_per_agent(
 ) -> DataFrame:
     """Monthly deals per agent for the largest brokers and the focus firm, on a full month grid.
 
-    The grid is unfolded for the chosen brokers only. Missing months, one-sided months and
+    A broker's months stay with its total, so both tables are read once, and the grid is unfolded for
+    the chosen brokers only. Missing months, one-sided months and
     months without headcount all give 0.
     """
     require_dates(flt, "the month grid")
     staffed = _staffed_deals(deals, brokerage, flt)
     months = months_between(flt.start, flt.end)
     in_grid = F.col("month").isin(months) if months else F.lit(False)
-    totals = staffed.groupBy("firm").agg(total(F.when(in_grid, F.col("deals"))).alias("in_grid"))
-    chosen = top_keys(totals, "in_grid", "firm", n, _folded(focus_firm))
-    grid = complete_months(keep_keys(totals, chosen, "firm").select("firm"), months)
-    cells = keep_keys(staffed, chosen, "firm")
-    found = grid.join(cells, ["firm", "month"], "left")
+    cells = F.collect_list(F.struct("month", F.struct("deals", "avg_agents")))
+    firms = staffed.groupBy("firm").agg(
+        total(F.when(in_grid, F.col("deals"))).alias("in_grid"),
+        F.map_from_entries(cells).alias("cells"),
+    )
+    chosen = top_and_pinned(firms, "in_grid", "firm", n, _folded(focus_firm))
+    grid = complete_months(chosen.select("firm", "cells"), months)
+    found = grid.select("firm", "month", F.col("cells")[F.col("month")].alias("cell"))
+    found = found.select("firm", "month", "cell.deals", "cell.avg_agents")
     return found.select(
         "firm",
         "month",
@@ -171,12 +176,14 @@ def firm_month_share(
 def top_share(shares: DataFrame, n: int = 10, pin: str | None = None) -> DataFrame:
     """Share rows of the firms with the largest summed share, plus a pinned firm.
 
-    Sums are compared at six places, so the order of addition cannot change the choice.
+    Sums are compared at six places, so the order of addition cannot change the choice. A firm's rows,
+    at most one per calendar month, stay with its sum, so the shares are computed once.
     """
-    summed = shares.groupBy("firm").agg(F.round(F.sum("share_pct"), 6).alias("summed"))
-    return keep_keys(shares, top_keys(summed, "summed", "firm", n, pin), "firm").select(
-        "firm", "month", "deals", "total_deals", "share_pct"
+    row = F.struct("month", "deals", "total_deals", "share_pct")
+    firms = shares.groupBy("firm").agg(
+        F.round(F.sum("share_pct"), 6).alias("summed"), F.collect_list(row).alias("rows")
     )
+    return top_and_pinned(firms, "summed", "firm", n, pin).select("firm", F.inline("rows"))
 
 
 def market_share(
