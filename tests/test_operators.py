@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dealspan.operators import filters, grouping, ranking, sides
 from dealspan.operators.filters import DealFilter
+from dealspan.plans.brokers import top_share
 
 DEAL = (
     "listing_firm string, buyer_firm string, listing_agent string, buyer_agent string, "
@@ -49,6 +50,28 @@ def test_dense_rank(spark):
     assert as_map(ranking.dense_rank_counts(df, "n"), "k", "ranking") == {"a": 1, "b": 2, "c": 1, "d": 3}
 
 
+def test_top_and_pinned_is_top_keys_with_rows(spark):
+    rows = [("a", 5), ("c", 4), ("b", 4), ("d", 1), (None, 3)]
+    df = spark.createDataFrame(rows, "k string, n int")
+    for n in (1, 2, 3):
+        for pin in (None, "a", "b", "c", "d", "missing"):
+            kept = {r.k for r in ranking.top_and_pinned(df, "n", "k", n, pin).collect()}
+            first = sorted(rows, key=lambda r: (-r[1], r[0] or ""))[:n]
+            assert kept == {k for k, _ in first} | {k for k, _ in rows if pin and k == pin}
+
+
+def test_top_share_reads_shares_once(spark):
+    shares = spark.range(40).selectExpr(
+        "concat('f', id % 5) AS firm", "make_date(2024, int(id div 5) + 1, 1) AS month",
+        "id AS deals", "100 AS total_deals", "double(id) AS share_pct",
+    )
+    found = top_share(shares, 2, "f0")
+    assert {r.firm for r in found.collect()} == {"f4", "f3", "f0"}
+    assert found.count() == 24
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
 def test_top_keys_with_pin(spark):
     df = spark.createDataFrame([("a", 5), ("b", 5), ("c", 9), ("d", 1)], "k string, n long")
     keys = lambda d: sorted(r.k for r in d.collect())

@@ -632,8 +632,7 @@ def ranking_entries() -> dict[str, Entry]:
 
     def pinned(d):
         counts = count_by(_sides(d), "firm")
-        keys = ranking.top_keys(counts, "deals", "firm", 10, FOCUS)
-        return ranking.keep_keys(counts, keys, "firm").withColumn(
+        return ranking.top_and_pinned(counts, "deals", "firm", 10, FOCUS).withColumn(
             "is_focus", brokers.is_focus("firm", FOCUS)
         )
 
