@@ -63,14 +63,6 @@ def _hashed(shared):
     return run
 
 
-def _depths(a: np.ndarray, b: int, bits: int, digits: int) -> np.ndarray:
-    """How many digits the hashes have in common with one from the left."""
-    out = np.zeros(len(a), np.int64)
-    for d in range(1, digits + 1):
-        out += (a >> (bits * (digits - d))) == (b >> (bits * (digits - d)))
-    return out
-
-
 def _bitmaps(keys: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """The batches that keys are in, and a bitmap of the keys of each."""
     batches, at = np.unique(keys >> BATCH_BITS, return_inverse=True)
@@ -84,35 +76,22 @@ def _keys(batch: int, bitmap: bytes) -> np.ndarray:
     return (batch << BATCH_BITS) + np.flatnonzero(bits)
 
 
-def _descend(reach: int, bits: int, digits: int, counts: bool):
-    """A block of a tree's sorted array, with the queries whose place is in or near it.
-
-    Puts out how many neighbours share how many digits with a query, or else those that share at least as many
-    as the query's ``lowest``: a bitmap for each batch of keys.
-    """
-    names = ["query", "depth", "n"] if counts else ["query", "batch", "keys"]
-    kinds = [pa.int64(), pa.int64(), pa.int64() if counts else pa.binary()]
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = {n: table.column(n).to_numpy() for n in ("hash", "key", "place", "lowest")}
-        held = np.flatnonzero(rows["lowest"] < 0)
-        held = held[np.argsort(rows["place"][held], kind="stable")]
-        hashes, keys, places = rows["hash"][held], rows["key"][held], rows["place"][held]
-        out: list[list] = [[], [], []]
-        for i in np.flatnonzero(rows["lowest"] >= 0):
-            own = rows["place"][i]
-            near = slice(np.searchsorted(places, own - reach), np.searchsorted(places, own + reach, side="right"))
-            depth = np.where(keys[near] == rows["key"][i], -1, _depths(hashes[near], rows["hash"][i], bits, digits))
-            if counts:
-                found = np.unique(depth[depth >= 0], return_counts=True)
-            else:
-                found = _bitmaps(keys[near][depth >= rows["lowest"][i]])
-            out[0].extend([rows["key"][i]] * len(found[0]))
-            for x, y in zip(out[1:], found, strict=True):
-                x.extend(y)
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
-
-    return run
+def _members(table: pa.Table) -> pa.Table:
+    """A block of a tree's sorted array, with the ranges of places that are asked for: a bitmap for each batch of their keys."""
+    rows = {n: table.column(n).to_numpy() for n in ("key", "place", "low", "high")}
+    held = np.flatnonzero(rows["low"] < 0)
+    held = held[np.argsort(rows["place"][held], kind="stable")]
+    keys, places = rows["key"][held], rows["place"][held]
+    tree = table.column("tree")[0].as_py() if table.num_rows else 0
+    out: list[list] = [[], [], [], []]
+    for i in np.flatnonzero(rows["low"] >= 0):
+        low, high = rows["low"][i], rows["high"][i]
+        batches, bitmaps = _bitmaps(keys[np.searchsorted(places, low) : np.searchsorted(places, high)])
+        for x, y in zip(out, ([low] * len(batches), [high] * len(batches), batches, bitmaps), strict=True):
+            x.extend(y)
+    kinds = {"low": pa.int64(), "high": pa.int64(), "batch": pa.int64(), "keys": pa.binary()}
+    columns = [pa.array(x, t) for x, t in zip(out, kinds.values(), strict=True)]
+    return pa.table([pa.array([tree] * len(out[0]), pa.int32()), *columns], names=["tree", *kinds])
 
 
 def _measure(k: int):
@@ -171,9 +150,12 @@ def nearest(
     rotations, the axis and side that the vector is nearest to. A query goes down to its place in each array, where
     the rows with the longest common prefix stand on either side; then it goes up in all trees at once, a digit at a
     time, until the rows with at least so long a prefix are enough over all trees: ``share`` of all rows, counted once
-    for each tree, and ``least`` at least. Those are measured exactly, on the original vectors in double precision.
-    A global sort deals the arrays into blocks; a query near the end of a block is sent to the next one too. The
-    rotations are about the mean of at most ``sample`` vectors; all rows are in the index.
+    for each tree, and ``least`` at least. All rows with that prefix are measured exactly, on the original vectors in
+    double precision, however many they are: in a cluster whose rows share their whole strings, that is the cluster.
+    Only where the rows with one digit in common are too few, they are filled up by the nearest places of each array,
+    ``least`` or four times a tree's part of ``share`` on either side.
+    A global sort deals the arrays into blocks; the rows of a prefix are taken block by block, once for all its queries.
+    The rotations are about the mean of at most ``sample`` vectors; all rows are in the index.
 
     Vectors without any structure, as random ones, need a share like the default for a recall over 0.9, as their
     neighbours are hardly nearer than the rest; the work then grows with queries times rows. Where neighbours are
@@ -228,20 +210,24 @@ def nearest(
         starts = spark.createDataFrame(starts, "tree int, part int, first long, before long")
         index = index.join(F.broadcast(starts), ["tree", "part"])
         index = index.select("tree", "hash", "key", "is_query", (F.col("at") - F.col("first") + F.col("before")).alias("place"))
-        steps = F.array(*(F.lit(d).cast("long") for d in (-reach, 0, reach)))
-        blocks = F.array_distinct(F.transform(steps, lambda d: F.floor((F.col("place") + d) / block)))
-        own_block = F.floor(F.col("place") / block)
-        rows = lambda df, lowest, at: df.select("tree", "hash", "key", "place", lowest.cast("long").alias("lowest"), at.alias("block"))
-        held = rows(index, F.lit(-1), own_block)
-        seekers = rows(index.filter("is_query"), F.lit(0), F.explode(blocks))
-        grouped = lambda more: held.union(more).groupBy("tree", "block")
-        by_depth = grouped(seekers).applyInArrow(_descend(reach, bits, digits, True), "query long, depth long, n long")
-        by_depth = by_depth.groupBy("query", "depth").agg(F.sum("n").alias("n"))  # a row for each number of digits
-        above = Window.partitionBy("query").orderBy(F.desc("depth"))
-        stop = by_depth.withColumn("so_far", F.sum("n").over(above)).filter(F.col("so_far") - F.col("n") < enough)
-        stop = scratch.keep(stop.groupBy(F.col("query").alias("key")).agg(F.min("depth").alias("stop")))
-        ready = rows(index.filter("is_query").join(stop, "key"), F.col("stop"), F.explode(blocks))
-        found = grouped(ready).applyInArrow(_descend(reach, bits, digits, False), "query long, batch long, keys binary")
+        index = scratch.keep(index)
+        cuts = F.posexplode(F.array(*(F.shiftright("hash", bits * (digits - d)) for d in range(1, digits + 1)))).alias("depth", "prefix")
+        runs = index.select("tree", "place", cuts).groupBy("tree", "depth", "prefix").agg(F.min("place").alias("low"), F.count("*").alias("n"))
+        own_runs = index.filter("is_query").select("tree", "key", "place", cuts).join(runs, ["tree", "depth", "prefix"])
+        own_runs = scratch.keep(own_runs.select("tree", "key", "place", F.col("depth") + 1, "low", (F.col("low") + F.col("n")).alias("high")).toDF("tree", "key", "place", "depth", "low", "high"))
+        sums = own_runs.groupBy("key", "depth").agg(F.sum(F.col("high") - F.col("low") - 1).alias("n"))  # a row for each number of digits
+        stop = sums.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("n") >= enough, F.col("depth"))), F.lit(0)).alias("stop"))
+        taken = own_runs.join(stop, "key").filter(F.col("depth") == F.greatest("stop", F.lit(1)))
+        few = F.col("stop") == 0
+        low = F.when(few, F.greatest(F.least("low", F.col("place") - reach), F.lit(0))).otherwise(F.col("low"))
+        high = F.when(few, F.greatest("high", F.col("place") + (reach + 1))).otherwise(F.col("high"))
+        taken = scratch.keep(taken.select("tree", F.col("key").alias("query"), low.alias("low"), high.alias("high")))
+        none = F.lit(-1).cast("long")
+        held = index.select("tree", F.floor(F.col("place") / block).alias("block"), "key", "place", none.alias("low"), none.alias("high"))
+        blocks = F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.least("high", F.lit(count)) - 1) / block))).alias("block")
+        wanted = taken.select("tree", "low", "high").distinct().select("tree", blocks, none.alias("key"), none.alias("place"), "low", "high")
+        members = held.union(wanted).groupBy("tree", "block").applyInArrow(_members, "tree int, low long, high long, batch long, keys binary")
+        found = taken.join(members, ["tree", "low", "high"]).select("query", "batch", "keys")
         batch = F.shiftright("key", BATCH_BITS).alias("batch")
         bit = F.bitmap_construct_agg(F.col("key").bitwiseAND(F.lit((1 << BATCH_BITS) - 1)))
         itself = entries.filter("is_query").groupBy(F.col("key").alias("query"), batch).agg(bit.alias("keys"))  # for copies of the query

@@ -260,3 +260,18 @@ def test_odd_rows_keep_every_row(odd_documents):
     out = phrases.remove_recurring(odd_documents, carry={"h": F.sha2("text", 256)})
     assert out.count() == n and out.filter(F.col("h") == hashlib.sha256(b"").hexdigest()).count() >= 3
     assert linededup.without_repeated_lines(odd_documents).columns == odd_documents.columns
+
+
+def test_nearest_in_a_cluster_of_jittered_copies(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(16)
+    vectors = np.concatenate([rng.standard_normal((2000, 16)), centre + 1e-4 * rng.standard_normal((1000, 16))])[rng.permutation(3000)]
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    found = annforest.nearest(df, "vec_id % 50 = 0", least=40, share=0.02).toPandas()
+    in_cluster = [q for q in range(0, 3000, 50) if np.abs(vectors[q] - centre).max() < 0.01]
+    hits = 0
+    for q in in_cluster:
+        gaps = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        gaps[q] = np.inf
+        hits += len(set(np.argsort(gaps)[:10]) & set(found[found.query_id == q].vec_id))
+    assert len(in_cluster) > 10 and hits >= 0.99 * 10 * len(in_cluster)
