@@ -15,12 +15,23 @@ from dealspan.llm.workload import packed, reachable, table
 ORACLE_SQL = None
 
 
+def _text_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with 128 bits of hash of each text: ``text_low``, ``text_high``."""
+    return docs.withColumn("text_low", F.xxhash64("text")).withColumn("text_high", F.xxhash64("text", F.lit(1)))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject. Rows with the same id go only together."""
+    """Documents that the classifier chain does not reject, each row judged by its own text."""
     reachable(spark)
     labels = toxicity.quality_and_toxicity(table(spark, sf_dir, "labels"))
-    found = toxicity.toxic_documents(docs, labels).filter("rejected").select(F.col("doc_id").alias("toxic_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["toxic_id"]), "left_anti")
+    keys = ["text_low", "text_high"]
+    found = toxicity.toxic_documents(docs, labels, carry={"text_low": F.xxhash64("text"), "text_high": F.xxhash64("text", F.lit(1))})
+    found = found.filter("rejected").select(F.col("doc_id").alias("toxic_id"), *keys).distinct()
+    own = _text_keys(docs)
+    same = own["doc_id"].eqNullSafe(found["toxic_id"])
+    for c in keys:
+        same = same & (own[c] == found[c])
+    return own.join(found, same, "left_anti").select(docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +40,15 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; null ids last, as one document."""
+    """One row of each group of near duplicates: that with the smallest id (null last), then the smallest hashes of its text and row."""
     reachable(spark)
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    keys = ["text_low", "text_high", "row_hash"]
+    # with marks of nulls, which the hash alone passes over
+    own = _text_keys(docs).withColumn("row_hash", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *keys)
+    found = simhash.near_duplicates(own.select(row.alias("row"), "text"), id_col="row")
+    kept = found.filter(F.col("row") == F.col("component_id")).select("row.text_low", "row.text_high", "row.row_hash").distinct()
+    return own.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

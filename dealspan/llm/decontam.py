@@ -49,28 +49,8 @@ def item_sketches(items: DataFrame, n: int, contained: float) -> DataFrame:
     return own.select("item_key", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), wanted)).alias("hash"))
 
 
-def contained_items(
-    docs: DataFrame,
-    items: DataFrame,
-    n: int = SHINGLE,
-    contained: float = CONTAINED,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    sent_rows: int = SENT_ROWS,
-) -> DataFrame:
-    """All pairs of a document and an item of whose distinct ``n``-word shingles it has ``contained`` at least.
-
-    Candidates share a hash of the item's sketch (see ``item_sketches``); each is verified by its shingles themselves.
-    The sketches go to every task if they have at most ``sent_rows`` rows, else the documents' hashes are dealt out to
-    them. Words are runs of letters, marks and digits, in lower case.
-
-    Returns the id column, the item column, ``n_shared``, ``n_item`` (distinct shingles) and ``share``. Null, empty and
-    short texts, of fewer than ``n`` words, have no shingles: such documents hold no item, and such items are in no
-    document. Rows with equal id and text are one document or one item. Null ids are ids like any other. Other columns
-    are not read. Empty tables give an empty result.
-    """
+def _contained(docs: DataFrame, items: DataFrame, n: int, contained: float, id_col: str, text_col: str, item_col: str, item_text_col: str, sent_rows: int) -> DataFrame:
+    """The pairs of ``contained_items`` with ``own_id``, ``text_key`` (a hash of the document's text) and ``own_item``."""
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text")).filter(F.col("own_text").isNotNull())
     own = own.select("own_id", F.xxhash64("own_text").alias("text_key"), normal_words(F.col("own_text")).alias("words"))
     mine = items.select(F.col(item_col).alias("own_item"), normal_words(F.col(item_text_col)).alias("words")).distinct()
@@ -95,12 +75,37 @@ def contained_items(
         shared = shared.groupBy("own_id", "text_key", "item_key").agg(F.count("*").alias("n_shared")).join(sizes, "item_key")
         share = F.col("n_shared") / F.col("n_item")
         whole = shared.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * contained - 1e-9)).join(mine.select("item_key", "own_item"), "item_key")
-        return scratch.result(
-            whole.select(F.col("own_id").alias(id_col), F.col("own_item").alias(item_col), "n_shared", "n_item", share.alias("share"), "text_key").distinct().drop("text_key")
-        )
+        return scratch.result(whole.select("own_id", "own_item", "n_shared", "n_item", share.alias("share"), "text_key").distinct())
+
+
+def contained_items(
+    docs: DataFrame,
+    items: DataFrame,
+    n: int = SHINGLE,
+    contained: float = CONTAINED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    sent_rows: int = SENT_ROWS,
+) -> DataFrame:
+    """All pairs of a document and an item of whose distinct ``n``-word shingles it has ``contained`` at least.
+
+    Candidates share a hash of the item's sketch (see ``item_sketches``); each is verified by its shingles themselves.
+    The sketches go to every task if they have at most ``sent_rows`` rows, else the documents' hashes are dealt out to
+    them. Words are runs of letters, marks and digits, in lower case.
+
+    Returns the id column, the item column, ``n_shared``, ``n_item`` (distinct shingles) and ``share``. Null, empty and
+    short texts, of fewer than ``n`` words, have no shingles: such documents hold no item, and such items are in no
+    document. Rows with equal id and text are one document or one item. Null ids are ids like any other. Other columns
+    are not read. Empty tables give an empty result.
+    """
+    found = _contained(docs, items, n, contained, id_col, text_col, item_col, item_text_col, sent_rows)
+    return found.select(F.col("own_id").alias(id_col), F.col("own_item").alias(item_col), "n_shared", "n_item", "share")
 
 
-def without_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, contained: float = CONTAINED, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id holds no item; those without an id are judged together."""
-    found = contained_items(docs, items, n, contained, id_col).select(F.col(id_col).alias("found_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["found_id"]), "left_anti")
+def without_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that hold no item, each row judged by its own text."""
+    found = _contained(docs, items, n, contained, id_col, text_col, "item_id", "text", SENT_ROWS).select("own_id", "text_key").distinct()
+    same = docs[id_col].eqNullSafe(found["own_id"]) & (F.xxhash64(docs[text_col]) == found["text_key"])
+    return docs.join(found, same, "left_anti")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,7 +206,7 @@ def telling_grams(counts: DataFrame, n_labels: int, most: int) -> list[str]:
     return sorted(chosen)
 
 
-def _judged(shared, names: list[str]):
+def _judged(shared, names: list[str], kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, chain, threshold = shared.value
         read = Reader(chosen)
@@ -215,8 +215,8 @@ def _judged(shared, names: list[str]):
                 found = [read(t) for t in texts]
                 some = np.array([x for x, _ in found])
                 p = chain([x for _, x in found]) * some[:, None]
-                columns = [part.column(0), *(pa.array(c) for c in p.T), pa.array((p[:, -1] >= threshold) & some)]
-                yield pa.RecordBatch.from_arrays(columns, names=["own_id", *names, "rejected"])
+                columns = [*(part.column(c) for c in kept), *(pa.array(c) for c in p.T), pa.array((p[:, -1] >= threshold) & some)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names, "rejected"])
 
     return run
 
@@ -230,6 +230,7 @@ def toxic_documents(
     text_col: str = "text",
     sample: int = SAMPLE,
     features: int = FEATURES,
+    carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Each document's probability for every category of a chain, and whether the last one rejects it.
 
@@ -238,7 +239,8 @@ def toxic_documents(
     most about each category; it judges all documents. Labels of one id that differ count as the largest; labels
     without a document and null ids are left out.
 
-    Returns the id column, ``p_<category>`` for each category and ``rejected``. A text without letters, as null or
+    Returns the id column, the columns of ``carry`` (expressions on those of ``docs``), ``p_<category>`` for each
+    category and ``rejected``. A text without letters, as null or
     empty ones, has probability 0 and is not rejected. Repeated rows each get a row. Where a category's labels are all
     equal, its probability is that label, 0 without any. Other columns are not read. An empty table gives an empty
     result.
@@ -271,9 +273,12 @@ def toxic_documents(
     marks = np.column_stack([table.column(f"label{i}").to_pandas().to_numpy(float) for i in range(n)])
     chain = Chain(len(grams_chosen)).fit(texts, table.column("fold").to_numpy(), marks)
     names = [f"p_{c}" for c in categories]
-    more = [*((c, T.DoubleType()) for c in names), ("rejected", T.BooleanType())]
+    carry = carry or {}
+    kept = {"own_id": id_col} | {f"carry_{c}": c for c in carry}
+    judged = docs.select(F.col(id_col).alias("own_id"), *(c.alias(f"carry_{n}") for n, c in carry.items()), F.col(text_col).alias("own_text"))
+    more = [*((c, judged.schema[c].dataType) for c in kept if c != "own_id"), *((c, T.DoubleType()) for c in names), ("rejected", T.BooleanType())]
     model = spark.sparkContext.broadcast((grams_chosen, chain, threshold))
-    return own.mapInArrow(_judged(model, names), fields(own, "own_id", *more)).withColumnRenamed("own_id", id_col)
+    return judged.mapInArrow(_judged(model, names, list(kept)), fields(judged, "own_id", *more)).withColumnsRenamed(kept)
 
 
 def quality_and_toxicity(labels: DataFrame) -> DataFrame:

@@ -56,3 +56,21 @@ def test_pipeline_on_odd_rows(spark, odd_documents, tmp_path):
         docs = stage(spark, docs, SF)
     ids = [r.doc_id for r in docs.collect()]
     assert len(ids) == len(set(ids)) and {1, 2, 7} <= set(ids) and 11 not in ids
+
+
+def test_pipeline_judges_rows_and_not_ids(spark):
+    toxic = [r.doc_id for r in workload.op1_toxicity(spark, SF).filter("rejected").orderBy("doc_id").limit(1).collect()]
+    given = workload.table(spark, SF, "documents")
+    bad = given.filter(F.col("doc_id") == toxic[0]).first().text
+    item = " ".join(["before", workload.table(spark, SF, "benchmark").first().text, "after"])
+    rows = [(None, bad), (None, "clean words of the first row"), (7, bad), (7, "other clean words for the seventh document")]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    left = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    judged = corpus_pipeline.without_toxic(spark, given.select("doc_id", "text").union(frame([(i and i + 10**9, t) for i, t in rows])), SF)
+    new = judged.filter(f"doc_id is null or doc_id > {10**9}")
+    assert left(new) == [(0, rows[1][1]), (7 + 10**9, rows[3][1])]
+    rows = [(2, None), (None, None), (None, "no id here at all"), (None, "another text without any id"), (3, "one text of the third"), (3, "and something else entirely"), (4, "one text of the third")]
+    kept = corpus_pipeline.without_near_duplicates(spark, frame([*rows, rows[4]]), SF)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(2, ""), *((i or 0, t) for i, t in rows[2:6])])
+    rows = [(None, item), (None, "clean"), (7, item), (7, "clean too")]
+    assert left(corpus_pipeline.without_benchmark(spark, frame(rows), SF)) == [(0, "clean"), (7, "clean too")]
