@@ -76,10 +76,10 @@ class Ragged:
         return out
 
     def expected(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions (by state, then symbol)."""
+        """Expected counts of starts, moves and emissions (by state, then symbol); ``whole`` is the log10 probability of all."""
         k, total = len(p.start), int(self.at[-1])
         gammas, scales = np.empty((total, k), p.emits.dtype), np.empty(total, p.emits.dtype)
-        self.forward(p, gammas, scales)
+        self.whole = float(self.forward(p, gammas, scales).sum())
         moves = np.zeros((k, k))
         back = None
         for t in range(len(self.active) - 1, -1, -1):
@@ -185,21 +185,23 @@ def _groups(sequences: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]
 
 
 def _expect(shared, states: int):
-    """A task's expected counts: a row per symbol; -1 the starts, from -2 down the moves of each state."""
+    """A task's expected counts: a row per symbol; -1 the starts, from -2 down the moves of each state, then the log10 probability."""
     names = ["symbol", *(f"c{i}" for i in range(states))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         p = Parameters(*(x.astype(np.float32) for x in (p.start, p.moves, p.emits)))
-        start, moves, counts = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(p.emits)))
+        start, moves, counts, whole = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(p.emits))), np.zeros(states)
         for batch in batches:
             for _, group in _groups(_sequences(batch)):
-                for total, part in zip((start, moves, counts), Ragged(group).expected(p), strict=True):
+                ragged = Ragged(group)
+                for total, part in zip((start, moves, counts), ragged.expected(p), strict=True):
                     total += part
+                whole[0] += ragged.whole
         some = np.flatnonzero(counts.any(axis=0))
         if len(some):
-            rows = np.concatenate([start[None], moves, counts[:, some].T])
-            symbols = np.r_[-1 - np.arange(states + 1), some]
+            rows = np.concatenate([start[None], moves, whole[None], counts[:, some].T])
+            symbols = np.r_[-1 - np.arange(states + 2), some]
             yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=names)
 
     return run
@@ -217,10 +219,11 @@ def _scored(shared):
     return run
 
 
-def _trained(train: DataFrame, p: Parameters, rounds: int, common: np.ndarray, spark: SparkSession) -> Parameters:
-    states = len(p.start)
+def _trained(train: DataFrame, p: Parameters, rounds: int, least: int, gain: float, common: np.ndarray, spark: SparkSession) -> Parameters:
+    """Rounds over all texts: ``least``, then until one gains less than a share ``gain`` of their log10 probability."""
+    states, before = len(p.start), -np.inf
     kinds = "symbol long, " + ", ".join(f"c{i} double" for i in range(states))
-    for _ in range(rounds):
+    for done in range(rounds):
         counts = train.select("symbols").mapInArrow(_expect(spark.sparkContext.broadcast(p), states), kinds)
         sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(states)]
         rows = counts.groupBy("symbol").agg(*sums).toPandas()  # a row per symbol and state, whatever the input
@@ -232,6 +235,10 @@ def _trained(train: DataFrame, p: Parameters, rounds: int, common: np.ndarray, s
         emitted[:, at[at >= 0]] = table[at >= 0].T
         by = {s: table[i] for i, s in enumerate(at) if s < 0}
         p = reestimate(by[-1], np.stack([by[-2 - i] for i in range(states)]), emitted, common)
+        whole = by[-2 - states][0]
+        if done >= least and whole - before < gain * abs(whole):
+            break
+        before = whole
     return p
 
 
@@ -243,8 +250,10 @@ def score_texts(
     states: int = STATES,
     frequent: int = FREQUENT,
     classes: int = CLASSES,
-    rounds: int = 2,
-    sample_texts: int = 500,
+    rounds: int = 60,
+    least_rounds: int = 5,
+    gain: float = 1e-4,
+    sample_texts: int = 0,
     sample_rounds: int = 15,
 ) -> DataFrame:
     """Scores every text under a hidden Markov model of all texts for which the SQL ``held_out`` is false.
@@ -252,10 +261,12 @@ def score_texts(
     The model emits symbols: the ``frequent`` commonest words, the end of a text, and ``classes`` of all rarer
     words by their last letters. A rarer word's probability is that of its class times its share of the class,
     (count + 0.1) / (class count + 0.1 * (class words + 1)), where the counts of all words are kept in a table and
-    joined; unseen words share the one extra word. Baum-Welch: ``rounds`` times every training text is run forward
-    and backward, and the tasks' expected counts are added. The first parameters come from ``sample_rounds`` over
-    at most ``sample_texts`` training texts; no other step takes a sample. The score is the exact log10
-    probability of the whole text, by the scaled forward recursion.
+    joined; unseen words share the one extra word. Baum-Welch: in each round every training text is run forward
+    and backward, and the tasks' expected counts are added. The first parameters are random, by a fixed seed, about the
+    whole symbol counts. After ``least_rounds``, the rounds go on until one gains less than the share ``gain`` of the
+    log10 probability of all training texts, or until ``rounds``. No step takes a sample, unless ``sample_texts`` asks
+    for ``sample_rounds`` over so many training texts to start from. The score is the exact log10 probability of the
+    whole text, by the scaled forward recursion.
 
     Returns the id column, ``held_out``, ``n_tokens`` (words and one end), ``n_known``, ``train_tokens``,
     ``base_score`` (add-0.1 unigrams) and ``score``. A null text is empty: the end alone. Repeated rows each count
@@ -297,9 +308,9 @@ def score_texts(
         texts = scratch.keep(texts.withColumn("row_id", F.monotonically_increasing_id()))
 
         taught = texts.filter("not held_out")
-        first = taught.select("symbols", "row_id").orderBy(F.xxhash64("row_id"), "row_id").limit(sample_texts).collect()
+        first = taught.select("symbols").orderBy(F.xxhash64("symbols"), "symbols").limit(sample_texts).collect()
         p = first_parameters([np.frombuffer(r.symbols, np.uint16) for r in first], states, common, sample_rounds)
-        p = _trained(taught, p, rounds, common, spark)
+        p = _trained(taught, p, rounds, least_rounds, gain, common, spark)
         paths = texts.select("row_id", "symbols").mapInArrow(_scored(spark.sparkContext.broadcast(p)), "row_id long, path double")
 
         shares = spark.createDataFrame(

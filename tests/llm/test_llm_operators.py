@@ -275,3 +275,11 @@ def test_nearest_in_a_cluster_of_jittered_copies(spark):
         gaps[q] = np.inf
         hits += len(set(np.argsort(gaps)[:10]) & set(found[found.query_id == q].vec_id))
     assert len(in_cluster) > 10 and hits >= 0.99 * 10 * len(in_cluster)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{'ab'[i % 50 == 0]}{j}" for j in rng.integers(0, 30, 12)) for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = lambda n: hmm.score_texts(df.repartition(n, "doc_id"), "doc_id % 10 = 1", states=2, frequent=70, classes=5).toPandas().set_index("doc_id").score.sort_index()
+    assert np.allclose(score(1), score(5), rtol=1e-4)
