@@ -235,7 +235,7 @@ def toxic_documents(
     """Each document's probability for every category of a chain, and whether the last one rejects it.
 
     ``labels`` has the id and a column of 0, 1 or null per category, the last being toxicity. The chain is fitted on
-    at most ``sample`` labelled documents, chosen by a hash of their id, over the ``features`` letter grams that tell
+    at most ``sample`` labelled documents, chosen by a hash of their id and, of rows with the same id, of their text, over the ``features`` letter grams that tell
     most about each category; it judges all documents. Labels of one id that differ count as the largest; labels
     without a document and null ids are left out.
 
@@ -252,7 +252,12 @@ def toxic_documents(
     with Scratch(spark) as scratch:
         chosen = known.join(own.select("own_id"), "own_id", "left_semi")  # ids alone, so that texts are not moved
         chosen = scratch.keep(chosen.orderBy(F.xxhash64("own_id"), "own_id").limit(sample))
-        rows = own.join(F.broadcast(chosen), "own_id")  # bounded by the parameter
+        # of the rows of an id, one: the smallest by two hashes of its text, found without moving texts
+        place = F.struct(F.xxhash64("own_text").alias("low"), F.xxhash64("own_text", F.lit(1)).alias("high"))
+        one = own.join(F.broadcast(chosen.select("own_id")), "own_id", "left_semi").select("own_id", place.alias("place"))
+        one = one.groupBy("own_id").agg(F.min("place").alias("least"))
+        rows = own.join(F.broadcast(chosen.join(one, "own_id")), "own_id").filter(place == F.col("least")).drop("least")
+        rows = rows.dropDuplicates(["own_id"])  # equal in id and text; bounded by the parameter
         rows = scratch.keep(rows.withColumn("fold", F.pmod(F.xxhash64("own_id", F.lit(1)), F.lit(FOLDS)).cast("int")))
         kinds = "gram string, " + ", ".join(f"n{i} long, y{i} long" for i in range(n))
         counts = rows.mapInArrow(_counted(n), kinds).groupBy("gram")

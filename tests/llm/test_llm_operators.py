@@ -283,3 +283,12 @@ def test_scores_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     score = lambda n: hmm.score_texts(df.repartition(n, "doc_id"), "doc_id % 10 = 1", states=2, frequent=70, classes=5).toPandas().set_index("doc_id").score.sort_index()
     assert np.allclose(score(1), score(5), rtol=1e-4)
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark, monkeypatch):
+    rows = [(0, f"vile words repeated {i}") for i in range(500)] + [(i, "vile thing" if i % 2 else "quiet thing") for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 2 == 1)) for i in range(40)], "doc_id long, low_quality int, toxic int")
+    fit, sizes = toxicity.Chain.fit, []
+    monkeypatch.setattr(toxicity.Chain, "fit", lambda self, texts, *more: (sizes.append(len(texts)), fit(self, texts, *more))[1])
+    assert toxicity.toxic_documents(docs, labels).count() == len(rows) and sizes == [40]
