@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealspan.llm import decontam, linededup, phrases, urlfilter
+from dealspan.llm import collocations, decontam, linededup, phrases, urlfilter
 
 
 def url_filter(order: int = urlfilter.ORDER, weight: float = urlfilter.WEIGHT) -> str:
@@ -90,10 +90,69 @@ def decontamination(n: int = decontam.SHINGLE, contained: float = decontam.CONTA
       where n_shared >= ceil(n_item * {contained}::double - 1e-9)"""
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def prefix_targets() -> str:
+    """All from the turns themselves, so that equal rows prove that formatting loses nothing."""
+    escaped = r"regexp_replace(regexp_replace(text, '<(\\*)(/?s>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g')"
+    return f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from
+          (select conv_id, turn, role, text from conversations union all
+           values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+      p as (select *, role = 'assistant' as reply, length({escaped}) + case when role = 'assistant' then 4 else 14 + length(role) end as chars from t),
+      w as (select *, 3 + sum(chars) over (partition by conv_id order by turn, role, text rows unbounded preceding) as upto,
+        row_number() over (partition by conv_id order by turn desc, role desc, text desc) = 1 as ends from p)
+      select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+        coalesce(sum(length(text)) filter (reply), 0)::bigint as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (reply), '')) as loss_sha256,
+        sum(upto) filter (reply or ends)::bigint as formatted_chars
+      from w group by conv_id"""
+
+
+def document_ranking(k: int = 10) -> str:
+    terms = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""with d as (select row_number() over () as r, doc_id, {terms} as t from documents),
+      own as (select r, doc_id, len(t) as n from d where len(t) > 0),
+      total as (select count(*) as docs, sum(n)::bigint as terms from own),
+      sizes as (select r, doc_id, 100 - 90 + (90 * n * docs) // terms as m from own, total),
+      tf as (select r, term, count(*) as tf from (select r, unnest(t) as term from d) group by all),
+      weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from tf, total group by term, docs),
+      asked as (select distinct item_id, unnest({terms}) as term from benchmark),
+      scored as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+        from asked join weights using (term) join tf using (term) join sizes using (r) group by item_id, r, doc_id),
+      ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+        from scored where score > 0)
+      select * from ranked where rank <= {k}"""
+
+
+def phrase_collocations(least: int = collocations.LEAST, top: int = collocations.TOP, covered: int = collocations.COVERED) -> str:
+    return rf"""with pieces as (select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+      words as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+      places as (select lang, w, unnest(range(1, len(w) + 1)) as i from words),
+      grams as (select lang, k, w[i : i + k - 1] as g, count(*) as f
+        from places, (values (1), (2), (3)) as sizes(k) where i + k - 1 <= len(w) group by all),
+      total as (select lang, sum(f)::bigint as n from grams where k = 1 group by lang),
+      wanted as (select lang, g, f as a, unnest(range(1, k)) as c from grams where k > 1 and f >= {least}),
+      cuts as (select w.lang, w.g, w.a, w.c, x.f as l, y.f as r,
+          ((1000000::hugeint * w.a * w.a) // (x.f::hugeint * y.f))::bigint as score
+        from wanted w join grams x on x.lang = w.lang and x.g = w.g[: w.c] join grams y on y.lang = w.lang and y.g = w.g[w.c + 1 :]),
+      weakest as (select * from cuts qualify row_number() over (partition by lang, g order by score, c) = 1),
+      parts as (select lang, g[1:2] as g, a from weakest where len(g) = 3 union all select lang, g[2:3], a from weakest where len(g) = 3),
+      longer as (select lang, g, max(a) as b from parts group by all),
+      phrases as (select w.lang, array_to_string(w.g, ' ') as phrase, w.a, l, r, score from weakest w left join longer using (lang, g)
+        where b is null or 100 * b < {covered} * w.a),
+      ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase)::int as rank from phrases)
+      select lang, rank, phrase, a, l, r, n, score from ranked join total using (lang) where rank <= {top}"""
+
+
 def checks() -> dict[str, str]:
     return {
         "op5_url_filter": url_filter(),
         "op7_substring_dedup": substring_dedup(),
         "op8_line_dedup": line_dedup(),
         "op9_decontamination": decontamination(),
+        "op11_prefix_targets": prefix_targets(),
+        "op12_document_fptree": document_ranking(),
+        "op13_phrase_collocations": phrase_collocations(),
     }

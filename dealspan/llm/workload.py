@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealspan.llm import annforest, decontam, hmm, langid, linededup, packing, phrases, simhash, sql_checks, toxicity, urlfilter
+from dealspan.llm import (
+    annforest, chat, collocations, decontam, fptree, hmm, langid, linededup, packing, phrases, simhash, sql_checks, toxicity, urlfilter,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -85,9 +87,42 @@ def op10_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
+def chat_digest(examples: DataFrame) -> DataFrame:
+    """What can be read back from a conversation's examples: its turns from the closing one, the text under the spans from all."""
+    turns, said = chat.read_turns(F.col("text")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    closing = F.when(F.col("closes"), F.sha2(F.array_join(F.transform(turns, said), ""), 256))
+    n_turns = F.when(F.col("closes"), F.size(turns)).cast("long")
+    each = examples.select("conv_id", "example", n_turns.alias("n"), closing.alias("turns"), chat.read_loss(examples).alias("loss"), F.length("text").alias("chars"))
+    losses = F.sort_array(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss"))))
+    out = each.groupBy("conv_id").agg(
+        F.max("n").alias("n_turns"), F.max("turns").alias("turns_sha256"), F.coalesce(F.sum(F.length("loss")), F.lit(0).cast("long")).alias("loss_chars"),
+        losses.alias("losses"), F.sum("chars").alias("formatted_chars"),
+    )
+    return out.withColumn("loss_sha256", F.sha2(F.array_join(F.col("losses.loss"), ""), 256)).drop("losses")
+
+
+def op11_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation, and of one whose texts are control strings, as its examples give them back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turn, role = F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn, role, F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_digest(chat.prefix_examples(turns.union(tricky)))
+
+
+def op12_document_fptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return fptree.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two or three words in each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_toxicity, op2_best_fit_packing, op3_simhash_near_dedup, op4_language_id, op5_url_filter, op6_hmm_scores,
-    op7_substring_dedup, op8_line_dedup, op9_decontamination, op10_hash_prefix_forest,
+    op7_substring_dedup, op8_line_dedup, op9_decontamination, op10_hash_prefix_forest, op11_prefix_targets, op12_document_fptree,
+    op13_phrase_collocations,
 )
 
 
