@@ -191,8 +191,26 @@ def test_table_profile(spark):
     assert [r.attribute for r in profile.table_profile(df.limit(0), "x", ["id"]).collect()] == ["id"]
 
 
-def test_item_profile_takes_the_first_type(spark):
-    rows = [(1, '{"a": 1, "b": "x", "c": null}'), (2, '{"a": "text", "d": [1], "e": {"z": 1}, "f": true}'), (3, "{}")]
+def test_item_profile_merges_types(spark):
+    rows = [(1, '{"a": 1, "b": "x", "c": null}'), (2, '{"a": "text", "d": [1], "e": {"z": 1}, "f": true}'), (3, "{}"),
+            (4, '{"a": null, "b": '), (5, "[1]"), (6, "7"), (7, None), (8, '{"a": 2.5}'), (9, "")]
     df = spark.createDataFrame(rows, "id int, props string")
-    got = {r.attribute: r.type for r in profile.item_profile(df, "props", ["id"]).collect()}
-    assert got == {"a": "N", "b": "S", "c": "NULL", "d": "L", "e": "M", "f": "BOOL"}
+    got = {r.attribute: (r.type, r.n_items, r.n_nulls) for r in profile.item_profile(df, "props", ["id"]).collect()}
+    assert got == {"a": ("N|S", 3, 0), "b": ("S", 1, 0), "c": ("NULL", 1, 1), "d": ("L", 1, 0), "e": ("M", 1, 0),
+                   "f": ("BOOL", 1, 0), None: ("INVALID", 4, 0)}
+    first = {r.attribute: r.type for r in profile.item_profile(df, "props", ["id"], sample=1).collect()}
+    assert first == {"a": "N", "b": "S", "c": "NULL"}
+    assert profile.item_profile(df.limit(0), "props").count() == 0
+
+
+def test_profiles_read_all_rows(spark):
+    df = spark.range(0, 50_000, 1, 8).select(
+        "id", F.when(F.col("id") == 49_999, 1).alias("late"), F.lit(None).cast("string").alias("never"),
+        F.when(F.col("id") == 49_998, '{"late": 1}').otherwise('{"early": 1}').alias("item"),
+    )
+    got = {r.attribute: (r.is_key, r.n_values) for r in profile.table_profile(df, "x", ["id"]).collect()}
+    assert got == {"id": (True, 50_000), "late": (False, 1), "item": (False, 50_000)}
+    items = profile.item_profile(df, "item")
+    assert {(r.attribute, r.n_items) for r in items.collect()} == {("late", 1), ("early", 49_999)}
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Limit" not in plan

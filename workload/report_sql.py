@@ -161,18 +161,12 @@ _PROFILED = {
 def schema_profile(tables) -> str:
     parts = []
     for table in tables:
-        keys = PROFILE_KEYS[table]
         for column, code in _PROFILED[table].items():
-            if column in keys:
-                parts.append(
-                    f"SELECT '{table}' AS table_name, '{column}' AS attribute, '{code}' AS type, "
-                    "TRUE AS is_key"
-                )
-            else:
-                parts.append(
-                    f"SELECT DISTINCT '{table}', '{column}', '{code}', FALSE FROM (SELECT {column} "
-                    f"FROM {table} LIMIT 10) WHERE {column} IS NOT NULL"
-                )
+            is_key = column in PROFILE_KEYS[table]
+            parts.append(
+                f"SELECT '{table}' AS table_name, '{column}' AS attribute, '{code}' AS type, {is_key} AS is_key, "
+                f"count({column}) AS n_values FROM {table}" + ("" if is_key else f" HAVING count({column}) > 0")
+            )
     return "\nUNION ALL ".join(parts)
 
 

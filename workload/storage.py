@@ -186,6 +186,18 @@ def _item_schema(spark, sf):
     return profile.item_profile(views.read(spark, sf, "events"), "props")
 
 
+def _uneven_items(spark, sf):
+    """Events as items whose attributes come late, change type, are null or are broken off."""
+    late = F.when(F.col("event_id") % 997 == 996, F.concat(F.lit(', "late": '), F.lower((F.col("user_id") % 2 == 0).cast("string"))))
+    mixed = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.col("user_id").cast("string"))
+    nested = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit("}"))).otherwise(F.lit("null"))
+    item = F.concat(F.lit('{"props": '), F.col("props"), F.lit(', "mixed": '), mixed, F.lit(', "nested": '), nested,
+                    F.lit(', "never": null'), F.coalesce(late, F.lit("")), F.lit("}"))
+    text = F.when(F.col("event_id") % 101 == 7, F.substring(item, 1, 20)).when(F.col("event_id") % 103 == 5, F.lit("[1, 2]"))
+    text = text.when(F.col("event_id") % 107 == 3, F.lit(None)).when(F.col("event_id") % 109 == 3, F.lit("{}")).otherwise(item)
+    return profile.item_profile(views.read(spark, sf, "events").select(text.alias("item")), "item")
+
+
 def _catalog_schema(spark, sf):
     for name in ("customer", "events"):
         views.read(spark, sf, name).createOrReplaceTempView(f"dealspan_{name}")
@@ -228,6 +240,17 @@ def _row_ids(spark, sf):
     return ids.agg(F.count(F.lit(1)).alias("deals"), F.count_distinct("row_id").alias("ids"))
 
 
+def _item_profile(source: str, column: str) -> str:
+    kinds = "CASE json_type(v) WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN 'BOOL' WHEN 'ARRAY' THEN 'L' WHEN 'OBJECT' THEN 'M' WHEN 'VARCHAR' THEN 'S' ELSE 'N' END"
+    return f"""WITH t AS (SELECT {column} AS t, json_valid({column}) AND coalesce(json_type(try_cast({column} AS JSON)), '') = 'OBJECT' AS ok
+        FROM {source} WHERE {column} IS NOT NULL),
+      f AS (SELECT unnest(json_keys(t)) AS key, t FROM t WHERE ok),
+      k AS (SELECT key, json_extract(t, '$."' || key || '"') AS v FROM f)
+      SELECT key AS attribute, coalesce(string_agg(DISTINCT {kinds}, '|' ORDER BY {kinds}), 'NULL') AS type,
+        count(*) AS n_items, count(*) FILTER (json_type(v) = 'NULL') AS n_nulls FROM k GROUP BY key
+      UNION ALL SELECT NULL, 'INVALID', count(*), 0 FROM t WHERE NOT ok HAVING count(*) > 0"""
+
+
 def entries() -> dict[str, Entry]:
     month = "CAST(date_trunc('month', sold_date) AS DATE)"
     order = ", ".join(ORDER)
@@ -311,11 +334,17 @@ def entries() -> dict[str, Entry]:
         ),
         "s13_item_schema": (
             _item_schema,
-            """SELECT key AS attribute, min_by(CASE json_type(props, '$."' || key || '"')
-                  WHEN 'NULL' THEN 'NULL' WHEN 'BOOLEAN' THEN 'BOOL' WHEN 'ARRAY' THEN 'L'
-                  WHEN 'OBJECT' THEN 'M' WHEN 'VARCHAR' THEN 'S' ELSE 'N' END, event_id) AS type
-                FROM (SELECT event_id, props, unnest(json_keys(props)) AS key
-                  FROM (SELECT * FROM events LIMIT 10)) GROUP BY 1""",
+            _item_profile("events", "props"),
+        ),
+        "s13_uneven_items": (
+            _uneven_items,
+            _item_profile("""(SELECT CASE WHEN event_id % 101 = 7 THEN substr(item, 1, 20) WHEN event_id % 103 = 5 THEN '[1, 2]'
+                WHEN event_id % 107 = 3 THEN NULL WHEN event_id % 109 = 3 THEN '{}' ELSE item END AS item
+              FROM (SELECT event_id, '{"props": ' || props || ', "mixed": '
+                || CASE WHEN event_id % 3 = 0 THEN '"' || event_type || '"' ELSE user_id::VARCHAR END || ', "nested": '
+                || CASE WHEN event_id % 2 = 0 THEN '{"user": ' || user_id || '}' ELSE 'null' END || ', "never": null'
+                || CASE WHEN event_id % 997 = 996 THEN ', "late": ' || (user_id % 2 = 0)::VARCHAR ELSE '' END || '}' AS item
+                FROM events))""", "item"),
         ),
         "s14_catalog_schema": (_catalog_schema, schema_profile(("customer", "events"))),
         "s15_cached_table": (
