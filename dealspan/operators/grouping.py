@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealspan.functions.bins import cut_no, equal_width
@@ -43,6 +43,26 @@ def complete_months(keys: DataFrame, months: Sequence[date]) -> DataFrame:
     return keys.withColumn("month", F.explode(listed))
 
 
+def with_market(deals: DataFrame, key: str) -> DataFrame:
+    """Deals per key and month next to all deals of the month, from one aggregate.
+
+    A null key stays a group, so that a month's groups add up to all its deals.
+    """
+    counts = with_month(deals).dropna(subset=["month"]).groupBy(key, "month").agg(F.count(F.lit(1)).alias("deals"))
+    return counts.withColumn("total_deals", F.sum("deals").over(Window.partitionBy("month")))
+
+
+def filled_months(deals: DataFrame, key: str, months: Sequence[date], name: str = "deals") -> DataFrame:
+    """Deals of every key in every month of the list, 0 where it has none.
+
+    A key's counts, at most one for each calendar month, stay with it, so keys and counts come from one read.
+    """
+    counts = with_month(deals).dropna(subset=[key]).groupBy(key, "month").agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "_n")))
+    grid = complete_months(counts.groupBy(key).agg(F.map_from_entries(cells).alias("_cells")), months)
+    return grid.select(key, "month", F.coalesce(F.col("_cells")[F.col("month")], F.lit(0)).alias(name))
+
+
 def binned_counts(
     df: DataFrame, key: str, number: Column, labels: Sequence[str], bin_name: str,
     name: str = "deals", top: int | None = None,
@@ -92,31 +112,34 @@ def pivot_sum(
 def histogram(df: DataFrame, column: str, n: int, *by: str, name: str = "deals") -> DataFrame:
     """Equal-width bins over the column's own range, counted per bin and per ``by`` key.
 
-    The range is a scalar subquery over the same rows; nulls drop out.
+    Nulls drop out. The rows are read once, see :func:`_binned`.
     """
-    known = df.dropna(subset=[column, *by])
-    bins = _bins(known, {column: n})
-    return known.select(*by, *bins).groupBy(f"{column}_bin", *by).agg(F.count(F.lit(1)).alias(name))
+    return _binned(df, {column: n}, by, name)
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, nx: int, ny: int, name: str = "deals") -> DataFrame:
     """Counts per cell of an equal-width grid over two columns; empty cells are left out."""
-    known = df.dropna(subset=[x, y])
-    cells = known.select(*_bins(known, {x: nx, y: ny}))
-    return cells.groupBy(f"{x}_bin", f"{y}_bin").agg(F.count(F.lit(1)).alias(name))
+    return _binned(df, {x: nx, y: ny}, (), name)
 
 
-def _bins(df: DataFrame, columns: dict[str, int]) -> list[Column]:
-    """Bin columns over each column's range; all ranges come from one subquery."""
-    ranges = []
+def _binned(df: DataFrame, columns: dict[str, int], by: Sequence[str], name: str) -> DataFrame:
+    """Bins over each column's range, from counts per distinct value.
+
+    The range is a scalar subquery over the same counts. It uses all their columns, so that its plan down to the
+    shuffle is the same as the bins' own and Spark runs that part once.
+    """
+    values = df.dropna(subset=[*columns, *by]).groupBy(*columns, *by).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = [F.sum("_n").alias("_rows"), *(F.max(F.hash(c)).alias(f"_{c}") for c in by)]
     for c in columns:
         value = F.col(c).cast("double")
         ranges += [F.min(value).alias(f"low_{c}"), F.max(value).alias(f"high_{c}")]
-    found = df.agg(F.struct(*ranges)).scalar()
-    return [
+    found = values.agg(F.struct(*ranges)).scalar()
+    bins = [
         equal_width(F.col(c), found[f"low_{c}"], found[f"high_{c}"], n).alias(f"{c}_bin")
         for c, n in columns.items()
     ]
+    keys = [*(f"{c}_bin" for c in columns), *by]
+    return values.select(*by, *bins, "_n").groupBy(*keys).agg(F.sum("_n").alias(name))
 
 
 def lookup(df: DataFrame, mapping: DataFrame, key: str, value: str, default: str) -> DataFrame:

@@ -72,12 +72,37 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return df.withColumn("_rn", F.row_number().over(ranked)).filter("_rn = 1").drop("_rn")
 
 
+#: Bytes of an id that take part in the order of ``day_and_id``.
+ID_BYTES = 12
+
+
+def day_and_id(day: str, identifier: str, flag: Column | None = None) -> Column:
+    """One number in the order of a flag (false first), a date and the first ``ID_BYTES`` bytes of a text id, nulls first.
+
+    A number has a fixed width, so its ``min`` stays in a hash aggregate, where text would sort all rows first.
+    """
+    digits = F.rpad(F.substring(F.hex(F.coalesce(identifier, F.lit(""))), 1, 2 * ID_BYTES), 2 * ID_BYTES, "0")
+    half = lambda at: F.conv(F.substring(digits, at, ID_BYTES), 16, 10).cast("decimal(15,0)")
+    rest = half(1) * F.lit(1 << (4 * ID_BYTES)).cast("decimal(15,0)") + half(1 + ID_BYTES)
+    days = F.coalesce(F.unix_date(day).cast("long") + (1 << 23), F.lit(0))
+    if flag is not None:
+        days = days + F.when(flag, 1 << 24).otherwise(0)
+    # 2 ** 96 has 29 digits
+    return (days.cast("decimal(8,0)") * F.expr("100000000000000000000000000000BD") + rest).cast("decimal(38,0)")
+
+
 def first_value_per_key(
-    df: DataFrame, key: str, value: str, order: Sequence[str], name: str | None = None
+    df: DataFrame, key: str, value: str, order: Column | str, name: str | None = None
 ) -> DataFrame:
-    """First non-null value per key in the given order; a mergeable ``min`` over a struct."""
-    first = F.min(F.struct(*order, value))[value]
-    return df.dropna(subset=[key, value]).groupBy(key).agg(first.alias(name or value))
+    """First non-null value per key by an order of fixed width; ties go to the smaller value.
+
+    Rows are first reduced to one for each key and value by a hash aggregate.
+    """
+    order = F.col(order) if isinstance(order, str) else order
+    known = df.dropna(subset=[key, value])
+    pairs = known.groupBy(key, value).agg(F.min(order).alias("_order"))
+    first = best_per_key(pairs, [key], [F.asc_nulls_first("_order"), F.asc(value)])
+    return first.select(key, F.col(value).alias(name or value))
 
 
 def most_frequent(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

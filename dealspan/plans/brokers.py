@@ -16,7 +16,7 @@ from dealspan.functions.numbers import mean, percent, ratio_or_zero, total
 from dealspan.functions.text import currency_text, normalize_name, title_case
 from dealspan.operators.filters import DealFilter, require_dates
 from dealspan.operators.grouping import complete_months, count_by, pivot_sum, with_month
-from dealspan.operators.ranking import first_value_per_key, top_and_pinned, top_n
+from dealspan.operators.ranking import day_and_id, first_value_per_key, top_and_pinned, top_n
 from dealspan.operators.sides import (
     any_side_total,
     both_sides_total,
@@ -154,23 +154,21 @@ def deals_per_agent(
     )
 
 
-def firm_month_share(
-    deals: DataFrame, share_base: str = "deals", market: DataFrame | None = None
-) -> DataFrame:
+def firm_month_share(deals: DataFrame, share_base: str = "deals") -> DataFrame:
     """Each firm's two-sided deals per month as a percentage of that month's market.
 
     ``share_base='deals'`` divides by the deals of the month, so a month adds up to 200 %;
-    ``'sides'`` divides by the sides with a firm, so a month adds up to 100 %. ``market`` may
-    give the same deals without their firms, to count the months without deriving the firms.
+    ``'sides'`` divides by the sides with a firm, so a month adds up to 100 %. Each deal counts for its firms and, in a row
+    of its own, for its month, so one aggregate has both; the window spreads a month's total over its firms.
     """
-    sides = with_month(deal_sides(deals, "sold_date"))
-    firm_months = count_by(sides, "firm", "month")
-    if share_base == "sides":
-        totals = firm_months.groupBy("month").agg(F.sum("deals").alias("total_deals"))
-    else:
-        totals = count_by(with_month(deals if market is None else market), "month", name="total_deals")
-    joined = firm_months.join(totals, "month")
-    return joined.withColumn("share_pct", percent(F.col("deals"), F.col("total_deals")))
+    rows = [F.struct(F.lit(True).alias("is_firm"), F.col(c).alias("firm")) for c in ("listing_firm", "buyer_firm")]
+    whole = F.struct(F.lit(False).alias("is_firm"), F.lit(None).cast("string").alias("firm"))
+    each = deals.select("sold_date", F.inline(F.array(*rows, *([whole] if share_base == "deals" else []))))
+    known = with_month(each).filter((F.col("firm").isNotNull() | ~F.col("is_firm")) & F.col("month").isNotNull())
+    counts = known.groupBy("is_firm", "firm", "month").agg(F.count(F.lit(1)).alias("deals"))
+    market = F.sum(F.when(F.col("is_firm") == (share_base != "deals"), F.col("deals"))).over(Window.partitionBy("month"))
+    shares = counts.withColumn("total_deals", market).filter("is_firm").drop("is_firm")
+    return shares.withColumn("share_pct", percent(F.col("deals"), F.col("total_deals")))
 
 
 def top_share(shares: DataFrame, n: int = 10, pin: str | None = None) -> DataFrame:
@@ -187,12 +185,10 @@ def top_share(shares: DataFrame, n: int = 10, pin: str | None = None) -> DataFra
 
 
 def market_share(
-    deals: DataFrame, flt: DealFilter, n: int = 10, share_base: str = "deals",
-    market: DataFrame | None = None,
-) -> DataFrame:
+    deals: DataFrame, flt: DealFilter, n: int = 10, share_base: str = "deals"
+) -> DataFrame:
     """Monthly market share of the top firms; no firm is pinned."""
-    totals = None if market is None else flt.apply(market)
-    return top_share(firm_month_share(normalized(deals, flt), share_base, totals), n)
+    return top_share(firm_month_share(normalized(deals, flt), share_base), n)
 
 
 def active_agents(deals: DataFrame, brokerage: DataFrame, flt: DealFilter) -> DataFrame:
@@ -238,33 +234,41 @@ def _agent_sides(deals: DataFrame) -> DataFrame:
     return deal_sides(deals, "sold_date", "listing_id", agent=True)
 
 
-def _first_firms(sides: DataFrame) -> DataFrame:
+def _first_order() -> Column:
     # Buyer rows (is_listing = false) sort first, which is the override.
-    order = ("is_listing", "sold_date", "listing_id")
-    return first_value_per_key(sides, "agent", "firm", order)
+    return day_and_id("sold_date", "listing_id", F.col("is_listing"))
+
+
+def _first_firms(sides: DataFrame) -> DataFrame:
+    return first_value_per_key(sides, "agent", "firm", _first_order())
 
 
 def _agent_league(deals: DataFrame, counted: Column, n: int) -> DataFrame:
     """Top agents with their firm.
 
-    Counts and first firm come from one grouped pass over the sides; a second pass for the firms
-    of the top agents would read and join the deals again.
+    The sides are reduced to one row per agent and firm, with counts and the smallest order key; a
+    second pass for the firms of the top agents would read and join the deals again. Windows over an
+    agent's few firms then give its totals and first firm.
     """
-    first = F.min(
-        F.when(
-            F.col("firm").isNotNull(), F.struct("is_listing", "sold_date", "listing_id", "firm")
-        )
-    )
-    agents = (
+    pairs = (
         _agent_sides(deals)
         .dropna(subset=["agent"])
-        .groupBy("agent")
+        .groupBy("agent", "firm")
         .agg(
             F.count_if("is_listing").alias("n_listing"),
             F.count_if(~F.col("is_listing")).alias("n_buyer"),
-            first["firm"].alias("firm"),
+            F.min(_first_order()).alias("_order"),
         )
     )
+    of_agent = Window.partitionBy("agent")
+    by_order = of_agent.orderBy(F.col("firm").isNull(), "_order", "firm")
+    agents = pairs.withColumns(
+        {
+            "_rn": F.row_number().over(by_order),
+            "n_listing": F.sum("n_listing").over(of_agent),
+            "n_buyer": F.sum("n_buyer").over(of_agent),
+        }
+    ).filter("_rn = 1")
     found = agents.withColumn("deals", counted).filter(F.col("deals") > 0)
     return top_n(found, "deals", "agent", n=n).select(
         "agent",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealspan.functions.dates import MONTH_NAMES
-from dealspan.functions.numbers import mean, one_place, ratio, total, whole
+from dealspan.functions.numbers import mean, one_place, percent, ratio, total, whole
 from dealspan.operators.filters import DealFilter, differs, either_is, require_dates
-from dealspan.operators.grouping import count_by, with_month, with_share
-from dealspan.operators.ranking import bottom_n, keep_keys, top_n
+from dealspan.operators.grouping import count_by, with_month
+from dealspan.operators.ranking import bottom_n, top_n
 from dealspan.operators.sides import deal_sides, with_dual
 
 
@@ -145,23 +145,30 @@ def role_shares(deals: DataFrame, flt: DealFilter, focus_firm: str) -> DataFrame
 def competitor_roles(deals: DataFrame, flt: DealFilter, focus_firm: str, n: int = 10) -> DataFrame:
     """Mean deals of the top listing competitors per role, with percentages.
 
-    Buyer groups count only deals a top competitor listed. Both roles read the same counts per
-    firm pair, so the deals are read once. The focus firm and deals without a listing firm take
-    at most two places, hence the two spare rows of the first top list.
+    Buyer groups count only deals a top competitor listed. A listing firm keeps its counts per buyer firm,
+    at most one for each firm, so both roles come from one pass over the deals; what follows the top list
+    works on ``n`` rows. The focus firm takes at most one place, and is left out before the list.
     """
-    pairs = flt.apply(deals).groupBy("listing_firm", "buyer_firm").agg(F.count(F.lit(1)).alias("_n"))
-    listings = pairs.groupBy("listing_firm").agg(F.sum("_n").alias("deals"))
-    spare = top_n(listings, "deals", "listing_firm", n=n + 2)
     others = F.col("listing_firm").isNotNull() & differs("listing_firm", F.lit(focus_firm))
-    top = top_n(spare.filter(others), "deals", "listing_firm", n=n)
-    listed = top.agg(F.avg("deals").alias("avg_deals"))
-    bought = keep_keys(pairs, top, "listing_firm")
-    bought = keep_keys(bought, top.withColumnRenamed("listing_firm", "buyer_firm"), "buyer_firm")
-    buyers = bought.groupBy("buyer_firm").agg(F.sum("_n").alias("_n")).agg(F.avg("_n").alias("avg_deals"))
-    rows = listed.select(F.lit("Listing Firm").alias("role"), "avg_deals").unionByName(
-        buyers.select(F.lit("Buyer Firm").alias("role"), "avg_deals")
-    )
-    return with_share(rows, "avg_deals")
+    pairs = flt.apply(deals).filter(others).groupBy("listing_firm", "buyer_firm").agg(F.count(F.lit(1)).alias("_n"))
+    firms = pairs.groupBy("listing_firm").agg(
+        F.sum("_n").alias("deals"), F.collect_list(F.struct("buyer_firm", "_n")).alias("_bought")
+    )
+    chosen = Window.partitionBy()  # over the n rows of the top list
+    top = top_n(firms, "deals", "listing_firm", n=n).select(
+        F.avg("deals").over(chosen).alias("_listed"), F.collect_set("listing_firm").over(chosen).alias("_top"), "_bought"
+    )
+    inside = F.filter("_bought", lambda b: F.array_contains("_top", b["buyer_firm"]))
+    each = top.select("_listed", F.explode_outer(inside).alias("b")).select("_listed", "b.buyer_firm", "b._n")
+    buyers = each.groupBy("buyer_firm").agg(F.sum("_n").alias("_n"), F.max("_listed").alias("_listed"))
+    means = buyers.agg(F.max("_listed").alias("_l"), F.avg("_n").alias("_b"))
+    rows = F.array(
+        F.struct(F.lit("Listing Firm").alias("role"), F.col("_l").alias("avg_deals")),
+        F.struct(F.lit("Buyer Firm").alias("role"), F.col("_b").alias("avg_deals")),
+    )
+    both = F.coalesce(F.col("_l"), F.lit(0.0)) + F.coalesce(F.col("_b"), F.lit(0.0))
+    listed = means.select(both.alias("_all"), F.inline(rows))
+    return listed.select("role", "avg_deals", percent(F.col("avg_deals"), F.col("_all")).alias("share_pct"))
 
 
 def agent_activity(deals: DataFrame, flt: DealFilter, focus_firm: str) -> DataFrame:

@@ -84,7 +84,19 @@ def test_top_keys_with_pin(spark):
 def test_first_value_skips_nulls(spark):
     rows = [("k", None, 1), ("k", "late", 3), ("k", "early", 2), ("m", None, 1), (None, "x", 0)]
     df = spark.createDataFrame(rows, "k string, v string, t int")
-    assert as_map(ranking.first_value_per_key(df, "k", "v", ("t",)), "k", "v") == {"k": "early"}
+    assert as_map(ranking.first_value_per_key(df, "k", "v", "t"), "k", "v") == {"k": "early"}
+
+
+def test_packed_order_is_that_of_the_columns(spark):
+    days = [None, date(1, 1, 1), date(1969, 12, 31), date(1970, 1, 1), date(9999, 12, 31)]
+    ids = [None, "0", "00", "1", "10", "9", "a", "a" * 12, "a" * 11 + "b", "é", "\U0001f600"]
+    rows = [(f, d, i) for f in (False, True) for d in days for i in ids]
+    df = spark.createDataFrame(rows, "f boolean, d date, i string")
+    packed = df.select("f", "d", "i", ranking.day_and_id("d", "i", F.col("f")).alias("k")).collect()
+    by_key = [r[:3] for r in sorted(packed, key=lambda r: r.k)]
+    order = lambda r: (r[0], r[1] is not None, r[1] or 0, (r[2] or "").encode())
+    assert [order(r) for r in by_key] == sorted(order(r) for r in rows)
+    assert len({r.k for r in packed}) == len(rows)
 
 
 def test_most_frequent_ties_and_nulls(spark):

@@ -133,3 +133,44 @@ def test_stored_deals_give_the_same_reports(spark, tmp_path):
     scanned = readers.scan_table(spark, stored, WINDOW.start, WINDOW.end)
     for report in (brokerage.top_brokerages, brokerage.market_share, market.community_metrics):
         assert sorted(report(scanned, WINDOW).collect()) == sorted(report(direct, WINDOW).collect())
+
+
+def nodes_that_ran(node):
+    """The nodes of a final plan and its subqueries; what is reused is there once."""
+    name = node.nodeName()
+    if name.startswith("Reused"):
+        return []
+    if name == "AdaptiveSparkPlan":
+        return nodes_that_ran(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return nodes_that_ran(node.plan())
+    below = [seq.apply(i) for seq in (node.children(), node.subqueries()) for i in range(seq.size())]
+    return [node, *(x for child in below for x in nodes_that_ran(child))]
+
+
+def final_plan(df):
+    df.collect()
+    return [n.simpleString(100) for n in nodes_that_ran(df._jdf.queryExecution().executedPlan())]
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "r05_deals_per_agent", "r06_market_share_top_firms", "r53_market_share_pinned", "r53_market_share_by_sides",
+        "j02_join_month_totals", "j09_complete_grid", "r11_top_combined_agents", "r16_dom_price_heatmap", "r28_competitor_roles",
+        "r42_january_area_histogram", "a20_histogram_2d", "a21_histogram_by_year", "r57_option_lists",
+    ],
+)
+def test_deals_are_read_once(spark, name):
+    # the headcount view reads the months of lineitem, which deals per agent needs besides
+    scans = [n for n in final_plan(QUERIES[name](spark, SF)) if "FileScan parquet [l_" in n]
+    assert len(scans) == (2 if name.startswith("r05") else 1)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["r08_agent_firms", "r09_top_listing_agents", "r10_top_buyer_agents", "r11_top_combined_agents", "a12_first_value_per_key", "j11_lookup_with_default"],
+)
+def test_first_firms_stay_in_hash_aggregates(spark, name):
+    plan = "\n".join(final_plan(QUERIES[name](spark, SF)))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

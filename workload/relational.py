@@ -197,9 +197,7 @@ def join_entries() -> dict[str, Entry]:
         return rounded(totals.join(heads, ["firm", "month"]))
 
     def with_market(d):
-        months = with_month(d)
-        market = count_by(months, "month", name="total_deals")
-        return count_by(months, "listing_agent", "month").join(F.broadcast(market), "month")
+        return grouping.with_market(d, "listing_agent").filter("listing_agent is not null")
 
     def winners(d):
         found = count_by(d, "community")
@@ -213,10 +211,7 @@ def join_entries() -> dict[str, Entry]:
         return top.join(both, "listing_firm", "left").fillna(0, ["dual_deals"])
 
     def grid(d):
-        found = count_by(with_month(d), "listing_agent", "month")
-        agents = d.select("listing_agent").distinct()
-        cells = grouping.complete_months(agents, MONTHS)
-        return cells.join(found, ["listing_agent", "month"], "left").fillna(0, ["deals"])
+        return grouping.filled_months(d, "listing_agent", MONTHS)
 
     def semi(d):
         top = ranking.top_keys(count_by(d, "community"), "deals", "community")
@@ -229,7 +224,7 @@ def join_entries() -> dict[str, Entry]:
             F.col("listing_agent").alias("agent"), "sold_date", "listing_id",
             F.col("listing_firm").alias("firm"),
         )
-        firms = ranking.first_value_per_key(listed, "agent", "firm", ("sold_date", "listing_id"))
+        firms = ranking.first_value_per_key(listed, "agent", "firm", ranking.day_and_id("sold_date", "listing_id"))
         return grouping.lookup(agents, firms, "agent", "firm", brokers.UNKNOWN_FIRM)
 
     two = "listing_firm buyer_firm"
@@ -465,7 +460,7 @@ def aggregate_entries() -> dict[str, Entry]:
             _over(
                 "listing_agent buyer_firm sold_date listing_id",
                 lambda d: ranking.first_value_per_key(
-                    d, "listing_agent", "buyer_firm", ("sold_date", "listing_id")
+                    d, "listing_agent", "buyer_firm", ranking.day_and_id("sold_date", "listing_id")
                 ),
             ),
             sql("""SELECT listing_agent, buyer_firm FROM (

@@ -56,6 +56,14 @@ def _agent_league(counts: str) -> str:
     )
 
 
+def _key_figures(where: str) -> str:
+    return sql(f"""
+        SELECT count(*) AS total_listings_sold, {total("sold_price")} AS total_sales_volume,
+          {mean("days_on_market")} AS avg_dom, {mean("sold_price")} AS avg_sold_price,
+          round(avg(CAST(sold_price AS DOUBLE) / total_flr_area_sf), 6) AS avg_price_per_sqft
+        FROM f WHERE {where}""")
+
+
 def _share(sides: str, deals: str, base: str, pin: str | None) -> str:
     market = (
         f"SELECT month, count(*) AS total_deals FROM {deals} GROUP BY 1"
@@ -241,11 +249,10 @@ def checks() -> dict[str, str]:
             "HAVING count(*) FILTER (WHERE is_listing) > 0 "
             "AND count(*) FILTER (WHERE NOT is_listing) > 0"
         ),
-        "r12_market_key_figures": sql(f"""
-            SELECT count(*) AS total_listings_sold, {total("sold_price")} AS total_sales_volume,
-              {mean("days_on_market")} AS avg_dom, {mean("sold_price")} AS avg_sold_price,
-              round(avg(CAST(sold_price AS DOUBLE) / total_flr_area_sf), 6) AS avg_price_per_sqft
-            FROM f WHERE days_on_market BETWEEN 0 AND 1000 AND total_bedrooms BETWEEN 1 AND 5"""),
+        "r12_market_key_figures": _key_figures("TRUE"),
+        "r12_market_key_figures_filtered": _key_figures(
+            "days_on_market BETWEEN 0 AND 1000 AND total_bedrooms BETWEEN 1 AND 5"
+        ),
         "r13_price_trend": sql(f"""
             SELECT month, {mean("list_price")} AS avg_list_price,
               {mean("sold_price")} AS avg_sold_price FROM f GROUP BY month"""),

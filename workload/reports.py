@@ -59,16 +59,6 @@ def over_both(columns: str, plan: Callable[..., DataFrame], *args, **kwargs) ->
     return run
 
 
-def _share(plan: Callable[..., DataFrame], *args) -> Query:
-    """A market share report; the months are counted on the dates alone."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        market = views.deals(spark, sf_dir, "sold_date")
-        return rounded(plan(views.deals(spark, sf_dir, *FIRMS.split()), *args, market=market))
-
-    return run
-
-
 def _schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {name: views.read(spark, sf_dir, name) for name in PROFILE_TABLES}
     return profile.profile_tables(tables, PROFILE_KEYS)
@@ -95,7 +85,7 @@ def queries() -> dict[str, Query]:
             brokers.average_headcount(views.brokerage(spark, sf), WINDOW)
         ),
         "r05_deals_per_agent": over_both(FIRMS, brokers.deals_per_agent, WINDOW, FOCUS),
-        "r06_market_share_top_firms": _share(brokers.market_share, WINDOW),
+        "r06_market_share_top_firms": over(FIRMS, brokers.market_share, WINDOW),
         "r07_active_agents_table": over_both(
             f"{FIRMS} listing_agent buyer_agent", brokers.active_agents_table, WINDOW
         ),
@@ -107,6 +97,11 @@ def queries() -> dict[str, Query]:
         "r10_top_buyer_agents": over(AGENTS, brokers.top_agents, WINDOW, "buyer"),
         "r11_top_combined_agents": over(AGENTS, brokers.top_combined_agents, WINDOW),
         "r12_market_key_figures": over(
+            "sold_date sold_price days_on_market total_bedrooms total_flr_area_sf",
+            market.key_figures,
+            WINDOW,
+        ),
+        "r12_market_key_figures_filtered": over(
             "sold_date sold_price days_on_market total_bedrooms total_flr_area_sf",
             market.key_figures,
             MARKET,
@@ -212,7 +207,7 @@ def queries() -> dict[str, Query]:
             f"{SPOT} days_on_market", january.community_dom_ranges, JANUARY
         ),
         "r52_period_totals": over("sold_date listing_firm", brokerage.period_totals, WINDOW),
-        "r53_market_share_pinned": _share(brokerage.market_share, WINDOW, FOCUS),
+        "r53_market_share_pinned": over(FIRMS, brokerage.market_share, WINDOW, FOCUS),
         "r53_market_share_by_sides": over(
             FIRMS, brokerage.market_share, WINDOW, FOCUS, share_base="sides"
         ),
