@@ -14,7 +14,7 @@ DEALS = T.StructType(
         T.StructField("total_flr_area_sf", T.DoubleType()),
         T.StructField("price_per_sqft", T.DecimalType(18, 4)),
         T.StructField("total_bedrooms", T.IntegerType()),
-        T.StructField("total_baths", T.IntegerType()),
+        T.StructField("total_baths", T.DoubleType()),  # half baths
         T.StructField("year_built", T.IntegerType()),
         T.StructField("days_on_market", T.IntegerType()),
         T.StructField("sold_list_ratio", T.DoubleType()),

@@ -32,12 +32,16 @@ def local_session(cores: int | str = 8, app: str = "dealspan") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Without that setting a folder in the warehouse, which a cluster shares as well.
+    Without that setting a folder in the warehouse, unless that is a local directory of a cluster's driver.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if not configured and not current:
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        master = spark.sparkContext.master
+        if warehouse.startswith(("file:", "/")) and master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = f"{warehouse}/_shared"
     if not current:
         spark.sparkContext.setCheckpointDir(configured)
     return configured or current

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dealspan.functions.dates import KNOWN_FORMATS, lenient_date, strict_date
 from dealspan.functions.numbers import (
@@ -40,8 +41,8 @@ ITEM_NUMBERS = (
 def clean_deals(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Exported listings (all text) to the typed deals table.
 
-    Missing-value text becomes null. ``strict`` raises on bad prices, areas and dates;
-    otherwise they become null. Columns the export lacks are skipped.
+    Missing-value text becomes null. ``strict`` raises on bad prices, areas, dates and numbers, and on a
+    fraction where a whole number is stored; otherwise they become null. Columns the export lacks are skipped.
     """
     named = to_canonical_names(raw)
     found = []
@@ -59,11 +60,22 @@ def clean_deals(raw: DataFrame, strict: bool = True) -> DataFrame:
         elif field.name == "total_flr_area_sf":
             value = parse_grouped(text) if strict else F.translate(stripped(text), ",", "").try_cast("double")
         else:
-            value = F.translate(stripped(text), ",", "").try_cast("double").try_cast(field.dataType)
+            plain = F.translate(stripped(text), ",", "")
+            value = _counted(plain.cast("double") if strict else plain.try_cast("double"), field.dataType, strict)
         found.append(value.alias(field.name))
     return named.select(*found)
 
 
+def _counted(value: Column, to: T.DataType, strict: bool) -> Column:
+    """A number in its stored type; a whole number is never made by cutting a fraction off."""
+    if not isinstance(to, T.IntegerType):
+        return value.try_cast(to)
+    whole = F.when(value == F.floor(value), value.try_cast(to))
+    if not strict:
+        return whole
+    return F.when(value.isNull() | whole.isNotNull(), whole).otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), value.cast("string"))).cast(to))
+
+
 def clean_brokerage(raw: DataFrame) -> DataFrame:
     """Exported headcounts (all text) to the typed brokerage table; rows need a broker."""
     shown = {v: k for k, v in BROKERAGE_DISPLAY_NAMES.items()}
@@ -80,8 +92,13 @@ def clean_brokerage(raw: DataFrame) -> DataFrame:
 
 
 def listing_items(raw: DataFrame) -> DataFrame:
-    """Exported listings as the 19 stored attributes: ``N/A`` for null text, 0 for bad numbers."""
+    """Exported listings as the 19 stored attributes: ``N/A`` for null text, 0 for bad numbers.
+
+    Columns the export lacks, the id apart, are stored with the same defaults.
+    """
     named = to_canonical_names(raw)
+    absent = [c for c in ("sold_date", *ITEM_TEXT, *ITEM_NUMBERS) if c not in named.columns]
+    named = named.withColumns({c: F.lit(None).cast("string") for c in absent})
     return named.select(
         F.col("listing_id").cast("string").alias("listing_id_#"),
         text_or_na(F.col("sold_date")).alias("sold_date"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,7 +28,7 @@ def upsert(
     newest = best_per_key(keyed, keys, latest)
     if current is None:
         return newest
-    kept = current.join(newest.select(*keys), list(keys), "left_anti")
+    kept = current.join(keyed.select(*keys).distinct(), list(keys), "left_anti")
     return kept.unionByName(newest)
 
 
@@ -91,6 +92,34 @@ def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_index"
     return joined.select(*df.columns, (F.col("_start") + F.col("_pos")).alias(name))
 
 
+#: So many files may have their first numbers broadcast, about 10 MB.
+MOST_FILES = 100_000
+
+
+def with_file_row_number(spark: SparkSession, path: str, name: str = "row_index") -> DataFrame:
+    """Rows of a Parquet table with their number 0, 1, 2, ... in the order of the files and of the rows in them.
+
+    The place in a file comes from the file itself and only the rows per file are counted, so no row is moved or copied.
+    Files are in order by path, as Spark names the parts of a sorted table.
+    """
+    stored = spark.read.parquet(path)
+    file, at, start = (_free(stored, c) for c in ("file", "at", "start"))
+    placed = stored.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    sizes = placed.groupBy(file).agg((F.max(at) + 1).alias(at))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(file, F.coalesce(F.sum(at).over(before), F.lit(0)).alias(start))
+    few = len(stored.inputFiles()) <= MOST_FILES
+    joined = placed.join(F.broadcast(starts) if few else starts, file)
+    return joined.select(*(joined[f"`{c}`"] for c in stored.columns), (F.col(start) + F.col(at)).alias(name))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def with_batches(df: DataFrame, order: Sequence[str], size: int = 500) -> DataFrame:
     """Consecutive batches of a fixed size: ``row_index`` and 1-based ``batch_id``."""
     numbered = with_row_number(df, order)
@@ -133,6 +162,14 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     writer.csv(path, header=True, escape='"')
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Keep a table for several reports; blocks lost with an executor are computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table for several reports and release it when the block ends.
+
+    Blocks lost with an executor are computed again. What is read behind the block is computed anew.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist(blocking=True)

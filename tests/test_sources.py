@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealspan.schema import DEALS, DISPLAY_NAMES, raw_listings_schema
-from dealspan.sources import ingest, profile, readers, sinks
+from dealspan.sources import ingest, profile, readers, sinks, versions
 
 
 @pytest.fixture
@@ -127,6 +127,86 @@ def test_repeated_load_replaces_only_itself(spark, tmp_path):
     assert spark.read.parquet(lost).count() == 2
 
 
+def test_a_load_is_seen_whole(spark, tmp_path):
+    path = str(tmp_path / "loads")
+    df = spark.createDataFrame([(1,), (2,), (None,)], "v int")
+    for load in ("x", "y/1", "y/1"):
+        versions.commit_load(df, path, load, F.col("v") > 0)
+    rows = lambda rejected: sorted((r.load_id, r.v) for r in versions.read_loads(spark, path, rejected).collect())
+    both = rows(False), rows(True)
+    assert both == ([("x", 1), ("x", 2), ("y/1", 1), ("y/1", 2)], [("x", None), ("y/1", None)])
+    bad = df.withColumn("v", F.when(F.col("v") == 2, F.raise_error("broken")).otherwise(F.col("v")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        versions.commit_load(bad, path, "x", F.col("v") > 0)
+    assert (rows(False), rows(True)) == both  # what was written before the failure is not seen
+    before = versions.read_loads(spark, path)
+    versions.commit_load(df.limit(0), path, "x")
+    assert rows(False) == [("y/1", 1), ("y/1", 2)] and rows(True) == [("y/1", None)]
+    assert before.count() == 4  # a reader that began before still has its rows
+    with pytest.raises(ValueError):
+        versions.commit_load(df.withColumn("rejected", F.lit(1)), path, "z")
+    with pytest.raises(ValueError):
+        versions.read_loads(spark, str(tmp_path / "nothing"))
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versions._mark(spark, path, "k", 1, {"v": 1})
+    with pytest.raises(RuntimeError):
+        versions._mark(spark, path, "k", 1, {"v": 2})
+    assert versions._valid(spark, path, "k") == (1, {"v": 1})
+
+
+def test_upsert_leaves_untouched_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    load = lambda ids, v: spark.createDataFrame([(f"k{i:03d}", v, i) for i in ids], "key string, v string, seq int")
+    versions.upsert(load(range(200), "old").repartitionByRange(5, "key"), path, ["key"], [F.desc("seq")])
+    first = set(versions.table_files(spark, path))
+    versions.upsert(load([3, 3, 500], "new"), path, ["key"], [F.desc("seq")])
+    second = set(versions.table_files(spark, path))
+    assert len(first - second) == 1 and len(first) > 1
+    got = {r.key: r.v for r in versions.read_upserted(spark, path).collect()}
+    assert got == {**{f"k{i:03d}": "old" for i in range(200)}, "k003": "new", "k500": "new"}
+    assert versions.read_upserted(spark, path).count() == 201
+    versions.upsert(load([], "x"), path, ["key"], [F.desc("seq")])
+    assert versions.read_upserted(spark, path).count() == 201
+
+
+def test_file_row_numbers_move_no_rows(spark, tmp_path):
+    path = str(tmp_path / "sorted")
+    spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("file"), F.lit("y").alias("at")).repartitionByRange(7, "v").sortWithinPartitions("v").write.parquet(path)
+    numbered = sinks.with_file_row_number(spark, path)
+    assert numbered.columns == ["v", "file", "at", "row_index"]
+    assert all(r.v == r.row_index and (r.file, r["at"]) == ("x", "y") for r in numbered.collect()) and numbered.count() == 1000
+    plan = numbered._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "Exchange" not in plan
+
+
+def test_cached_tables_are_released(spark):
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held()
+    with sinks.cached(spark.range(10)) as table:
+        assert table.count() == 10 and held() == before + 1
+    assert held() == before
+
+
+def test_counts_keep_their_fractions(spark):
+    schema = T.StructType([T.StructField(DISPLAY_NAMES[c], T.StringType()) for c in ("listing_id", "total_baths", "total_bedrooms")])
+    frame = lambda *r: spark.createDataFrame([r], schema)
+    assert tuple(ingest.clean_deals(frame("1", "2.5", "3.0")).first()) == ("1", 3, 2.5)
+    for bad in ("2.5", "many"):
+        with pytest.raises(Exception, match="whole number|CAST_INVALID_INPUT"):
+            ingest.clean_deals(frame("1", "1", bad)).collect()
+        assert ingest.clean_deals(frame("1", "1", bad), strict=False).first().total_bedrooms is None
+
+
+def test_items_of_a_narrow_export(spark):
+    items = ingest.listing_items(spark.createDataFrame([("7", "$5")], "`Listing ID #` string, `Sold Price` string"))
+    assert items.columns == ingest.item_columns()
+    row = items.first()
+    assert (row.sold_price, row.list_price, row.community, row.sold_date) == (5, 0, "N/A", "N/A")
+
+
 def test_row_numbers_and_batches(spark):
     df = spark.range(0, 1234, 1, 7).select((F.col("id") * 7919 % 1234).alias("v"), F.lit(1).alias("hot"))
     rows = sinks.with_row_number(df, ["hot", "v"]).collect()

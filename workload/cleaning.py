@@ -109,6 +109,38 @@ def _items(d: DataFrame) -> DataFrame:
     )
 
 
+def _narrow_items(d: DataFrame) -> DataFrame:
+    """Items of an export with four columns; the others get the defaults."""
+    made = ingest.listing_items(d)
+    return made.groupBy("community", "address", "status").agg(
+        F.count(F.lit(1)).alias("deals"), F.sum("sold_price").alias("sold_total"),
+        F.sum("list_price").cast("decimal(28,4)").alias("list_total"), F.min("sold_date").alias("sold_date"),
+    )
+
+
+def _raw_headcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headcounts as exported text; the broker is missing where the count is 0."""
+    found = views.brokerage(spark, sf_dir)
+    broker = F.when(F.col("value") == 0, F.when(F.month("date") % 2 == 0, "N/A")).otherwise(F.col("broker"))
+    return found.select(
+        broker.alias("Broker"), F.date_format("date", "M/d/yyyy").alias("Date"),
+        F.when(F.col("value") == 1, "many").otherwise(F.col("value").cast("string")).alias("Value"),
+    )
+
+
+def _clean_headcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ingest.clean_brokerage(_raw_headcounts(spark, sf_dir)))
+
+
+def _headcount_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _raw_headcounts(spark, sf_dir).withColumnsRenamed({"Broker": "broker", "Date": "date"})
+    value = F.col("Value").try_cast("double")
+    made = ingest.brokerage_items(named.select("broker", "date", F.when(value == 2, F.lit(float("inf"))).otherwise(value).alias("value")))
+    return made.groupBy("broker").agg(
+        F.count(F.lit(1)).alias("months"), F.count("value").alias("known"), F.sum("value").cast("decimal(28,4)").alias("headcount")
+    )
+
+
 def _dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = views.read(spark, sf_dir, "events").select(
         F.col("event_type").alias("event.type"), F.col("user_id").alias("user.id")
@@ -232,6 +264,22 @@ def entries() -> dict[str, tuple[Query, str]]:
                 CAST(sum(coalesce(year_built, 0)) AS BIGINT) AS year_total
                 FROM deals GROUP BY 1"""),
         ),
+        "c09_narrow_export": (
+            _over_raw("listing_id sold_price community", _narrow_items),
+            sql("""SELECT community, 'N/A' AS address, 'N/A' AS status, count(*) AS deals,
+                CAST(sum(sold_price) AS DECIMAL(28,4)) AS sold_total, CAST(0 AS DECIMAL(28,4)) AS list_total,
+                'N/A' AS sold_date FROM deals GROUP BY 1"""),
+        ),
+        "c08_clean_headcounts": (
+            _clean_headcounts,
+            sql("SELECT broker, date, CASE WHEN value <> 1 THEN value END AS value FROM brokerage WHERE value <> 0"),
+        ),
+        "c08_headcount_items": (
+            _headcount_items,
+            sql("""SELECT broker, count(*) AS months, count(*) FILTER (WHERE value > 2) AS known,
+                CAST(sum(value) FILTER (WHERE value > 2) AS DECIMAL(28,4)) AS headcount
+                FROM brokerage WHERE value <> 0 GROUP BY 1"""),
+        ),
         "c10_underscore_names": (
             _dotted,
             "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1",

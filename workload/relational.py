@@ -18,7 +18,7 @@ from dealspan.plans import agent, brokers, focus
 from dealspan.schema import DISPLAY_NAMES
 from dealspan.sources.readers import preview, to_display_names
 from workload import views
-from workload.reports import Query, rounded
+from workload.reports import Query, rounded, shown_order
 from workload.sql_base import cut, mean as sql_mean, sql, total as sql_total
 from workload.views import AGENT, END, FOCUS, START, YEARS
 
@@ -163,6 +163,11 @@ def filter_entries() -> dict[str, Entry]:
             _over("style", lambda d: filters.options(d, "style")),
             sql("SELECT DISTINCT style FROM deals WHERE style IS NOT NULL"),
         ),
+        "f12_options_order": (
+            _over("style", lambda d: shown_order(filters.options(d, "style"))),
+            sql("""SELECT style, CAST(row_number() OVER (ORDER BY style) AS INTEGER) AS position
+                FROM (SELECT DISTINCT style FROM deals WHERE style IS NOT NULL)"""),
+        ),
         "f13_options_of_two_columns": (
             _over(
                 "listing_firm buyer_firm",
@@ -688,6 +693,11 @@ def ranking_entries() -> dict[str, Entry]:
                 round(count(*) / (SELECT count(*) FROM deals) * 100, 6) AS share_pct
                 FROM deals GROUP BY 1"""),
         ),
+        "l04_full_sort_order": (
+            _over("style", lambda d: shown_order(grouping.value_counts(d, "style"))),
+            sql("""SELECT style, deals, CAST(row_number() OVER (ORDER BY deals DESC, style) AS INTEGER) AS position
+                FROM (SELECT style, count(*) AS deals FROM deals WHERE style IS NOT NULL GROUP BY 1)"""),
+        ),
         "l05_top_and_pinned": (
             _over("listing_firm buyer_firm", pinned),
             sql(f""",

@@ -2,7 +2,7 @@
 
 from dealspan.functions.bins import AREA_EDGES, AREA_LABELS, DOM_EDGES, DOM_LABELS
 from dealspan.functions.dates import MONTH_NAMES, months_between
-from dealspan.plans.choices import BOUND_COLUMNS, OPTION_LISTS
+from dealspan.plans.choices import BOUND_COLUMNS, CASCADES, OPTION_LISTS
 from dealspan.plans.market import DETAIL_COLUMNS
 from workload.reports import PROFILE_KEYS
 from workload.sql_base import age, cut, mean, money, sql, title, total
@@ -127,11 +127,17 @@ def _brokerages(side: str) -> str:
 
 def _option_lists() -> str:
     parts = [
-        f"SELECT '{name}' AS option, CAST({c} AS VARCHAR) AS value FROM deals WHERE {c} IS NOT NULL"
+        f"SELECT '{name}' AS option, CAST(NULL AS VARCHAR) AS parent, CAST({c} AS VARCHAR) AS value FROM deals WHERE {c} IS NOT NULL"
         for name, columns in OPTION_LISTS.items()
         for c in columns
     ]
-    return sql("\nUNION ".join(parts))
+    parts += [
+        f"SELECT '{name}', CAST({a} AS VARCHAR), CAST({b} AS VARCHAR) FROM deals WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for name, (a, b) in CASCADES.items()
+    ]
+    union = "\nUNION ".join(parts)
+    return sql(f"""SELECT option, parent, value, CAST(row_number() OVER (PARTITION BY option, parent ORDER BY value) AS INTEGER)
+        AS position FROM ({union})""")
 
 
 def _bounds() -> str:
@@ -291,6 +297,18 @@ def checks() -> dict[str, str]:
               top_selling_firm FROM metrics LEFT JOIN winners USING (community)
             ORDER BY number_of_sales DESC, community LIMIT 20"""
         ),
+        "r18_busiest_order": sql(
+            _COMMUNITIES
+            + """
+            SELECT CAST(row_number() OVER (ORDER BY average_dom, community) AS INTEGER) AS position, community, number_of_sales
+            FROM (SELECT * FROM metrics ORDER BY number_of_sales DESC, community LIMIT 20)"""
+        ),
+        "r17_community_order": sql(
+            _COMMUNITIES
+            + """
+            SELECT CAST(row_number() OVER (ORDER BY number_of_sales DESC, community) AS INTEGER) AS position,
+              community, number_of_sales FROM metrics"""
+        ),
         "r19_transactions": sql(f"SELECT {', '.join(DETAIL_COLUMNS)} FROM f"),
         "r19_transactions_raw": sql(
             "SELECT * REPLACE (round(sold_list_ratio, 6) AS sold_list_ratio, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,12 @@ def over_both(columns: str, plan: Callable[..., DataFrame], *args, **kwargs) ->
     return run
 
 
+def shown_order(df: DataFrame) -> DataFrame:
+    """A short sorted table with each row's place as it comes, so that its order can be checked too."""
+    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    return placed.withColumn("position", F.row_number().over(Window.orderBy("_id"))).drop("_id")
+
+
 def _schema_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {name: views.read(spark, sf_dir, name) for name in PROFILE_TABLES}
     return profile.profile_tables(tables, PROFILE_KEYS)
@@ -122,6 +128,14 @@ def queries() -> dict[str, Query]:
             market.busiest_communities,
             WINDOW,
         ),
+        "r18_busiest_order": over(
+            "sold_date community sold_price days_on_market listing_firm",
+            lambda d: shown_order(market.busiest_communities(d, WINDOW)).select("position", "community", "number_of_sales"),
+        ),
+        "r17_community_order": over(
+            "sold_date community sold_price days_on_market listing_firm",
+            lambda d: shown_order(market.community_table(d, WINDOW)).select("position", "community", "number_of_sales"),
+        ),
         "r19_transactions": over(" ".join(market.DETAIL_COLUMNS), market.transactions, WINDOW),
         "r19_transactions_raw": over(
             " ".join(views.COLUMNS), market.transactions, WINDOW, all_columns=True

@@ -17,7 +17,7 @@ from dealspan.plans import brokerage as brokerage_plans
 from dealspan.plans import brokers
 from dealspan.schema import DEALS, DISPLAY_NAMES
 from dealspan.session import shared_dir
-from dealspan.sources import ingest, profile, readers, sinks
+from dealspan.sources import ingest, profile, readers, sinks, versions
 from workload import cleaning, views
 from workload.reports import PROFILE_KEYS, WINDOW, Query, rounded
 from workload.report_sql import checks, schema_profile
@@ -139,13 +139,10 @@ def _empty(spark, sf):
 def _upsert(spark, sf):
     """Two loads under one key: a repeated key keeps the later load's latest row."""
     lines, latest = _lines(spark, sf), [F.desc(c) for c in ORDER + ("list_price", "days_on_market")]
-    first, second = scratch(spark, "upsert"), scratch(spark, "upsert")
-    before, after = lines.filter(F.col("sold_date") < F.lit(CUTOFF)), lines.filter(
-        F.col("sold_date") >= F.lit(CUTOFF)
-    )
-    sinks.write_upsert(spark, None, before, ["listing_id"], latest, first)
-    sinks.write_upsert(spark, first, after, ["listing_id"], latest, second)
-    found = with_month(spark.read.parquet(second))
+    path = scratch(spark, "upsert")
+    for part in (F.col("sold_date") < F.lit(CUTOFF), F.col("sold_date") >= F.lit(CUTOFF)):
+        versions.upsert(lines.filter(part), path, ["listing_id"], latest)
+    found = with_month(versions.read_upserted(spark, path))
     return found.groupBy("month").agg(
         F.count(F.lit(1)).alias("deals"), F.sum("sold_price").alias("sold_total")
     )
@@ -162,13 +159,13 @@ def _append(spark, sf):
 
 def _batched_append(spark, sf):
     """Batches of 500 in one load, loaded twice: the second run replaces the first."""
-    path, rejects = scratch(spark, "batches"), scratch(spark, "rejects")
+    path = scratch(spark, "batches")
     batched = sinks.with_batches(_lines(spark, sf), ORDER, 500)
     valid = F.col("days_on_market") < 1000
     for _ in range(2):
-        sinks.write_load(batched, path, "load-1", valid, rejects)
-    kept = spark.read.parquet(path).withColumn("rejected", F.lit(False))
-    lost = spark.read.parquet(rejects).withColumn("rejected", F.lit(True))
+        versions.commit_load(batched, path, "load-1", valid)
+    kept = versions.read_loads(spark, path).withColumn("rejected", F.lit(False))
+    lost = versions.read_loads(spark, path, rejected=True).withColumn("rejected", F.lit(True))
     return kept.unionByName(lost).groupBy("load_id", "batch_id", "rejected").agg(
         F.count(F.lit(1)).alias("deals"), F.sum("sold_price").alias("sold_total")
     )
@@ -182,6 +179,26 @@ def _chunks(spark, sf):
     return sizes.groupBy(F.col("deals").alias("chunk_size")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def _sorted_lines(spark, sf) -> str:
+    path = scratch(spark, "sorted")
+    _lines(spark, sf).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).write.parquet(path)
+    return path
+
+
+def _file_chunks(spark, sf):
+    """Chunks of 25 by the rows' places in the files of a sorted table."""
+    numbered = sinks.with_file_row_number(spark, _sorted_lines(spark, sf))
+    sizes = count_by(numbered.withColumn("batch_id", F.floor(F.col("row_index") / 25) + 1), "batch_id")
+    return sizes.groupBy(F.col("deals").alias("chunk_size")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def _file_row_numbers(spark, sf):
+    numbered = sinks.with_file_row_number(spark, _sorted_lines(spark, sf))
+    return numbered.groupBy("sold_date").agg(
+        F.min("row_index").alias("first_row"), F.max("row_index").alias("last_row")
+    )
+
+
 def _item_schema(spark, sf):
     return profile.item_profile(views.read(spark, sf, "events"), "props")
 
@@ -210,12 +227,15 @@ def _catalog_schema(spark, sf):
 
 def _cached(spark, sf):
     """One cached narrow table feeds two reports."""
-    deals = sinks.cached(views.deals(spark, sf, "sold_date", "listing_firm", "buyer_firm"))
-    listing = brokerage_plans.top_brokerages_by_side(deals, WINDOW, "listing", FOCUS)
-    buyer = brokerage_plans.top_brokerages_by_side(deals, WINDOW, "buyer", FOCUS)
-    return listing.withColumn("side", F.lit("listing")).unionByName(
-        buyer.withColumn("side", F.lit("buyer"))
-    )
+    path = scratch(spark, "cached")
+    with sinks.cached(views.deals(spark, sf, "sold_date", "listing_firm", "buyer_firm")) as deals:
+        found = [
+            brokerage_plans.top_brokerages_by_side(deals, WINDOW, side, FOCUS).withColumn("side", F.lit(side))
+            for side in ("listing", "buyer")
+        ]
+        both = found[0].unionByName(found[1])
+        both.write.parquet(path)
+    return spark.read.schema(both.schema).parquet(path)
 
 
 def _csv_export(spark, sf):
@@ -332,6 +352,13 @@ def entries() -> dict[str, Entry]:
                   (SELECT floor((row_number() OVER () - 1) / 25) AS chunk FROM deals)
                 GROUP BY chunk) GROUP BY 1"""),
         ),
+        "s12_file_chunks": (
+            _file_chunks,
+            sql("""SELECT chunk_size, count(*) AS chunks FROM (
+                SELECT count(*) AS chunk_size FROM
+                  (SELECT floor((row_number() OVER () - 1) / 25) AS chunk FROM deals)
+                GROUP BY chunk) GROUP BY 1"""),
+        ),
         "s13_item_schema": (
             _item_schema,
             _item_profile("events", "props"),
@@ -360,6 +387,11 @@ def entries() -> dict[str, Entry]:
             sql(f"""{numbered} SELECT sold_date, min(row_index) AS first_row,
                 max(row_index) AS last_row FROM r GROUP BY 1"""),
         ),
+        "s17_file_row_number": (
+            _file_row_numbers,
+            sql(f"""{numbered} SELECT sold_date, min(row_index) AS first_row,
+                max(row_index) AS last_row FROM r GROUP BY 1"""),
+        ),
         "s17_row_id": (
             _row_ids,
             sql("SELECT count(*) AS deals, count(*) AS ids FROM deals"),
