@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,36 @@ def normal_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORDS), "")
 
 
-def shingle_hashes(df: DataFrame, n: int) -> DataFrame:
-    """``df`` with ``hashes``, the distinct hashes of all runs of ``n`` of its ``words``, in their place."""
+def _runs(words: Column, n: int, value) -> Column:
+    """All runs of ``n`` words, each by ``value`` of its place from 0; none in fewer words."""
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), value))
+
+
+def _by_length(words: Column, n: int, lengths: Sequence[int] | None, run: Callable[[int], Column], empty: str) -> Column:
+    """The distinct shingles: runs of ``n`` words, and those of each of ``lengths``; without ``lengths``, those of an
+    item, which is one shingle as a whole if it has fewer words."""
+    none = F.array().cast(empty)
+    if lengths is None:
+        found = run(n)
+        for m in range(1, n):
+            found = F.when(F.size(words) == m, run(m)).otherwise(found)
+        return F.array_distinct(F.coalesce(found, none))
+    return F.array_distinct(F.concat(*(F.coalesce(run(m), none) for m in (n, *lengths))))
+
+
+def shingle_hashes(df: DataFrame, n: int, lengths: Sequence[int] | None = ()) -> DataFrame:
+    """``df`` with ``hashes``, the hashes of the shingles of its ``words``, in their place."""
     # the words' hashes are a column of their own, as a lambda would work out an expression for each of its calls
     each = df.withColumn("each", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
-    runs = F.transform(F.sequence(F.lit(0), F.size("each") - n), lambda i: F.xxhash64(*(F.get(F.col("each"), i + j) for j in range(n))))
-    hashes = F.when(F.size("each") >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    run = lambda m: _runs(F.col("each"), m, lambda i: F.xxhash64(*(F.get(F.col("each"), i + j) for j in range(m))))
     # to be exploded as outer: a plain explode filters by size first, below this column, where it is worked out in the lambda
-    return each.withColumn("hashes", hashes).drop("each")
+    return each.withColumn("hashes", _by_length(F.col("each"), n, lengths, run, "array<bigint>")).drop("each")
 
 
-def shingles(words: Column, n: int) -> Column:
-    """The distinct runs of ``n`` words themselves."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def shingles(words: Column, n: int, lengths: Sequence[int] | None = ()) -> Column:
+    """The shingles themselves."""
+    run = lambda m: _runs(words, m, lambda i: F.array_join(F.slice(words, i + 1, m), " "))
+    return _by_length(words, n, lengths, run, "array<string>")
 
 
 def item_sketches(items: DataFrame, n: int, contained: float) -> DataFrame:
@@ -43,7 +61,7 @@ def item_sketches(items: DataFrame, n: int, contained: float) -> DataFrame:
     class has that number for its largest size, or all shingles of an item that has fewer. So no item is missed, and
     the sketch of the whole document is all its shingles that some item's sketch asks for.
     """
-    own = shingle_hashes(items.select("item_key", "words"), n).filter(F.size("hashes") > 0)
+    own = shingle_hashes(items.select("item_key", "words"), n, None).filter(F.size("hashes") > 0)
     size = F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes"))))
     wanted = (size - F.ceil(size * contained - 1e-9) + 1).cast("int")
     return own.select("item_key", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), wanted)).alias("hash"))
@@ -58,15 +76,17 @@ def _contained(docs: DataFrame, items: DataFrame, n: int, contained: float, id_c
         mine = scratch.keep(mine.withColumn("item_key", F.monotonically_increasing_id()))
         sketch = scratch.keep(item_sketches(mine, n, contained))
         sent = F.broadcast if sketch.count() <= sent_rows else lambda df: df
-        hashes = shingle_hashes(own, n).select("own_id", "text_key", F.explode_outer("hashes").alias("hash"))
+        few = F.size("words")
+        short = [r.m for r in mine.filter(few.between(1, n - 1)).select(few.alias("m")).distinct().collect()]  # under n values
+        hashes = shingle_hashes(own, n, short).select("own_id", "text_key", F.explode_outer("hashes").alias("hash"))
         pairs = hashes.join(sent(sketch), "hash").select("own_id", "text_key", "item_key").distinct()
         pairs = scratch.keep(pairs)
 
         near = pairs.select("own_id", "text_key").distinct().withColumnRenamed("own_id", "near_id")
         same = own["own_id"].eqNullSafe(near["near_id"]) & (own["text_key"] == near["text_key"])
         texts = own.join(near, same, "left_semi").dropDuplicates(["own_id", "text_key"])
-        has = texts.select("own_id", "text_key", F.explode_outer(shingles(F.col("words"), n)).alias("shingle"))
-        asked = mine.select("item_key", F.explode_outer(shingles(F.col("words"), n)).alias("shingle")).filter("shingle is not null")
+        has = texts.select("own_id", "text_key", F.explode_outer(shingles(F.col("words"), n, short)).alias("shingle"))
+        asked = mine.select("item_key", F.explode_outer(shingles(F.col("words"), n, None)).alias("shingle")).filter("shingle is not null")
         sizes = asked.groupBy("item_key").agg(F.count("*").alias("n_item"))
         found = has.join(sent(asked.select("shingle").distinct()), "shingle", "left_semi")
         wanted = pairs.withColumnRenamed("own_id", "pair_id").withColumnRenamed("text_key", "pair_key")
@@ -95,9 +115,12 @@ def contained_items(
     The sketches go to every task if they have at most ``sent_rows`` rows, else the documents' hashes are dealt out to
     them. Words are runs of letters, marks and digits, in lower case.
 
-    Returns the id column, the item column, ``n_shared``, ``n_item`` (distinct shingles) and ``share``. Null, empty and
-    short texts, of fewer than ``n`` words, have no shingles: such documents hold no item, and such items are in no
-    document. Rows with equal id and text are one document or one item. Null ids are ids like any other. Other columns
+    An item of fewer than ``n`` words has one shingle, all its words, and is looked for among the runs of that many words
+    in all documents; this is done for the lengths that occur among the items.
+
+    Returns the id column, the item column, ``n_shared``, ``n_item`` (distinct shingles) and ``share``. Texts without words, as null and
+    empty ones, have no shingles: such documents hold no item, and such items are in no document. Very long texts are cut into
+    shingles as a whole. Rows with equal id and text are one document or one item. Null ids are ids like any other. Other columns
     are not read. Empty tables give an empty result.
     """
     found = _contained(docs, items, n, contained, id_col, text_col, item_col, item_text_col, sent_rows)

@@ -80,10 +80,12 @@ def line_dedup(width: int = linededup.WIDTH) -> str:
 
 def decontamination(n: int = decontam.SHINGLE, contained: float = decontam.CONTAINED) -> str:
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '')"
-    runs = f"unnest(range(1, len(w) - {n} + 2)) as i, w"
+    runs = "array_to_string(w[i : i + m - 1], ' ') as s"
     return f"""with d as (select doc_id, {words} as w from documents), b as (select item_id, {words} as w from benchmark),
-      ds as (select distinct doc_id, array_to_string(w[i : i + {n} - 1], ' ') as s from (select doc_id, {runs} from d where len(w) >= {n})),
-      bs as (select distinct item_id, array_to_string(w[i : i + {n} - 1], ' ') as s from (select item_id, {runs} from b where len(w) >= {n})),
+      lengths as (select {n} as m union select len(w) from b where len(w) between 1 and {n - 1}),
+      ds as (select distinct doc_id, {runs} from (select doc_id, m, unnest(range(1, len(w) - m + 2)) as i, w from d, lengths where len(w) >= m)),
+      bs as (select distinct item_id, {runs} from (select item_id, m, unnest(range(1, len(w) - m + 2)) as i, w
+        from (select item_id, w, least({n}, len(w)) as m from b where len(w) > 0))),
       sizes as (select item_id, count(*) as n_item from bs group by item_id),
       shared as (select doc_id, item_id, count(*) as n_shared from ds join bs using (s) group by all)
       select doc_id, item_id, n_shared, n_item, n_shared / n_item as share from shared join sizes using (item_id)
