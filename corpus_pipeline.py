@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealspan.llm import decontam, linededup, simhash, toxicity
@@ -15,49 +15,64 @@ from dealspan.llm.workload import packed, reachable, table
 ORACLE_SQL = None
 
 
-def _text_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with 128 bits of hash of each text: ``text_low``, ``text_high``."""
-    return docs.withColumn("text_low", F.xxhash64("text")).withColumn("text_high", F.xxhash64("text", F.lit(1)))
+def _whole(docs: DataFrame) -> Column:
+    """A row of ``docs`` as one value, so that no name of its columns meets one that a stage uses."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject, each row judged by its own text."""
+    """Documents that the classifier chain does not reject, each row judged by its own text.
+
+    Null, empty and very long texts and repeated rows are judged like all others; a text without letters is kept. Rows go
+    through the classifier with all their columns, so that none is joined back. No documents give no documents.
+    """
     reachable(spark)
     labels = toxicity.quality_and_toxicity(table(spark, sf_dir, "labels"))
-    keys = ["text_low", "text_high"]
-    found = toxicity.toxic_documents(docs, labels, carry={"text_low": F.xxhash64("text"), "text_high": F.xxhash64("text", F.lit(1))})
-    found = found.filter("rejected").select(F.col("doc_id").alias("toxic_id"), *keys).distinct()
-    own = _text_keys(docs)
-    same = own["doc_id"].eqNullSafe(found["toxic_id"])
-    for c in keys:
-        same = same & (own[c] == found[c])
-    return own.join(found, same, "left_anti").select(docs.columns)
+    judged = toxicity.toxic_documents(docs, labels, carry={"document": _whole(docs)})
+    return judged.filter(~F.col("rejected")).select("document.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later occurrences of three-line passages."""
+    """Documents without later occurrences of three-line passages; no row goes.
+
+    A null text stays null, and a text may become empty. Rows equal in id and text come out alike. All columns are kept;
+    ``n_chars``, where there is one, becomes the length of the text left.
+    """
     return linededup.without_repeated_lines(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that with the smallest id (null last), then the smallest hashes of its text and row."""
+    """One row of each group of near duplicates: that with the smallest id (null last), then the smallest hashes of its text and row.
+
+    Null texts, empty ones and others without words are near duplicates of each other. Of rows equal in all columns one stays. Texts are
+    compared as a whole, however long. No documents give no documents.
+    """
     reachable(spark)
-    keys = ["text_low", "text_high", "row_hash"]
-    # with marks of nulls, which the hash alone passes over
-    own = _text_keys(docs).withColumn("row_hash", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
-    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", *keys)
-    found = simhash.near_duplicates(own.select(row.alias("row"), "text"), id_col="row")
-    kept = found.filter(F.col("row") == F.col("component_id")).select("row.text_low", "row.text_high", "row.row_hash").distinct()
-    return own.join(kept, keys, "left_semi").dropDuplicates(keys).select(docs.columns)
+    keys = ["text_low", "text_high", "row_low", "row_high"]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marks = [*columns, *(c.isNull() for c in columns)]  # the hash alone passes over nulls
+    hashes = [F.xxhash64("text"), F.xxhash64("text", F.lit(1)), F.xxhash64(*marks), F.xxhash64(*marks, F.lit(1))]
+    own = docs.select(_whole(docs).alias("document"), *(h.alias(k) for h, k in zip(hashes, keys, strict=True)))
+    row = F.struct(F.col("document.doc_id").isNull().alias("late"), F.col("document.doc_id").alias("doc_id"), *keys)
+    found = simhash.near_duplicates(own.select(row.alias("row"), "document.text"), id_col="row")
+    kept = found.filter(F.col("row") == F.col("component_id")).select(*(f"row.{k}" for k in keys)).distinct()
+    return own.join(kept, keys, "left_semi").dropDuplicates(keys).select("document.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, each row judged by its own text.
+
+    Null and empty texts hold none. Very long texts are searched as a whole. Repeated rows go or stay together, and all columns
+    are kept. No documents give no documents.
+    """
     return decontam.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences.
+
+    A null text is packed like an empty one, texts over a sequence are cut into pieces, and repeated rows are documents of their own.
+    """
     reachable(spark)
     return packed(docs)
 
