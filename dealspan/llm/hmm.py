@@ -23,6 +23,8 @@ ADDED = 0.1
 #: Symbols: 0 is the end, 1 to ``frequent`` are words, the rest are classes of rarer words.
 END = 0
 BATCH_TOKENS = 1_000_000
+#: Steps between which the recursions are brought back to a sum of 1, and positions whose moves are added in single precision.
+RESCALED, ADDED_ROWS = 4, 65_536
 FLUSH = 500_000
 
 
@@ -50,7 +52,7 @@ class Ragged:
     def __init__(self, sequences: list[np.ndarray]) -> None:
         lengths = np.array([len(s) for s in sequences], np.int64)
         self.order = np.argsort(-lengths, kind="stable")
-        ends = lengths[self.order]
+        ends = self.lengths = lengths[self.order]
         steps = int(ends[0]) if len(ends) else 0
         self.active = np.searchsorted(-ends, -np.arange(steps), side="left")  # sequences longer than each step
         self.at = np.r_[0, np.cumsum(self.active)]
@@ -63,7 +65,7 @@ class Ragged:
         logs = np.zeros(len(self.order))
         a = None
         for t, n in enumerate(self.active):
-            e = p.emits[self.symbols[self.at[t] : self.at[t + 1]]]
+            e = np.take(p.emits, self.symbols[self.at[t] : self.at[t + 1]], axis=0)
             a = e * p.start if a is None else (a[:n] @ p.moves) * e
             c = a.sum(axis=1)
             a /= c[:, None]
@@ -76,7 +78,59 @@ class Ragged:
         return out
 
     def expected(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions (by state, then symbol); ``whole`` is the log10 probability of all."""
+        """Expected counts of starts, moves and emissions (by state, then symbol); ``whole`` is the log10 probability of all.
+
+        A step is two products forward and two backward: emissions are relative to a symbol's largest, so that sums need to be
+        brought back only every few steps, and all that is counted per position is divided by its sum for all positions at once.
+        Where a sum still leaves the range of the numbers, the group is done step by step in double precision.
+        """
+        k, total = len(p.start), int(self.at[-1])
+        if not total:
+            self.whole = 0.0
+            return np.zeros(k), np.zeros((k, k)), np.zeros((k, len(p.emits)))
+        largest = p.emits.max(axis=1)
+        own = np.take(p.emits / largest[:, None], self.symbols, axis=0)  # much faster than an index of rows
+        alpha, beta = np.empty_like(own), np.ones_like(own)
+        scale, ones = np.ones(total, own.dtype), np.ones(k, own.dtype)
+        spans = list(zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True))
+        np.multiply(own[: spans[0][1]], p.start, out=alpha[: spans[0][1]])
+        with np.errstate(all="ignore"):
+            for t in range(1, len(spans)):
+                (lo, hi), begin = spans[t], spans[t - 1][0]
+                a = alpha[lo:hi]
+                np.matmul(alpha[begin : begin + hi - lo], p.moves, out=a)
+                a *= own[lo:hi]
+                if t % RESCALED == 0:
+                    c = scale[lo:hi] = a @ ones
+                    a /= c[:, None]
+            back = np.ascontiguousarray(p.moves.T)
+            for t in range(len(spans) - 1, 0, -1):
+                (lo, hi), begin = spans[t], spans[t - 1][0]
+                ahead = own[lo:hi]
+                ahead *= beta[lo:hi]  # from here on emission times beta
+                b = beta[begin : begin + hi - lo]
+                np.matmul(ahead, back, out=b)
+                if t % RESCALED == 0:
+                    b /= (b @ ones)[:, None]
+            ends = alpha[self.at[self.lengths[self.lengths > 0] - 1] + np.arange((self.lengths > 0).sum())] @ ones
+            gammas = np.multiply(alpha, beta, out=beta)
+            sums = gammas @ ones
+            logs = [np.log10(x, dtype=np.float64).sum() for x in (scale, ends)]
+        if not (np.isfinite(sums).all() and (sums > 0).all() and np.isfinite(logs).all()):
+            return self.expected_by_step(Parameters(*(x.astype(np.float64) for x in (p.start, p.moves, p.emits))))
+        self.whole = float(sum(logs) + np.log10(largest, dtype=np.float64)[self.symbols].sum())
+        first = spans[0][1]
+        before = np.arange(first, total) - np.repeat(self.active[:-1], self.active[1:])  # the place of the step before
+        own[first:] /= (scale * sums)[first:, None]
+        moves = np.zeros((k, k))
+        for i in range(0, len(before), ADDED_ROWS):
+            moves += np.take(alpha, before[i : i + ADDED_ROWS], axis=0).T @ own[first + i : first + i + ADDED_ROWS]
+        gammas /= sums[:, None]
+        counts = np.stack([np.bincount(self.symbols, weights=gammas[:, i], minlength=len(p.emits)) for i in range(k)])
+        return gammas[:first].sum(axis=0), moves * p.moves, counts
+
+    def expected_by_step(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, every step brought back to a sum of 1."""
         k, total = len(p.start), int(self.at[-1])
         gammas, scales = np.empty((total, k), p.emits.dtype), np.empty(total, p.emits.dtype)
         self.whole = float(self.forward(p, gammas, scales).sum())
@@ -172,16 +226,18 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16) for x in batch.column("symbols")]
 
 
-def _groups(sequences: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Runs of sequences of about ``BATCH_TOKENS`` symbols."""
-    begin = size = 0
-    for i, s in enumerate(sequences):
-        if i > begin and size + len(s) > BATCH_TOKENS:
-            yield begin, sequences[begin:i]
-            begin, size = i, 0
-        size += len(s)
-    if begin < len(sequences):
-        yield begin, sequences[begin:]
+def _groups(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Sequences of like lengths with about ``BATCH_TOKENS`` symbols together, and their places.
+
+    With like lengths a group's steps are wide up to its end, and few.
+    """
+    if not sequences:
+        return
+    sizes = np.array([len(s) for s in sequences])
+    order = np.argsort(sizes, kind="stable")
+    group = (np.cumsum(sizes[order]) - 1) // BATCH_TOKENS
+    for part in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+        yield part, [sequences[i] for i in part]
 
 
 def _expect(shared, states: int):
@@ -212,8 +268,8 @@ def _scored(shared):
         p = shared.value
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for begin, group in _groups(_sequences(batch)):
-                out[begin : begin + len(group)] = Ragged(group).forward(p)
+            for places, group in _groups(_sequences(batch)):
+                out[places] = Ragged(group).forward(p)
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(out)], names=["row_id", "path"])
 
     return run

@@ -136,8 +136,43 @@ def test_forward_and_expected_counts():
                 moves[i, j] += w
             for y, k in zip(s, x):
                 counts[k, y] += w
-    for have, want in zip(ragged.expected(p), (start, moves, counts)):
-        assert np.allclose(have, want)
+    for expected in (ragged.expected, ragged.expected_by_step):
+        for have, want in zip(expected(p), (start, moves, counts)):
+            assert np.allclose(have, want)
+        assert math.isclose(ragged.whole, sum(_brute_score(p, s) for s in sequences))
+
+
+def test_expected_counts_in_single_precision():
+    rng = np.random.default_rng(5)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    emits = rng.random((8, 400)) ** 12 + 1e-9  # far from even
+    moves = rng.random((8, 8)) ** 6 + 1e-6
+    double = hmm.Parameters(norm(rng.random(8)), norm(moves), np.ascontiguousarray(norm(emits).T))
+    single = hmm.Parameters(*(x.astype(np.float32) for x in (double.start, double.moves, double.emits)))
+    ragged = hmm.Ragged([rng.integers(0, 400, n) for n in (1, 1, 700, 3, 50, 51, 200, 4, 5)])
+    want, whole = ragged.expected_by_step(double), (ragged.whole,)
+    for have, x in zip(ragged.expected(single), want):
+        assert np.allclose(have, x, rtol=1e-3, atol=1e-4 * x.max())
+    assert math.isclose(ragged.whole, whole[0], rel_tol=1e-6)
+    # sums that leave single precision between two rescalings are done again in double precision
+    far = np.full((4, 8), 1e-30)
+    far[[0, 1, 2, 3], [0, 1, 2, 3]] = 1.0
+    stuck = np.full((8, 8), 1e-30) + np.eye(8)
+    cut = hmm.Parameters(np.eye(8)[0].astype(np.float32), stuck.astype(np.float32), far.astype(np.float32))
+    lost = hmm.Ragged([np.array([0, 1, 2, 3, 0, 1, 2, 3])])
+    with np.errstate(all="ignore"):
+        start, _, counts = lost.expected(cut)
+    assert np.isfinite(counts).all() and math.isclose(start.sum(), 1) and math.isclose(counts.sum(), 8)
+    assert [x.tolist() for x in hmm.Ragged([]).expected(single)][0] == [0.0] * 8
+
+
+def test_groups_hold_every_sequence(monkeypatch):
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", 10)
+    sequences = [np.zeros(n) for n in (3, 25, 1, 9, 9, 1, 4, 0)]
+    groups = list(hmm._groups(sequences))
+    assert sorted(i for places, _ in groups for i in places) == list(range(8))
+    assert all(len(sequences[i]) == len(x) for places, part in groups for i, x in zip(places, part))
+    assert list(hmm._groups([])) == []
 
 
 def test_scores_of_texts(docs, odd_documents):
