@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ END = 0
 BATCH_TOKENS = 1_000_000
 #: Steps between which the recursions are brought back to a sum of 1, and positions whose moves are added in single precision.
 RESCALED, ADDED_ROWS = 4, 65_536
+#: How far a round goes, where 1 is Baum-Welch's own step; near 2 the rounds swing to and fro.
+FURTHER = 1.5
 FLUSH = 500_000
 
 
@@ -57,8 +60,11 @@ class Ragged:
         self.active = np.searchsorted(-ends, -np.arange(steps), side="left")  # sequences longer than each step
         self.at = np.r_[0, np.cumsum(self.active)]
         self.symbols = np.empty(self.at[-1], np.int64)
-        for rank, k in enumerate(self.order):
-            self.symbols[self.at[: lengths[k]] + rank] = sequences[k]
+        if steps:
+            behind = np.cumsum(ends) - ends
+            step = np.arange(self.at[-1]) - np.repeat(behind, ends)
+            place = np.take(self.at, step) + np.repeat(np.arange(len(ends)), ends)
+            self.symbols[place] = np.concatenate([sequences[k] for k in self.order])
 
     def forward(self, p: Parameters, alphas: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each sequence by the scaled forward recursion."""
@@ -126,7 +132,11 @@ class Ragged:
         for i in range(0, len(before), ADDED_ROWS):
             moves += np.take(alpha, before[i : i + ADDED_ROWS], axis=0).T @ own[first + i : first + i + ADDED_ROWS]
         gammas /= sums[:, None]
-        counts = np.stack([np.bincount(self.symbols, weights=gammas[:, i], minlength=len(p.emits)) for i in range(k)])
+        counts = np.empty((k, len(p.emits)))
+        for i in range(k - 1):
+            counts[i] = np.bincount(self.symbols, weights=gammas[:, i], minlength=len(p.emits))
+        # each position counts 1 over all states
+        counts[-1] = np.maximum(np.bincount(self.symbols, minlength=len(p.emits)) - counts[:-1].sum(axis=0), 0)
         return gammas[:first].sum(axis=0), moves * p.moves, counts
 
     def expected_by_step(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,6 +173,16 @@ def reestimate(start: np.ndarray, moves: np.ndarray, counts: np.ndarray, common:
     return Parameters(start, moves, np.ascontiguousarray(emits.T))
 
 
+def beyond(old: Parameters, new: Parameters, step: float) -> Parameters:
+    """From ``old`` in the direction of ``new``, ``step`` times as far, in the logarithms of the probabilities."""
+
+    def moved(a: np.ndarray, b: np.ndarray, axis: int) -> np.ndarray:
+        x = np.exp(np.log(a) + step * (np.log(b) - np.log(a)))
+        return x / x.sum(axis=axis, keepdims=True)
+
+    return Parameters(moved(old.start, new.start, 0), moved(old.moves, new.moves, 1), moved(old.emits, new.emits, 0))
+
+
 def first_parameters(sample: list[np.ndarray], states: int, common: np.ndarray, rounds: int, seed: int = 7) -> Parameters:
     """Parameters to start from, by rounds over a sample, with states that last at first."""
     draw = np.random.default_rng(seed)
@@ -183,8 +203,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(tokens(text.as_py()))
+        for text in batch.column(0).cast(pa.binary()):
+            counts.update((text.as_py() or b"").lower().split())
             if len(counts) > FLUSH:
                 yield out()
                 counts.clear()
@@ -197,22 +217,20 @@ def _encoded(top, frequent: int, classes: int, known: float, id_col: str, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = top.value
-        symbol = {w: i + 1 for i, w in enumerate(words)}
+        symbol, unknown = {w: i + 1 for i, w in enumerate(words)}, frequent + classes + 1
         logs = np.log10((counts + ADDED) / known)
         for batch in batches:
             for part, texts in slices(batch, text_col):
                 columns: list[list] = [[], [], [], []]
                 for text in texts:
                     own = tokens(text)
-                    rare = []
-                    found = list(map(symbol.get, own))
-                    for i, s in enumerate(found):
-                        if s is None:
-                            rare.append(own[i])
-                            found[i] = word_class(own[i], frequent, classes)
-                    found.append(END)
-                    symbols = np.array(found, np.uint16)
-                    for c, x in zip(columns, (len(found), float(logs[symbols[symbols <= frequent]].sum()), symbols.tobytes(), b" ".join(rare)), strict=True):
+                    symbols = np.fromiter(map(symbol.get, own, repeat(unknown)), np.uint16, len(own))
+                    symbols = np.append(symbols, np.uint16(END))
+                    at = np.flatnonzero(symbols == unknown)
+                    rare = [own[i] for i in at]
+                    base = float(np.take(logs, np.delete(symbols, at)).sum())
+                    symbols[at] = [word_class(w, frequent, classes) for w in rare]
+                    for c, x in zip(columns, (len(symbols), base, symbols.tobytes(), b" ".join(rare)), strict=True):
                         c.append(x)
                 kinds = [pa.int64(), pa.float64(), pa.binary(), pa.binary()]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -276,8 +294,12 @@ def _scored(shared):
 
 
 def _trained(train: DataFrame, p: Parameters, rounds: int, least: int, gain: float, common: np.ndarray, spark: SparkSession) -> Parameters:
-    """Rounds over all texts: ``least``, then until one gains less than a share ``gain`` of their log10 probability."""
-    states, before = len(p.start), -np.inf
+    """Rounds over all texts: ``least``, then until one gains less than a share ``gain`` of their log10 probability.
+
+    Each round goes further than Baum-Welch's own step. The next one shows the probability of where that led; if it fell, it
+    counts for nothing but to go back to that step.
+    """
+    states, before, own = len(p.start), -np.inf, p
     kinds = "symbol long, " + ", ".join(f"c{i} double" for i in range(states))
     for done in range(rounds):
         counts = train.select("symbols").mapInArrow(_expect(spark.sparkContext.broadcast(p), states), kinds)
@@ -290,11 +312,15 @@ def _trained(train: DataFrame, p: Parameters, rounds: int, least: int, gain: flo
         emitted = np.zeros((states, len(common)))
         emitted[:, at[at >= 0]] = table[at >= 0].T
         by = {s: table[i] for i, s in enumerate(at) if s < 0}
-        p = reestimate(by[-1], np.stack([by[-2 - i] for i in range(states)]), emitted, common)
         whole = by[-2 - states][0]
+        if whole < before:
+            p = own
+            continue
+        own = reestimate(by[-1], np.stack([by[-2 - i] for i in range(states)]), emitted, common)
         if done >= least and whole - before < gain * abs(whole):
+            p = own
             break
-        before = whole
+        p, before = beyond(p, own, FURTHER), whole
     return p
 
 
@@ -318,7 +344,8 @@ def score_texts(
     words by their last letters. A rarer word's probability is that of its class times its share of the class,
     (count + 0.1) / (class count + 0.1 * (class words + 1)), where the counts of all words are kept in a table and
     joined; unseen words share the one extra word. Baum-Welch: in each round every training text is run forward
-    and backward, and the tasks' expected counts are added. The first parameters are random, by a fixed seed, about the
+    and backward, and the tasks' expected counts are added; the new parameters are taken a little beyond those of the counts, which
+    the next round takes back if the probability fell. The first parameters are random, by a fixed seed, about the
     whole symbol counts. After ``least_rounds``, the rounds go on until one gains less than the share ``gain`` of the
     log10 probability of all training texts, or until ``rounds``. No step takes a sample, unless ``sample_texts`` asks
     for ``sample_rounds`` over so many training texts to start from. The score is the exact log10 probability of the

@@ -166,6 +166,22 @@ def test_expected_counts_in_single_precision():
     assert [x.tolist() for x in hmm.Ragged([]).expected(single)][0] == [0.0] * 8
 
 
+def test_rounds_go_further_and_never_end_lower(spark):
+    from pyspark.sql import types as T
+
+    rng = np.random.default_rng(8)
+    texts = [(np.r_[rng.choice(np.arange(1, 20) if i % 2 else np.arange(15, 40), 30), 0].astype(np.uint16).tobytes(),) for i in range(200)]
+    train = spark.createDataFrame(texts, T.StructType([T.StructField("symbols", T.BinaryType())])).repartition(3)
+    ragged = hmm.Ragged([np.frombuffer(x, np.uint16) for x, in texts])
+    common = np.bincount(ragged.symbols, minlength=43) + 0.1
+    common /= common.sum()
+    first = plain = hmm.first_parameters([], 3, common, 0)
+    for _ in range(12):
+        plain = hmm.reestimate(*ragged.expected(plain), common)
+    made = hmm._trained(train, first, 12, 12, 0.0, common, spark)
+    assert ragged.forward(made).sum() >= ragged.forward(plain).sum() > ragged.forward(first).sum()
+
+
 def test_groups_hold_every_sequence(monkeypatch):
     monkeypatch.setattr(hmm, "BATCH_TOKENS", 10)
     sequences = [np.zeros(n) for n in (3, 25, 1, 9, 9, 1, 4, 0)]
