@@ -370,7 +370,7 @@ def score_texts(
         known = train_tokens + ADDED * (distinct + 1)
         top = counts.orderBy(F.desc("n"), "token").limit(frequent).collect()  # bounded by the parameter
         least = (top[-1].n, top[-1].token) if len(top) == frequent else None
-        words = [r.token.encode() for r in top]
+        frequent, words = len(top), [r.token.encode() for r in top]  # no symbol without a word
         weights = np.array([ends, *(r.n for r in top)], float)
         shared = spark.sparkContext.broadcast((words, weights))
 
@@ -382,8 +382,7 @@ def score_texts(
         class_n, class_words = np.zeros(classes), np.zeros(classes)
         for r in by_class:
             class_n[r["class"]], class_words[r["class"]] = r.class_n, r.class_words
-        mass = np.r_[weights, np.zeros(frequent - len(top)), class_n] + ADDED
-        mass[1 + len(top) : 1 + frequent] = 0
+        mass = np.r_[weights, class_n] + ADDED
         common = mass / mass.sum()
 
         kinds = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("base", T.DoubleType()), ("symbols", T.BinaryType()), ("rare", T.StringType())]
