@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,46 +195,77 @@ def first_parameters(sample: list[np.ndarray], states: int, common: np.ndarray,
     return p
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
+def _flat(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words in turn, as a dictionary array, and each text's number of words."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    of, flat = pc.list_parent_indices(split), split.flatten()
+    some = pc.not_equal(flat, "")  # blanks at either end leave an empty one
+    lengths = np.bincount(of.filter(some).to_numpy(), minlength=len(texts))
+    return flat.filter(some).dictionary_encode(), lengths
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
 
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            counts.update((text.as_py() or b"").lower().split())
-            if len(counts) > FLUSH:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: list[pa.Table] = []
+    size = kept = 0
 
+    def merged() -> pa.Table:
+        table = pa.concat_tables(parts).group_by("token", use_threads=False).aggregate([("n", "sum")])
+        return table.rename_columns(["token", "n"]).cast(pa.schema([("token", pa.string()), ("n", pa.int64())]))
 
-def _encoded(top, frequent: int, classes: int, known: float, id_col: str, text_col: str):
-    """Texts as symbols, with what the frequent words add to the base score, and the rarer words."""
+    for batch in batches:
+        for part, _ in slices(batch, batch.schema.names[0]):
+            flat, _ = _flat(part.column(0))
+            n = np.bincount(flat.indices.to_numpy(), minlength=len(flat.dictionary))
+            parts.append(pa.table({"token": flat.dictionary, "n": n}))
+            size += len(n)
+            if size - kept > FLUSH:
+                parts = [merged()]
+                size = kept = parts[0].num_rows
+                if kept > FLUSH:
+                    yield from parts[0].to_batches(FLUSH)
+                    parts, size, kept = [], 0, 0
+    if parts:
+        yield from merged().to_batches(FLUSH)
+
+
+def _encoded(shared, frequent: int, classes: int, known: float, id_col: str, text_col: str):
+    """Texts as symbols, with what all but the rarer words' own counts add to the scores, and the rarer words.
+
+    Each distinct word of a run of texts is looked up once.
+    """
+    names = [id_col, "held_out", "n_tokens", "n_rare", "base", "in_class", "symbols", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = top.value
-        symbol, unknown = {w: i + 1 for i, w in enumerate(words)}, frequent + classes + 1
-        logs = np.log10((counts + ADDED) / known)
+        words, counts, of_class = shared.value
+        symbol = {w: i + 1 for i, w in enumerate(words)}
+        base_of = np.full(frequent + 1 + classes, -np.log10(known))
+        base_of[: len(counts)] += np.log10(counts + ADDED)
+        class_of = np.r_[np.zeros(frequent + 1), -np.log10(of_class)]
         for batch in batches:
-            for part, texts in slices(batch, text_col):
-                columns: list[list] = [[], [], [], []]
-                for text in texts:
-                    own = tokens(text)
-                    symbols = np.fromiter(map(symbol.get, own, repeat(unknown)), np.uint16, len(own))
-                    symbols = np.append(symbols, np.uint16(END))
-                    at = np.flatnonzero(symbols == unknown)
-                    rare = [own[i] for i in at]
-                    base = float(np.take(logs, np.delete(symbols, at)).sum())
-                    symbols[at] = [word_class(w, frequent, classes) for w in rare]
-                    for c, x in zip(columns, (len(symbols), base, symbols.tobytes(), b" ".join(rare)), strict=True):
-                        c.append(x)
-                kinds = [pa.int64(), pa.float64(), pa.binary(), pa.binary()]
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                arrays[3] = arrays[3].cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=[id_col, "held_out", "n_tokens", "base", "symbols", "rare"])
+            for part, _ in slices(batch, text_col):
+                flat, lengths = _flat(part.column(text_col))
+                distinct = flat.dictionary.cast(pa.binary()).to_pylist()
+                own = np.fromiter((symbol.get(w) or word_class(w, frequent, classes) for w in distinct), np.uint16, len(distinct))
+                codes = flat.indices.to_numpy()
+                ends = np.cumsum(lengths + 1)
+                symbols = np.zeros(ends[-1], "<u2")  # the end stays 0
+                inside = np.ones(len(symbols), bool)
+                inside[ends - 1] = False
+                symbols[inside] = own[codes]
+                is_rare = own[codes] > frequent
+                n_rare = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[is_rare], minlength=len(lengths))
+                begins = ends - lengths - 1
+                rare = flat.filter(pa.array(is_rare)).cast(pa.string())
+                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_rare)], pa.int32()), rare)
+                columns = [
+                    pa.array(lengths + 1, pa.int64()),
+                    pa.array(n_rare, pa.int64()),
+                    pa.array(np.add.reduceat(base_of[symbols], begins)),
+                    pa.array(np.add.reduceat(class_of[symbols], begins)),
+                    pa.array([symbols[i:j].tobytes() for i, j in zip(begins, ends, strict=True)], pa.binary()),
+                    pc.binary_join(rare, " "),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
 
     return run
 
@@ -282,13 +312,15 @@ def _expect(shared, states: int):
 
 
 def _scored(shared):
+    """The texts' log10 probabilities as symbols, in place of these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
             out = np.empty(batch.num_rows)
             for places, group in _groups(_sequences(batch)):
                 out[places] = Ragged(group).forward(p)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(out)], names=["row_id", "path"])
+            yield batch.drop_columns(["symbols"]).append_column("path", pa.array(out))
 
     return run
 
@@ -372,20 +404,21 @@ def score_texts(
         least = (top[-1].n, top[-1].token) if len(top) == frequent else None
         frequent, words = len(top), [r.token.encode() for r in top]  # no symbol without a word
         weights = np.array([ends, *(r.n for r in top)], float)
-        shared = spark.sparkContext.broadcast((words, weights))
 
         ending = F.substring(F.encode("token", "utf-8"), -ENDING, ENDING)
-        with_class = lambda df: df.withColumn("class", F.pmod(F.crc32(ending), F.lit(classes)).cast("int"))
         is_rare = F.lit(False) if least is None else (F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("token") > least[1]))
         rare_counts = counts.filter(is_rare)
-        by_class = with_class(rare_counts).groupBy("class").agg(F.sum("n").alias("class_n"), F.count("*").alias("class_words")).collect()
+        by_class = rare_counts.groupBy(F.pmod(F.crc32(ending), F.lit(classes)).cast("int").alias("class"))
+        by_class = by_class.agg(F.sum("n").alias("class_n"), F.count("*").alias("class_words")).collect()
         class_n, class_words = np.zeros(classes), np.zeros(classes)
         for r in by_class:
             class_n[r["class"]], class_words[r["class"]] = r.class_n, r.class_words
         mass = np.r_[weights, class_n] + ADDED
         common = mass / mass.sum()
 
-        kinds = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("base", T.DoubleType()), ("symbols", T.BinaryType()), ("rare", T.StringType())]
+        shared = spark.sparkContext.broadcast((words, weights, class_n + ADDED * (class_words + 1)))
+        kinds = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_rare", T.LongType()), ("base", T.DoubleType())]
+        kinds += [("in_class", T.DoubleType()), ("symbols", T.BinaryType()), ("rare", T.StringType())]
         texts = own.mapInArrow(_encoded(shared, frequent, classes, known, "own_id", "own_text"), fields(own, "own_id", *kinds))
         texts = scratch.keep(texts.withColumn("row_id", F.monotonically_increasing_id()))
 
@@ -393,27 +426,21 @@ def score_texts(
         first = taught.select("symbols").orderBy(F.xxhash64("symbols"), "symbols").limit(sample_texts).collect()
         p = first_parameters([np.frombuffer(r.symbols, np.uint16) for r in first], states, common, sample_rounds)
         p = _trained(taught, p, rounds, least_rounds, gain, common, spark)
-        paths = texts.select("row_id", "symbols").mapInArrow(_scored(spark.sparkContext.broadcast(p)), "row_id long, path double")
-
-        shares = spark.createDataFrame(
-            [(i, float(class_n[i]), float(class_n[i] + ADDED * (class_words[i] + 1))) for i in range(classes)], "class int, class_n double, whole double"
-        ).select("class", "whole")
-        each = texts.filter("rare <> ''").select("row_id", F.explode(F.split("rare", " ")).alias("token"))
-        seen = F.coalesce(F.col("n"), F.lit(0)) + ADDED
-        each = with_class(each.join(rare_counts, "token", "left")).join(F.broadcast(shares), "class")  # one row per class
-        rare = each.groupBy("row_id").agg(
-            F.count("n").alias("known_rare"),
-            F.sum(F.log10(seen / F.lit(known))).alias("base_rare"),
-            F.sum(F.log10(seen / F.col("whole"))).alias("in_class"),
-            F.count("*").alias("n_rare"),
-        )
+        kinds = T.StructType([*texts.drop("rare", "symbols").schema, T.StructField("path", T.DoubleType())])
+        scored = texts.drop("rare").mapInArrow(_scored(spark.sparkContext.broadcast(p)), kinds)
+
+        # A rarer word adds the same logarithm of its count to both scores; all else is in the texts' own columns.
+        each = texts.filter("n_rare > 0").select("row_id", F.explode(F.split("rare", " ")).alias("token"))
+        each = each.join(rare_counts, "token", "left")
+        rare = each.groupBy("row_id").agg(F.count("n").alias("known_rare"), F.sum(F.log10(F.coalesce(F.col("n"), F.lit(0)) + ADDED)).alias("of_counts"))
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        out = texts.drop("symbols", "rare").join(paths, "row_id").join(rare, "row_id", "left")
-        n_known = F.col("n_tokens") - zero("n_rare") + zero("known_rare") - (0 if ends else 1)
+        out = scored.join(rare, "row_id", "left")
+        n_known = F.col("n_tokens") - F.col("n_rare") + zero("known_rare") - (0 if ends else 1)
         return scratch.result(
             out.select(
                 F.col("own_id").alias(id_col), "held_out", "n_tokens", n_known.alias("n_known"),
                 F.lit(train_tokens).cast("long").alias("train_tokens"),
-                (F.col("base") + zero("base_rare")).alias("base_score"), (F.col("path") + zero("in_class")).alias("score"),
+                (F.col("base") + zero("of_counts")).alias("base_score"),
+                (F.col("path") + F.col("in_class") + zero("of_counts")).alias("score"),
             )
         )

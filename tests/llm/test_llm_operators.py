@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -328,6 +329,19 @@ def test_nearest_in_a_cluster_of_jittered_copies(spark):
     assert len(in_cluster) > 10 and hits >= 0.99 * 10 * len(in_cluster)
 
 
+def test_words_of_a_run_of_texts():
+    texts = [None, "", " \t ", "  Two words\n", "\u00c4 \u00e4\u00a0A\x1cb\u2003c\x0b\x0c\rD", "\x85x\x85 \x00 end", "a a A"]
+    flat, lengths = hmm._flat(pa.array(["left out", *texts, "left out"])[1:-1])
+    assert [w.encode() for w in flat.to_pylist()] == [w for t in texts for w in hmm.tokens(t)]
+    assert lengths.tolist() == [len(hmm.tokens(t)) for t in texts]
+    batches = [pa.RecordBatch.from_pydict({"own_text": pa.array(texts * n, pa.string())}) for n in (1, 2)]
+    found = Counter()
+    for batch in hmm._counted(iter(batches)):
+        for row in batch.to_pylist():
+            found[row["token"].encode()] += row["n"]
+    assert found == Counter(w for t in texts * 3 for w in hmm.tokens(t))
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(8)
     texts = [" ".join(f"{'ab'[i % 50 == 0]}{j}" for j in rng.integers(0, 30, 12)) for i in range(1500)]
