@@ -16,7 +16,7 @@ from dealspan.llm.tokens import coder
 CAPACITY = 2048
 #: A sweep has at least so many ranges; with fewer documents and gaps left than the other, one task ends the rounds.
 RANGES, TAIL = 8, 2_000
-DOC, GAP, PAIR = 0, 1, 2
+DOC, GAP, PAIR, MEMBER = 0, 1, 2, 3
 STATE = "kind int, id long, size long, gap_id long, gap_size long"
 
 
@@ -60,7 +60,7 @@ def token_pieces(
 
 
 def _bundles(least: int):
-    """Groups a task's small units in turn until ``least`` ids are together."""
+    """Groups a task's small units in turn until ``least`` ids are together; a group's id is below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, total = None, 0
@@ -69,7 +69,7 @@ def _bundles(least: int):
             owner, place = [], []
             for unit, length in zip(ids, lengths, strict=True):
                 if first is None:
-                    first, total = unit, 0
+                    first, total = -1 - unit, 0
                 owner.append(first)
                 place.append(total)
                 total += length
@@ -136,26 +136,30 @@ def _meet(left: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple], i
     return docs, gaps, number
 
 
-def _opened(n_docs: int, need: int, room: int, halves: int, first: bool, any_met: bool, capacity: int) -> int:
+def _opened(n_docs: int, need: int, room: int, halves: int, first: bool, stuck: bool, capacity: int) -> int:
     """How many of the documents that met no gap open a sequence: what their length needs beyond all gaps' room."""
     more = max(0, -((room - need) // capacity))
     if first:
         more = max(more, halves)
-    elif not any_met:
+    elif stuck:
         more = max(more, 1, -(-need // capacity))
     return min(more, n_docs)
 
 
-def _rounds(capacity: int, first: bool):
-    """The last rounds, for a few documents and gaps, in one task."""
+def _rounds(capacity: int):
+    """The last rounds, for a few documents and gaps, in one task; it also gets the units of groups that wait."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[tuple[int, int]] = []
         gaps: list[tuple[int, int]] = []
+        members: dict[int, list[tuple[int, int]]] = {}
         for batch in batches:
-            for kind, key, size in zip(*(batch.column(n).to_pylist() for n in ("kind", "id", "size")), strict=True):
-                (docs if kind == DOC else gaps).append((size, key))
-        out, start = [], first
+            for kind, key, size, group in zip(*(batch.column(n).to_pylist() for n in ("kind", "id", "size", "group")), strict=True):
+                if kind == MEMBER:
+                    members.setdefault(group, []).append((size, key))
+                else:
+                    (docs if kind == DOC else gaps).append((size, key))
+        out, smallest = [], min((min(m)[0] for m in members.values()), default=capacity)
         while docs:
             docs.sort()
             gaps.sort()
@@ -175,15 +179,18 @@ def _rounds(capacity: int, first: bool):
                     after.append((size, gap))
             docs = free + docs[at:]
             need, room = sum(d[0] for d in docs), sum(g[0] for g in after)
-            halves = sum(2 * d[0] > capacity for d in docs)
-            n = _opened(len(docs), need, room, halves, start, met > 0, capacity)
+            groups = any(key < 0 for _, key in docs)
+            n = _opened(len(docs), need, room, 0, False, not met and not groups, capacity)
             for length, key in docs[len(docs) - n :]:
                 out.append((key, key, 0))
                 if length < capacity:
                     after.append((capacity - length, key))
-            docs, start = docs[: len(docs) - n], False
+            docs = docs[: len(docs) - n]
+            if groups and not met:
+                docs = [unit for size, key in docs for unit in (members[key] if key < 0 else [(size, key)])]
+                groups = False
             least = min(docs)[0] if docs else 0
-            gaps = [g for g in after if g[0] >= least]
+            gaps = [g for g in after if g[0] >= (min(least, smallest) if groups else least)]
         if out:
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "sequence_id", "offset"])
@@ -200,9 +207,11 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int
     that fits and that no smaller gap has taken. What is left over in a range meets over the ranges by its
     rank, for which the driver sees two counts per range. Gaps shrink, and the round is repeated. Where the
     documents left need more room than all gaps have, or none fits, the largest of them open sequences.
-    Units below a 32nd of the capacity are put together first, so that there are few rounds, and gaps below all
-    documents are left out. A range has about ``range_rows`` of them. Once at most ``tail`` documents and gaps are
-    left, one task does the last rounds, so that a job for a handful of documents does not follow another.
+    Units below a 32nd of the capacity are put together first, so that there are few rounds. Groups of them that fit
+    no gap do not open sequences for that reason: they fall apart, and their units go on as documents of their own,
+    also into gaps smaller than the group. Gaps below all documents are left out. A range has about ``range_rows`` of
+    them. Once a round is done and at most ``tail`` documents and gaps are left, one task does the last rounds by the
+    same rules, so that a job for a handful of documents does not follow another. Documents of equal length go by id.
     """
     spark, small = units.sparkSession, max(1, capacity // 32)
     n = max(RANGES, units.count() // range_rows)
@@ -210,13 +219,18 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int
     grouped = scratch.keep(tiny.repartition(n, "unit_id").mapInArrow(_bundles(small), "unit_id long, length long, bundle_id long, place long"))
     docs = units.filter(F.col("length") >= small).select(F.col("unit_id").alias("id"), F.col("length").alias("size"))
     docs = docs.union(grouped.groupBy("bundle_id").agg(F.sum("length")))
+    smallest = grouped.agg(F.min("length")).first()[0]
+    members = grouped.select("bundle_id", F.col("unit_id").alias("id"), F.col("length").alias("size"))
     state = docs.select(F.lit(DOC).alias("kind"), "id", "size", F.lit(None).cast("long").alias("gap_id"), F.lit(None).cast("long").alias("gap_size"))
     placed, first, rows = [], True, docs.count()
     while rows:
         # Below an equal gap, so that a document that fits exactly is met first.
         both = state.select("kind", F.coalesce(F.when(F.col("kind") == GAP, F.col("gap_id")), "id").alias("id"), F.coalesce("gap_size", "size").alias("size"))
-        if rows <= tail:
-            placed.append(scratch.keep(both.repartition(1).mapInArrow(_rounds(capacity, first), "id long, sequence_id long, offset long")))
+        if rows <= tail and not first:
+            waiting = state.filter(F.col("kind") == DOC).select(F.col("id").alias("bundle_id"))
+            parts = members.join(waiting, "bundle_id", "left_semi").select(F.lit(MEMBER).alias("kind"), "id", "size", F.col("bundle_id").alias("group"))
+            both = both.withColumn("group", F.lit(None).cast("long")).union(parts)
+            placed.append(scratch.keep(both.repartition(1).mapInArrow(_rounds(capacity), "id long, sequence_id long, offset long")))
             break
         n = max(RANGES, rows // range_rows)
         ranges = both.repartitionByRange(n, "size", "kind", "id").sortWithinPartitions("size", "kind", "id")
@@ -225,13 +239,14 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int
         left = swept.groupBy("part").agg(
             F.count_if(is_doc), F.count_if(is_gap), F.count_if(is_pair), F.sum(F.when(is_doc, F.col("size"))),
             F.sum(F.when(is_gap, F.col("gap_size")).when(is_pair, F.col("gap_size") - F.col("size"))),
-            F.count_if(is_doc & (F.col("size") * 2 > capacity)),
+            F.count_if(is_doc & (F.col("size") * 2 > capacity)), F.count_if(is_doc & (F.col("id") < 0)),
         ).orderBy("part").collect()
         doc_runs, gap_runs, met = _meet([(r[0], r[1], r[2]) for r in left])
         n_docs, need, room = sum(r[1] for r in left), sum(r[4] or 0 for r in left), sum(r[5] or 0 for r in left)
         # Documents that met over the ranges go from both sums alike, so the difference is right.
         any_met = bool(met) or any(r[3] for r in left)
-        opened = _opened(n_docs - met, need, room, sum(r[6] for r in left), first, any_met, capacity)
+        apart = not first and not any_met and any(r[7] for r in left)
+        opened = _opened(n_docs - met, need, room, sum(r[6] for r in left), first, not any_met and not apart, capacity)
         # The largest documents that met no gap.
         taken = {part: at for part, at, *_ in sorted(doc_runs, reverse=True)}
         new_runs, wanted = [], opened
@@ -269,17 +284,24 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int
         placed.append(put.select("id", F.col("gap_id").alias("sequence_id"), (F.lit(capacity) - F.col("gap_size")).alias("offset")))
         shrunk = put.select(F.lit(GAP).alias("kind"), none.alias("id"), none.alias("size"), "gap_id", (F.col("gap_size") - F.col("size")).alias("gap_size"))
         waiting = step.filter(is_doc)
-        if (least := waiting.agg(F.min("size")).first()[0]) is None:
+        if apart:
+            fell = members.join(waiting.select(F.col("id").alias("bundle_id")), "bundle_id", "left_semi")
+            fell = fell.select(F.lit(DOC).alias("kind"), "id", "size", none.alias("gap_id"), none.alias("gap_size"))
+            waiting = scratch.keep(waiting.filter("id >= 0").union(fell))
+        least, first_id = waiting.agg(F.min("size"), F.min("id")).first()
+        if least is None:
             break
+        if first_id < 0:
+            least = min(least, smallest)
         state = waiting.union(step.filter(is_gap).union(shrunk).filter(F.col("gap_size") >= least))
         rows, first = state.count(), False
     empty = spark.createDataFrame([], "id long, sequence_id long, offset long")
     for x in placed:
         empty = empty.union(x)
     whole = scratch.keep(empty)
-    singles = units.filter(F.col("length") >= small).select(F.col("unit_id").alias("id"), "unit_id", F.lit(0).cast("long").alias("place"))
-    members = singles.union(grouped.select(F.col("bundle_id").alias("id"), "unit_id", "place"))
-    return members.join(whole, "id").select("unit_id", "sequence_id", (F.col("offset") + F.col("place")).alias("offset"))
+    singles = units.select(F.col("unit_id").alias("id"), "unit_id", F.lit(0).cast("long").alias("place"))
+    found = singles.union(grouped.select(F.col("bundle_id").alias("id"), "unit_id", "place"))
+    return found.join(whole, "id").select("unit_id", "sequence_id", (F.col("offset") + F.col("place")).alias("offset"))
 
 
 def pack_documents(
