@@ -68,6 +68,16 @@ def ball_plan(max_bits: int, segments: int) -> list[tuple[int, int, list[int]]]:
     return plan
 
 
+def cheapest_segments(texts: int, max_bits: int) -> int:
+    """The number of segments, up to one more than ``max_bits``, with the fewest rows met by each look-up of ``texts`` fingerprints."""
+
+    def rows_met(segments: int) -> float:
+        plan = ball_plan(max_bits, segments)
+        return sum(len(changes) * (1 + texts / 2.0 ** mask.bit_count()) for _, mask, changes in plan)
+
+    return min(range(min(2, max_bits + 1), max_bits + 2), key=rows_met)
+
+
 def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
@@ -81,13 +91,14 @@ def _probes(fp: Column, plan: list[tuple[int, int, list[int]]], balls: bool) ->
     return F.explode(F.array(*rows))
 
 
-def near_links(fps: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
+def near_links(fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
     """All pairs ``a < b`` of distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits.
 
     Multi-index hashing: one table per segment of the fingerprint. Every fingerprint looks up the keys
     in a small Hamming ball around each of its segments; the matches' whole distance decides. The
     distance is checked inside the join, so only true links are put out, some of them once for each of
-    several segments. Choose ``segments`` such that 2 ** (64 / segments) is about the number of texts.
+    several segments. ``cheapest_segments`` chooses their number by the number of texts: few short look-ups
+    for few texts, larger balls around longer keys for very many.
     """
     plan = ball_plan(max_bits, segments)
     probes = fps.select(F.col("fp").alias("a"), _probes(F.col("fp"), plan, True).alias("p")).select("a", "p.*")
@@ -102,19 +113,20 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 4,
     max_bits: int = 4,
-    segments: int = 3,
+    segments: int | None = None,
 ) -> DataFrame:
     """Each row's id, ``fp`` and ``component_id``, the smallest id that links lead to.
 
     Equal fingerprints, so all exact copies, are one node of the search, however many rows have them.
     Null and blank texts have fingerprint zero and link like any other. Repeated rows each get a row. A
     null id gets the group's smallest id that is not null, or null if there is none. Only the id and text
-    columns are read, so others may have any names. An empty table gives an empty result.
+    columns are read, so others may have any names. An empty table gives an empty result. The number of
+    ``segments`` follows from the number of distinct fingerprints where none is given; it does not change the links.
     """
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.keep(fingerprints(docs, id_col, text_col, shingle).toDF("own_id", "fp"))
         texts = scratch.keep(found.groupBy("fp").agg(F.min("own_id").alias("least")))
-        links = near_links(texts.select("fp"), max_bits, segments)
+        links = near_links(texts.select("fp"), max_bits, segments or cheapest_segments(texts.count(), max_bits))
         labels = components(texts.select(F.col("fp").alias("node")), links, scratch)
         labels = scratch.keep(labels.join(texts, F.col("node") == F.col("fp")).select("fp", "label", "least"))
         least = labels.groupBy("label").agg(F.min("least").alias("component_id"))
