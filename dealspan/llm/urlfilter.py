@@ -124,6 +124,8 @@ def judge_urls(
     own = pages.select(F.col(id_col).alias("own_id"), F.col(url_col).alias("url"))
     with Scratch(pages.sparkSession) as scratch:
         urls = own.select("url").filter("url is not null").distinct()
+        # Texts are small but unfold into many grams, so they go to all tasks before that.
+        urls = urls.repartition(max(pages.sparkSession.sparkContext.defaultParallelism, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "url")
         name, verdict = longest_rule(host(F.col("url")), path(F.col("url")), rules)
         held = F.substring(F.md5(F.col("url")), 1, 1).isin(*HELD_OUT)
         urls = scratch.keep(urls.select("url", verdict.alias("verdict"), (~held).alias("learns")))
