@@ -19,7 +19,8 @@ DIGITS = 4
 WIDEST = 128
 LEAST = 2000
 SHARE = 0.25
-BLOCK = 8192
+#: Places of an array in a group, and rows of all arrays in a range of the sort.
+BLOCK, RANGE_ROWS = 8192, 1_000_000
 QUERY_CHUNK = 1024
 SAMPLE = 20_000
 #: Keys are measured in batches of two to this power.
@@ -154,7 +155,8 @@ def nearest(
     double precision, however many they are: in a cluster whose rows share their whole strings, that is the cluster.
     Only where the rows with one digit in common are too few, they are filled up by the nearest places of each array,
     ``least`` or four times a tree's part of ``share`` on either side.
-    A global sort deals the arrays into blocks; the rows of a prefix are taken block by block, once for all its queries.
+    A global sort deals the arrays into blocks of one size, whatever the size of the table; the rows of a prefix are
+    taken block by block, once for all its queries.
     The rotations are about the mean of at most ``sample`` vectors; all rows are in the index.
 
     Vectors without any structure, as random ones, need a share like the default for a recall over 0.9, as their
@@ -197,8 +199,8 @@ def nearest(
         count = entries.count()
         enough = max(least, int(share * count))
         reach = max(least, 4 * enough // trees)
-        block, bits = max(BLOCK, 2 * reach), _bits(width)
-        n = max(1, -(-count * trees // (4 * block)))
+        bits = _bits(width)
+        n = max(1, -(-count * trees // RANGE_ROWS))
         index = index.repartitionByRange(n, "tree", "hash", "key").sortWithinPartitions("tree", "hash", "key")
         index = scratch.keep(index.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
         parts = index.groupBy("tree", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy("tree", "part").collect()
@@ -223,8 +225,8 @@ def nearest(
         high = F.when(few, F.greatest("high", F.col("place") + (reach + 1))).otherwise(F.col("high"))
         taken = scratch.keep(taken.select("tree", F.col("key").alias("query"), low.alias("low"), high.alias("high")))
         none = F.lit(-1).cast("long")
-        held = index.select("tree", F.floor(F.col("place") / block).alias("block"), "key", "place", none.alias("low"), none.alias("high"))
-        blocks = F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.least("high", F.lit(count)) - 1) / block))).alias("block")
+        held = index.select("tree", F.floor(F.col("place") / BLOCK).alias("block"), "key", "place", none.alias("low"), none.alias("high"))
+        blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor((F.least("high", F.lit(count)) - 1) / BLOCK))).alias("block")
         wanted = taken.select("tree", "low", "high").distinct().select("tree", blocks, none.alias("key"), none.alias("place"), "low", "high")
         members = held.union(wanted).groupBy("tree", "block").applyInArrow(_members, "tree int, low long, high long, batch long, keys binary")
         found = taken.join(members, ["tree", "low", "high"]).select("query", "batch", "keys")
