@@ -53,6 +53,24 @@ def test_packing_is_whole_and_tight(spark, docs, odd_documents, range_rows, tail
     assert placed.sequence_id.nunique() + full <= 1.02 * math.ceil(total / 2048) + 1
 
 
+@pytest.mark.parametrize("length, rows, least, tail", [(40, 12_000, 236, 2000), (58, 12_000, 343, 2000), (58, 1_200, 35, 0), (1, 2_048, 1, 2000), (63, 33, 2, 0)])
+def test_short_units_fill_all_gaps(spark, length, rows, least, tail):
+    units = spark.range(rows).select(F.col("id").alias("unit_id"), F.lit(length).cast("long").alias("length"))
+    with Scratch(spark) as scratch:
+        placed = packing.best_fit(units, 2048, scratch, tail=tail).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(placed.unit_id) == list(range(rows))
+    assert (placed.offset == placed.groupby("sequence_id").cumcount() * length).all() and placed.offset.max() + length <= 2048
+    assert placed.sequence_id.nunique() <= least + 1
+
+
+def test_short_units_go_into_gaps_below_their_group(spark):
+    """Gaps of 60 take units of 10, although their groups have 70."""
+    units = [(i, 1988) for i in range(20)] + [(100 + i, 10) for i in range(120)]
+    with Scratch(spark) as scratch:
+        placed = packing.best_fit(spark.createDataFrame(units, "unit_id long, length long"), 2048, scratch).toPandas()
+    assert len(placed) == 140 and placed.sequence_id.nunique() <= 21
+
+
 def test_packed_ids_are_the_texts(odd_documents):
     rows = packing.pack_documents(odd_documents, PATH).toPandas()
     whole = Tokenizer.from_file(PATH)
@@ -101,6 +119,19 @@ def test_ball_plan_reaches_all_distances():
             assert any(change & mask in changes for _, mask, changes in plan)
 
 
+def test_segments_follow_from_the_number_of_texts(spark):
+    chosen = [simhash.cheapest_segments(10**n, 4) for n in range(11)]
+    assert chosen == sorted(chosen, reverse=True) and len(set(chosen)) > 2 and chosen[-1] == 2
+    assert simhash.cheapest_segments(1000, 0) == 1
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**63), 2**63 - 1, 40)
+    near = [int(b) ^ sum(1 << int(i) for i in rng.choice(63, k, replace=False)) for b in base for k in (0, 1, 3, 4, 5)]
+    fps = spark.createDataFrame([(x,) for x in set(near)], "fp long")
+    want = {(a, b) for a in near for b in near if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    for segments in (2, 3, 4, 5):
+        assert {tuple(r) for r in simhash.near_links(fps, 4, segments).collect()} == want
+
+
 def test_languages_of_held_out_texts(docs, odd_documents):
     held = "pmod(crc32(coalesce(cast(doc_id as string), '')), 4) = 2"
     rows = langid.predict_languages(docs, held).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
