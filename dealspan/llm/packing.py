@@ -14,8 +14,10 @@ from dealspan.llm.common import Scratch, fields, slices
 from dealspan.llm.tokens import coder
 
 CAPACITY = 2048
-#: A sweep has at least so many ranges; with fewer documents and gaps left than the other, one task ends the rounds.
+#: A sweep has at least so many ranges; with no more documents left than the other, one task ends the rounds.
 RANGES, TAIL = 8, 2_000
+#: That task gets at most so many documents and gaps for each document of the tail.
+TAIL_ROWS = 8
 DOC, GAP, PAIR, MEMBER = 0, 1, 2, 3
 STATE = "kind int, id long, size long, gap_id long, gap_size long"
 
@@ -210,7 +212,7 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int
     Units below a 32nd of the capacity are put together first, so that there are few rounds. Groups of them that fit
     no gap do not open sequences for that reason: they fall apart, and their units go on as documents of their own,
     also into gaps smaller than the group. Gaps below all documents are left out. A range has about ``range_rows`` of
-    them. Once a round is done and at most ``tail`` documents and gaps are left, one task does the last rounds by the
+    them. Once a round is done and at most ``tail`` documents are left, and not many more gaps, one task does the last rounds by the
     same rules, so that a job for a handful of documents does not follow another. Documents of equal length go by id.
     """
     spark, small = units.sparkSession, max(1, capacity // 32)
@@ -223,10 +225,11 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int
     members = grouped.select("bundle_id", F.col("unit_id").alias("id"), F.col("length").alias("size"))
     state = docs.select(F.lit(DOC).alias("kind"), "id", "size", F.lit(None).cast("long").alias("gap_id"), F.lit(None).cast("long").alias("gap_size"))
     placed, first, rows = [], True, docs.count()
+    waits = rows
     while rows:
         # Below an equal gap, so that a document that fits exactly is met first.
         both = state.select("kind", F.coalesce(F.when(F.col("kind") == GAP, F.col("gap_id")), "id").alias("id"), F.coalesce("gap_size", "size").alias("size"))
-        if rows <= tail and not first:
+        if waits <= tail and rows <= TAIL_ROWS * tail and not first:
             waiting = state.filter(F.col("kind") == DOC).select(F.col("id").alias("bundle_id"))
             parts = members.join(waiting, "bundle_id", "left_semi").select(F.lit(MEMBER).alias("kind"), "id", "size", F.col("bundle_id").alias("group"))
             both = both.withColumn("group", F.lit(None).cast("long")).union(parts)
@@ -288,7 +291,7 @@ def best_fit(units: DataFrame, capacity: int, scratch: Scratch, range_rows: int
             fell = members.join(waiting.select(F.col("id").alias("bundle_id")), "bundle_id", "left_semi")
             fell = fell.select(F.lit(DOC).alias("kind"), "id", "size", none.alias("gap_id"), none.alias("gap_size"))
             waiting = scratch.keep(waiting.filter("id >= 0").union(fell))
-        least, first_id = waiting.agg(F.min("size"), F.min("id")).first()
+        least, first_id, waits = waiting.agg(F.min("size"), F.min("id"), F.count("*")).first()
         if least is None:
             break
         if first_id < 0:
