@@ -174,3 +174,32 @@ def test_deals_are_read_once(spark, name):
 def test_first_firms_stay_in_hash_aggregates(spark, name):
     plan = "\n".join(final_plan(QUERIES[name](spark, SF)))
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def _below(plan: str, step: str) -> list[list[str]]:
+    """The lines of a plan's tree under each line that holds ``step``."""
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found = []
+    for i, line in enumerate(lines):
+        if step in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            found.append(lines[i + 1 : end])
+    return found
+
+
+@pytest.mark.parametrize("name", ["r57_option_lists"])
+def test_customers_are_joined_to_orders_alone(spark, shuffled_joins, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    under = _below(plan, "Exchange hashpartitioning(o_custkey")
+    assert under
+    assert not any("l_orderkey" in line for lines in under for line in lines)
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
