@@ -203,3 +203,16 @@ def shuffled_joins(spark):
     spark.conf.set(key, "-1")
     yield
     spark.conf.set(key, before)
+
+
+def test_the_export_is_shuffled_without_its_customers(spark, shuffled_joins):
+    plan = views.deals(spark, SF, "community", "sold_price", "buyer_firm")._jdf.queryExecution().executedPlan().toString()
+    sent = [lines for c in ("l_orderkey", "l_suppkey") for lines in _below(plan, f"Exchange hashpartitioning({c}")]
+    assert sent
+    assert not any("n_name" in line for lines in sent for line in lines)
+
+
+def test_firm_months_are_dealt_by_key(spark):
+    plan = QUERIES["j01_inner_on_firm_month"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert "partial_count" not in "".join(line for lines in _below(plan, "REPARTITION_BY_NUM") for line in lines if "firm" in line)

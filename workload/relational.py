@@ -25,6 +25,7 @@ from workload.views import AGENT, END, FOCUS, START, YEARS
 Entry = tuple[Query, str]
 
 MONTHS = months_between(START, END)
+SIDES_OF_A_TASK = 1_000_000
 LAST_MONTH = MONTHS[-1]
 CITIES = ("ASIA", "EUROPE")
 FIRMS = (FOCUS, "Supplier#000000002")
@@ -198,8 +199,11 @@ def join_entries() -> dict[str, Entry]:
         heads = views.brokerage(spark, sf).select(
             F.col("broker").alias("firm"), F.col("date").alias("month"), "value"
         )
-        totals = count_by(with_month(_sides(deals, "sold_date")), "firm", "month")
-        return rounded(totals.join(heads, ["firm", "month"]))
+        # Most firms have few deals a month, so that tasks would keep nearly all their rows apart: they are dealt by
+        # key first, over tasks whose number grows with the deals, and counted and joined there.
+        tasks = max(spark.sparkContext.defaultParallelism, -(-2 * views.read(spark, sf, "lineitem").count() // SIDES_OF_A_TASK))
+        dealt = with_month(_sides(deals, "sold_date")).repartition(tasks, "firm", "month")
+        return rounded(count_by(dealt, "firm", "month").join(heads.repartition(tasks, "firm", "month"), ["firm", "month"]))
 
     def with_market(d):
         return grouping.with_market(d, "listing_agent").filter("listing_agent is not null")
