@@ -28,8 +28,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     reachable(spark)
     labels = toxicity.quality_and_toxicity(table(spark, sf_dir, "labels"))
-    judged = toxicity.toxic_documents(docs, labels, carry={"document": _whole(docs)})
-    return judged.filter(~F.col("rejected")).select("document.*")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    judged = toxicity.toxic_documents(docs, labels, carry={"document": rest}, carry_text="text")
+    whole = ["text" if c == "text" else f"document.`{c}`" for c in docs.columns]
+    return judged.filter(~F.col("rejected")).select(*whole)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from types import TracebackType
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,15 +84,18 @@ def fields(df: DataFrame, column: str, *more: tuple[str, T.DataType]) -> T.Struc
     return T.StructType([own, *(T.StructField(name, kind) for name, kind in more)])
 
 
-def slices(batch: pa.RecordBatch, column: str, max_chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+def runs(batch: pa.RecordBatch, column: str, max_chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts have about ``max_chars`` characters, or of one longer text."""
-    texts = batch.column(column).to_pylist()
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
     begin = chars = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate([*sizes, max_chars + 1]):  # the last ends the last run
         if i > begin and chars + n > max_chars:
-            yield batch.slice(begin, i - begin), texts[begin:i]
+            yield batch.slice(begin, i - begin)
             begin, chars = i, 0
         chars += n
-    if len(texts) > begin:
-        yield batch.slice(begin), texts[begin:]
+
+
+def slices(batch: pa.RecordBatch, column: str, max_chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The same with each run's texts; no others are Python's texts at once."""
+    for part in runs(batch, column, max_chars):
+        yield part, part.column(column).to_pylist()

@@ -21,7 +21,9 @@ FOLDS = 3
 SAMPLE = 10_000
 PENALTY = 1e-5
 FLUSH = 300_000
-WORD_CACHE = 500_000
+WORD_CACHE = 50_000
+#: Characters judged at once.
+JUDGED_CHARS = 500_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -211,7 +213,7 @@ def _judged(shared, names: list[str], kept: list[str]):
         chosen, chain, threshold = shared.value
         read = Reader(chosen)
         for batch in batches:
-            for part, texts in slices(batch, "own_text"):
+            for part, texts in slices(batch, "own_text", JUDGED_CHARS):
                 found = [read(t) for t in texts]
                 some = np.array([x for x, _ in found])
                 p = chain([x for _, x in found]) * some[:, None]
@@ -231,6 +233,7 @@ def toxic_documents(
     sample: int = SAMPLE,
     features: int = FEATURES,
     carry: Mapping[str, Column] | None = None,
+    carry_text: str | None = None,
 ) -> DataFrame:
     """Each document's probability for every category of a chain, and whether the last one rejects it.
 
@@ -239,8 +242,8 @@ def toxic_documents(
     most about each category; it judges all documents. Labels of one id that differ count as the largest; labels
     without a document and null ids are left out.
 
-    Returns the id column, the columns of ``carry`` (expressions on those of ``docs``), ``p_<category>`` for each
-    category and ``rejected``. A text without letters, as null or
+    Returns the id column, the columns of ``carry`` (expressions on those of ``docs``), the text itself as ``carry_text`` if
+    that is given (a text in ``carry`` would go to the tasks' Python and back beside it), ``p_<category>`` for each category and ``rejected``. A text without letters, as null or
     empty ones, has probability 0 and is not rejected. Repeated rows each get a row. Where a category's labels are all
     equal, its probability is that label, 0 without any. Other columns are not read. An empty table gives an empty
     result.
@@ -279,7 +282,7 @@ def toxic_documents(
     chain = Chain(len(grams_chosen)).fit(texts, table.column("fold").to_numpy(), marks)
     names = [f"p_{c}" for c in categories]
     carry = carry or {}
-    kept = {"own_id": id_col} | {f"carry_{c}": c for c in carry}
+    kept = {"own_id": id_col} | {f"carry_{c}": c for c in carry} | ({"own_text": carry_text} if carry_text else {})
     judged = docs.select(F.col(id_col).alias("own_id"), *(c.alias(f"carry_{n}") for n, c in carry.items()), F.col(text_col).alias("own_text"))
     more = [*((c, judged.schema[c].dataType) for c in kept if c != "own_id"), *((c, T.DoubleType()) for c in names), ("rejected", T.BooleanType())]
     model = spark.sparkContext.broadcast((grams_chosen, chain, threshold))

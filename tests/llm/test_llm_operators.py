@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dealspan.llm import annforest, decontam, hmm, langid, linededup, packing, phrases, simhash, toxicity, urlfilter
+import corpus_pipeline
+from dealspan.llm import annforest, common, decontam, hmm, langid, linededup, packing, phrases, simhash, toxicity, urlfilter
 from dealspan.llm.common import Scratch
 from dealspan.llm.tokens import TokenCoder
 from dealspan.llm.workload import TOKENIZER
@@ -388,3 +389,35 @@ def test_toxicity_learns_from_one_row_of_an_id(spark, monkeypatch):
     fit, sizes = toxicity.Chain.fit, []
     monkeypatch.setattr(toxicity.Chain, "fit", lambda self, texts, *more: (sizes.append(len(texts)), fit(self, texts, *more))[1])
     assert toxicity.toxic_documents(docs, labels).count() == len(rows) and sizes == [40]
+
+
+def test_only_a_run_is_read_as_texts(monkeypatch):
+    batch, read, runs = pa.record_batch({"text": ["abc", None, "é" * 9, "", "x" * 30, "end"]}), [], common.runs
+
+    class Seen:
+        def __init__(self, part):
+            self.part = part
+
+        def column(self, name):
+            read.append(self.part.num_rows)
+            return self.part.column(name)
+
+    monkeypatch.setattr(common, "runs", lambda *given: map(Seen, runs(*given)))
+    assert [texts for _, texts in common.slices(batch, "text", 12)] == [["abc", None, "é" * 9, ""], ["x" * 30], ["end"]]
+    assert read == [4, 1, 1]
+    assert not list(common.slices(batch.slice(0, 0), "text"))
+
+
+def test_pipeline_sends_a_text_to_the_classifier_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("x", 1, "one text", 3), ("y", 2, None, 4)], "`a.b` string, doc_id long, text string, rejected long")
+    given = {}
+
+    def judge(docs, labels, carry, carry_text):
+        given.update(carry)
+        own = docs.select("doc_id", *(c.alias(n) for n, c in carry.items()), F.col("text").alias(carry_text))
+        return own.withColumn("rejected", F.lit(False))
+
+    monkeypatch.setattr(toxicity, "toxic_documents", judge)
+    left = corpus_pipeline.without_toxic(spark, docs, SF)
+    assert left.columns == docs.columns and sorted(left.collect()) == sorted(docs.collect())
+    assert "text" not in docs.select(given["document"].alias("d")).schema["d"].dataType.names
