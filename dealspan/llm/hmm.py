@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealspan.llm.common import Scratch, fields, slices
+from dealspan.llm.common import Scratch, fields, runs
 
 STATES = 8
 FREQUENT = 30_000
@@ -22,7 +22,8 @@ ENDING = 3
 ADDED = 0.1
 #: Symbols: 0 is the end, 1 to ``frequent`` are words, the rest are classes of rarer words.
 END = 0
-BATCH_TOKENS = 1_000_000
+#: Symbols of a group, whose tables of a row per symbol fit a core's share of the cache.
+BATCH_TOKENS = 250_000
 #: Steps between which the recursions are brought back to a sum of 1, and positions whose moves are added in single precision.
 RESCALED, ADDED_ROWS = 4, 65_536
 #: How far a round goes, where 1 is Baum-Welch's own step; near 2 the rounds swing to and fro.
@@ -54,17 +55,30 @@ class Ragged:
     def __init__(self, sequences: list[np.ndarray]) -> None:
         lengths = np.array([len(s) for s in sequences], np.int64)
         self.order = np.argsort(-lengths, kind="stable")
-        ends = self.lengths = lengths[self.order]
-        steps = int(ends[0]) if len(ends) else 0
-        self.active = np.searchsorted(-ends, -np.arange(steps), side="left")  # sequences longer than each step
-        self.at = np.r_[0, np.cumsum(self.active)]
+        ends = lengths[self.order]
+        self._steps(ends)
         self.symbols = np.empty(self.at[-1], np.int64)
-        if steps:
+        if len(self.active):
             behind = np.cumsum(ends) - ends
             step = np.arange(self.at[-1]) - np.repeat(behind, ends)
             place = np.take(self.at, step) + np.repeat(np.arange(len(ends)), ends)
             self.symbols[place] = np.concatenate([sequences[k] for k in self.order])
 
+    def _steps(self, lengths: np.ndarray) -> None:
+        self.lengths = lengths
+        steps = int(lengths[0]) if len(lengths) else 0
+        self.active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences longer than each step
+        self.at = np.r_[0, np.cumsum(self.active)]
+
+    @classmethod
+    def laid_out(cls, symbols: np.ndarray, lengths: np.ndarray) -> Ragged:
+        """Of symbols and lengths as another one has them; its order is theirs."""
+        own = cls.__new__(cls)
+        own.order = np.arange(len(lengths))
+        own._steps(lengths)
+        own.symbols = symbols
+        return own
+
     def forward(self, p: Parameters, alphas: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each sequence by the scaled forward recursion."""
         logs = np.zeros(len(self.order))
@@ -213,7 +227,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return table.rename_columns(["token", "n"]).cast(pa.schema([("token", pa.string()), ("n", pa.int64())]))
 
     for batch in batches:
-        for part, _ in slices(batch, batch.schema.names[0]):
+        for part in runs(batch, batch.schema.names[0]):
             flat, _ = _flat(part.column(0))
             n = np.bincount(flat.indices.to_numpy(), minlength=len(flat.dictionary))
             parts.append(pa.table({"token": flat.dictionary, "n": n}))
@@ -242,7 +256,7 @@ def _encoded(shared, frequent: int, classes: int, known: float, id_col: str, tex
         base_of[: len(counts)] += np.log10(counts + ADDED)
         class_of = np.r_[np.zeros(frequent + 1), -np.log10(of_class)]
         for batch in batches:
-            for part, _ in slices(batch, text_col):
+            for part in runs(batch, text_col):
                 flat, lengths = _flat(part.column(text_col))
                 distinct = flat.dictionary.cast(pa.binary()).to_pylist()
                 own = np.fromiter((symbol.get(w) or word_class(w, frequent, classes) for w in distinct), np.uint16, len(distinct))
@@ -288,6 +302,15 @@ def _groups(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.n
         yield part, [sequences[i] for i in part]
 
 
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of sequences as every round reads them."""
+    for batch in batches:
+        for _, group in _groups(_sequences(batch)):
+            ragged = Ragged(group)
+            columns = [pa.array([x.tobytes()], pa.binary()) for x in (ragged.symbols.astype("<u2"), ragged.lengths.astype("<i8"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["symbols", "lengths"])
+
+
 def _expect(shared, states: int):
     """A task's expected counts: a row per symbol; -1 the starts, from -2 down the moves of each state, then the log10 probability."""
     names = ["symbol", *(f"c{i}" for i in range(states))]
@@ -297,8 +320,8 @@ def _expect(shared, states: int):
         p = Parameters(*(x.astype(np.float32) for x in (p.start, p.moves, p.emits)))
         start, moves, counts, whole = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(p.emits))), np.zeros(states)
         for batch in batches:
-            for _, group in _groups(_sequences(batch)):
-                ragged = Ragged(group)
+            for symbols, lengths in zip(batch.column("symbols"), batch.column("lengths"), strict=True):
+                ragged = Ragged.laid_out(np.frombuffer(symbols.as_py(), "<u2").astype(np.int64), np.frombuffer(lengths.as_py(), "<i8"))
                 for total, part in zip((start, moves, counts), ragged.expected(p), strict=True):
                     total += part
                 whole[0] += ragged.whole
@@ -331,10 +354,16 @@ def _trained(train: DataFrame, p: Parameters, rounds: int, least: int, gain: flo
     Each round goes further than Baum-Welch's own step. The next one shows the probability of where that led; if it fell, it
     counts for nothing but to go back to that step.
     """
+    with Scratch(spark) as scratch:
+        laid = scratch.keep(train.select("symbols").mapInArrow(_laid_out, "symbols binary, lengths binary"))
+        return _rounds(laid, p, rounds, least, gain, common, spark)
+
+
+def _rounds(laid: DataFrame, p: Parameters, rounds: int, least: int, gain: float, common: np.ndarray, spark: SparkSession) -> Parameters:
     states, before, own = len(p.start), -np.inf, p
     kinds = "symbol long, " + ", ".join(f"c{i} double" for i in range(states))
     for done in range(rounds):
-        counts = train.select("symbols").mapInArrow(_expect(spark.sparkContext.broadcast(p), states), kinds)
+        counts = laid.mapInArrow(_expect(spark.sparkContext.broadcast(p), states), kinds)
         sums = [F.sum(f"c{i}").alias(f"c{i}") for i in range(states)]
         rows = counts.groupBy("symbol").agg(*sums).toPandas()  # a row per symbol and state, whatever the input
         if rows.empty:

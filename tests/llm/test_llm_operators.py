@@ -408,6 +408,17 @@ def test_only_a_run_is_read_as_texts(monkeypatch):
     assert not list(common.slices(batch.slice(0, 0), "text"))
 
 
+def test_rounds_read_groups_as_laid_out():
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, 50, n).astype("<u2") for n in (3, 1, 40, 7, 7, 90)]
+    batch = pa.record_batch({"symbols": [x.tobytes() for x in sequences]})
+    (row,) = [r for b in hmm._laid_out(iter([batch])) for r in b.to_pylist()]
+    laid = hmm.Ragged.laid_out(np.frombuffer(row["symbols"], "<u2").astype(np.int64), np.frombuffer(row["lengths"], "<i8"))
+    p = hmm.first_parameters(sequences, 4, np.full(50, 1 / 50), 2)
+    for a, b in zip(laid.expected(p), hmm.Ragged(sequences).expected(p), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_pipeline_sends_a_text_to_the_classifier_once(spark, monkeypatch):
     docs = spark.createDataFrame([("x", 1, "one text", 3), ("y", 2, None, 4)], "`a.b` string, doc_id long, text string, rejected long")
     given = {}
