@@ -25,6 +25,8 @@ END = 0
 BATCH_TOKENS = 1_000_000
 #: Steps between which the recursions are brought back to a sum of 1, and positions whose moves are added in single precision.
 RESCALED, ADDED_ROWS = 4, 65_536
+#: Positions whose emissions are counted at once; their tables fit a core's own cache.
+COUNTED_ROWS = 32_768
 #: How far a round goes, where 1 is Baum-Welch's own step; near 2 the rounds swing to and fro.
 FURTHER = 1.5
 FLUSH = 500_000
@@ -48,6 +50,20 @@ def word_class(word: bytes, frequent: int, classes: int) -> int:
     return frequent + 1 + zlib.crc32(word[-ENDING:]) % classes
 
 
+class Room:
+    """Tables of a row per position that groups use in turn, so that not each has to be given fresh memory."""
+
+    def __init__(self) -> None:
+        self._kept: list[np.ndarray] = []
+
+    def tables(self, rows: int, states: int, kind: np.dtype) -> list[np.ndarray]:
+        """Three of so many rows and one of ``ADDED_ROWS``, with any numbers in them."""
+        if not self._kept or len(self._kept[0]) < rows or self._kept[0].shape[1] != states or self._kept[0].dtype != kind:
+            self._kept.clear()  # before the new ones are made
+            self._kept += [np.empty((n, states), kind) for n in (rows, rows, rows, ADDED_ROWS)]
+        return [*(x[:rows] for x in self._kept[:3]), self._kept[3]]
+
+
 class Ragged:
     """Sequences of differing lengths laid out step by step, longest first, without padding."""
 
@@ -81,11 +97,11 @@ class Ragged:
     def forward(self, p: Parameters, alphas: np.ndarray | None = None, scales: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each sequence by the scaled forward recursion."""
         logs = np.zeros(len(self.order))
-        a = None
+        a, ones = None, np.ones(len(p.start), p.emits.dtype)
         for t, n in enumerate(self.active):
             e = np.take(p.emits, self.symbols[self.at[t] : self.at[t + 1]], axis=0)
-            a = e * p.start if a is None else (a[:n] @ p.moves) * e
-            c = a.sum(axis=1)
+            a = e * p.start if a is None else a[:n].dot(p.moves) * e
+            c = a.dot(ones)
             a /= c[:, None]
             logs[:n] += np.log10(c)
             if alphas is not None:
@@ -95,11 +111,11 @@ class Ragged:
         out[self.order] = logs
         return out
 
-    def expected(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def expected(self, p: Parameters, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions (by state, then symbol); ``whole`` is the log10 probability of all.
 
         A step is two products forward and two backward: emissions are relative to a symbol's largest, so that sums need to be
-        brought back only every few steps, and all that is counted per position is divided by its sum for all positions at once.
+        brought back only every few steps, and all that is counted per position is divided by its sum for many positions at once.
         Where a sum still leaves the range of the numbers, the group is done step by step in double precision.
         """
         k, total = len(p.start), int(self.at[-1])
@@ -107,19 +123,22 @@ class Ragged:
             self.whole = 0.0
             return np.zeros(k), np.zeros((k, k)), np.zeros((k, len(p.emits)))
         largest = p.emits.max(axis=1)
-        own = np.take(p.emits / largest[:, None], self.symbols, axis=0)  # much faster than an index of rows
-        alpha, beta = np.empty_like(own), np.ones_like(own)
-        scale, ones = np.ones(total, own.dtype), np.ones(k, own.dtype)
+        own, alpha, beta, ahead_of = (room or Room()).tables(total, k, p.emits.dtype)
+        np.take(p.emits / largest[:, None], self.symbols, axis=0, out=own, mode="clip")  # much faster than an index of rows
+        last = self.at[self.lengths[self.lengths > 0] - 1] + np.arange((self.lengths > 0).sum())
+        beta[last] = 1
+        scale, sums, ones = np.ones(total, own.dtype), np.empty(total, own.dtype), np.ones(k, own.dtype)
+        counts = np.zeros((k, len(p.emits)))
         spans = list(zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True))
         np.multiply(own[: spans[0][1]], p.start, out=alpha[: spans[0][1]])
         with np.errstate(all="ignore"):
             for t in range(1, len(spans)):
                 (lo, hi), begin = spans[t], spans[t - 1][0]
                 a = alpha[lo:hi]
-                np.matmul(alpha[begin : begin + hi - lo], p.moves, out=a)
+                np.dot(alpha[begin : begin + hi - lo], p.moves, out=a)  # half the time of np.matmul on a few rows
                 a *= own[lo:hi]
                 if t % RESCALED == 0:
-                    c = scale[lo:hi] = a @ ones
+                    c = scale[lo:hi] = a.dot(ones)
                     a /= c[:, None]
             back = np.ascontiguousarray(p.moves.T)
             for t in range(len(spans) - 1, 0, -1):
@@ -127,29 +146,34 @@ class Ragged:
                 ahead = own[lo:hi]
                 ahead *= beta[lo:hi]  # from here on emission times beta
                 b = beta[begin : begin + hi - lo]
-                np.matmul(ahead, back, out=b)
+                np.dot(ahead, back, out=b)
                 if t % RESCALED == 0:
-                    b /= (b @ ones)[:, None]
-            ends = alpha[self.at[self.lengths[self.lengths > 0] - 1] + np.arange((self.lengths > 0).sum())] @ ones
-            gammas = np.multiply(alpha, beta, out=beta)
-            sums = gammas @ ones
-            logs = [np.log10(x, dtype=np.float64).sum() for x in (scale, ends)]
+                    b /= b.dot(ones)[:, None]
+            ends = alpha[last] @ ones
+            for lo in range(0, total, COUNTED_ROWS):
+                part = slice(lo, lo + COUNTED_ROWS)
+                gammas = np.multiply(alpha[part], beta[part], out=beta[part])
+                sums[part] = gammas @ ones
+                weights = np.ascontiguousarray(gammas[:, :-1].T)
+                weights /= sums[part]
+                for count, weight in zip(counts, weights.astype(np.float64), strict=False):
+                    np.add.at(count, self.symbols[part], weight)
+            logs = [np.log10(x, dtype=np.float64).sum() for x in (scale[scale != 1], ends)]
         if not (np.isfinite(sums).all() and (sums > 0).all() and np.isfinite(logs).all()):
             return self.expected_by_step(Parameters(*(x.astype(np.float64) for x in (p.start, p.moves, p.emits))))
-        self.whole = float(sum(logs) + np.log10(largest, dtype=np.float64)[self.symbols].sum())
+        each = np.bincount(self.symbols, minlength=len(p.emits))
+        self.whole = float(sum(logs) + each[each > 0] @ np.log10(largest, dtype=np.float64)[each > 0])
         first = spans[0][1]
         before = np.arange(first, total) - np.repeat(self.active[:-1], self.active[1:])  # the place of the step before
-        own[first:] /= (scale * sums)[first:, None]
+        scale *= sums
         moves = np.zeros((k, k))
-        for i in range(0, len(before), ADDED_ROWS):
-            moves += np.take(alpha, before[i : i + ADDED_ROWS], axis=0).T @ own[first + i : first + i + ADDED_ROWS]
-        gammas /= sums[:, None]
-        counts = np.empty((k, len(p.emits)))
-        for i in range(k - 1):
-            counts[i] = np.bincount(self.symbols, weights=gammas[:, i], minlength=len(p.emits))
+        for lo in range(first, total, ADDED_ROWS):
+            part, places = slice(lo, lo + ADDED_ROWS), before[lo - first : lo - first + ADDED_ROWS]
+            own[part] /= np.repeat(scale[part], k).reshape(-1, k)
+            moves += np.take(alpha, places, axis=0, out=ahead_of[: len(places)], mode="clip").T @ own[part]
         # each position counts 1 over all states
-        counts[-1] = np.maximum(np.bincount(self.symbols, minlength=len(p.emits)) - counts[:-1].sum(axis=0), 0)
-        return gammas[:first].sum(axis=0), moves * p.moves, counts
+        counts[-1] = np.maximum(each - counts[:-1].sum(axis=0), 0)
+        return (beta[:first] / sums[:first, None]).sum(axis=0), moves * p.moves, counts
 
     def expected_by_step(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same, every step brought back to a sum of 1."""
@@ -241,24 +265,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged().to_batches(FLUSH)
 
 
+def _symbols(distinct: pa.Array, commonest: pa.Array, frequent: int, classes: int) -> np.ndarray:
+    """Words' symbols: the place among the commonest words, from 1, or else the class."""
+    place = pc.index_in(distinct, value_set=commonest)
+    own = pc.add(place.fill_null(0), 1).to_numpy().astype(np.uint16)
+    rarer = place.is_null()
+    endings = pc.binary_slice(distinct.filter(rarer), -ENDING, None).dictionary_encode()
+    class_of = np.array([word_class(e, frequent, classes) for e in endings.dictionary.to_pylist()], np.uint16)
+    own[rarer.to_numpy(zero_copy_only=False)] = class_of[endings.indices.to_numpy()]
+    return own
+
+
 def _encoded(shared, frequent: int, classes: int, known: float, id_col: str, text_col: str):
     """Texts as symbols, with what all but the rarer words' own counts add to the scores, and the rarer words.
 
-    Each distinct word of a run of texts is looked up once.
+    Each distinct word of a run of texts is looked up once, all of them together; each distinct ending of the others gives its class once.
     """
     names = [id_col, "held_out", "n_tokens", "n_rare", "base", "in_class", "symbols", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, of_class = shared.value
-        symbol = {w: i + 1 for i, w in enumerate(words)}
+        commonest = pa.array(words, pa.binary())
         base_of = np.full(frequent + 1 + classes, -np.log10(known))
         base_of[: len(counts)] += np.log10(counts + ADDED)
         class_of = np.r_[np.zeros(frequent + 1), -np.log10(of_class)]
         for batch in batches:
             for part in runs(batch, text_col):
                 flat, lengths = _flat(part.column(text_col))
-                distinct = flat.dictionary.cast(pa.binary()).to_pylist()
-                own = np.fromiter((symbol.get(w) or word_class(w, frequent, classes) for w in distinct), np.uint16, len(distinct))
+                own = _symbols(flat.dictionary.cast(pa.binary()), commonest, frequent, classes)
                 codes = flat.indices.to_numpy()
                 ends = np.cumsum(lengths + 1)
                 symbols = np.zeros(ends[-1], "<u2")  # the end stays 0
@@ -318,10 +352,11 @@ def _expect(shared, states: int):
         p = shared.value
         p = Parameters(*(x.astype(np.float32) for x in (p.start, p.moves, p.emits)))
         start, moves, counts, whole = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(p.emits))), np.zeros(states)
+        room = Room()
         for batch in batches:
             for symbols, lengths in zip(batch.column("symbols"), batch.column("lengths"), strict=True):
                 ragged = Ragged.laid_out(np.frombuffer(symbols.as_py(), "<u2").astype(np.int64), np.frombuffer(lengths.as_py(), "<i8"))
-                for total, part in zip((start, moves, counts), ragged.expected(p), strict=True):
+                for total, part in zip((start, moves, counts), ragged.expected(p, room), strict=True):
                     total += part
                 whole[0] += ragged.whole
         some = np.flatnonzero(counts.any(axis=0))

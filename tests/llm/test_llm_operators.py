@@ -419,6 +419,44 @@ def test_rounds_read_groups_as_laid_out():
         assert np.array_equal(a, b)
 
 
+def test_words_are_looked_up_together(monkeypatch):
+    commonest, asked, word_class = ["the", "of", "\u00e9"], [], hmm.word_class
+    texts = ["of nation station a \u00e9 ab the na\u00efve\u20ac motion ab", None, "", "The of"]
+    monkeypatch.setattr(hmm, "word_class", lambda w, *more: (asked.append(w), word_class(w, *more))[1])
+
+    def symbols(words):
+        class shared:
+            value = [w.encode() for w in words], np.ones(len(words) + 1), np.ones(20)
+
+        batch = pa.record_batch({"id": range(4), "held_out": [False] * 4, "text": pa.array(texts, pa.string())})
+        (out,) = hmm._encoded(shared, len(words), 20, 9.0, "id", "text")(iter([batch]))
+        return [np.frombuffer(x, "<u2").tolist() for x in out.column("symbols").to_pylist()]
+
+    for words in (commonest, []):
+        place = {w.encode(): i + 1 for i, w in enumerate(words)}
+        assert symbols(words) == [[*(place.get(w) or word_class(w, len(words), 20) for w in hmm.tokens(t)), 0] for t in texts]
+    asked.clear()
+    symbols(commonest)
+    assert len(asked) == len({w[-3:] for t in texts for w in hmm.tokens(t) if w.decode() not in commonest}) == 4  # not once for each word
+
+
+def test_groups_share_their_tables(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(hmm, "ADDED_ROWS", 16)
+    monkeypatch.setattr(hmm, "COUNTED_ROWS", 10)
+    room = hmm.Room()
+    for states, sizes in ((3, (3, 1, 40, 7, 7, 90)), (3, (2, 5)), (1, (4, 4, 9)), (8, (30, 0, 200))):
+        ragged = hmm.Ragged([rng.integers(0, 50, n).astype("<u2") for n in sizes])
+        p = hmm.first_parameters([], states, np.full(50, 1 / 50), 0)
+        want, whole = ragged.expected_by_step(p), ragged.whole
+        for x in room.tables(sum(sizes), states, p.emits.dtype):
+            x[:] = np.nan  # what an earlier group left counts for nothing
+        kept = room._kept[0]
+        for have, x in zip(ragged.expected(p, room), want, strict=True):
+            assert np.allclose(have, x)
+        assert math.isclose(ragged.whole, whole) and room._kept[0] is kept
+
+
 def test_pipeline_sends_a_text_to_the_classifier_once(spark, monkeypatch):
     docs = spark.createDataFrame([("x", 1, "one text", 3), ("y", 2, None, 4)], "`a.b` string, doc_id long, text string, rejected long")
     given = {}
